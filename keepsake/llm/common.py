@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -98,6 +99,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many (narrow) rows; df should be cut, as this counts them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

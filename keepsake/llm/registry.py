@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keepsake.llm import mixing, pii, simhash, sketch
 from keepsake.llm.common import table
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from keepsake.llm.simhash import op1_simhash
 
-    return op1_simhash(table(spark, sf_dir, "documents"))
+def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": _op1,
+QUERIES: dict[str, Query] = {
+    "op1_simhash": _on_documents(simhash.op1_simhash),
+    "op4_sketch": _on_documents(sketch.op4_sketch),
+    "op5_mixing": _on_documents(mixing.op5_mixing),
+    "op7_pii": _on_documents(pii.op7_pii),
 }
 ORACLE_SQL: dict[str, str] = {}
