@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import mixing, pii, simhash, sketch
+from keepsake.llm import mixing, pii, quality, simhash, sketch, toxicity
 from keepsake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
+def _on(operator: Callable[..., DataFrame], *names: str) -> Query:
+    return lambda spark, sf_dir: operator(*(table(spark, sf_dir, name) for name in ("documents", *names)))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_simhash": _on_documents(simhash.op1_simhash),
-    "op4_sketch": _on_documents(sketch.op4_sketch),
-    "op5_mixing": _on_documents(mixing.op5_mixing),
-    "op7_pii": _on_documents(pii.op7_pii),
+    "op1_simhash": _on(simhash.op1_simhash),
+    "op4_sketch": _on(sketch.op4_sketch),
+    "op5_mixing": _on(mixing.op5_mixing),
+    "op7_pii": _on(pii.op7_pii),
+    "op8_quality": _on(quality.op8_quality, "labels"),
+    "op9_toxicity": _on(toxicity.op9_toxicity, "labels"),
 }
 ORACLE_SQL: dict[str, str] = {}
