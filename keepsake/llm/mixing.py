@@ -13,7 +13,7 @@ from keepsake.llm.common import broadcast_up_to, cut, partitions
 
 MAX_COPIES = 3
 #: Rows of one source that are rounded together; sources are cut into as many parts as they have of these.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
 TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 #: Sums in this type don't depend on the order of their terms, so reruns give the same rates.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import mixing, pii, quality, simhash, sketch, toxicity
+from keepsake.llm import mixing, pii, quality, simhash, sketch, substring, tokens, toxicity
 from keepsake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ def _on(operator: Callable[..., DataFrame], *names: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": _on(simhash.op1_simhash),
+    "op2_tokens": _on(tokens.op2_tokens),
+    "op3_substring": _on(substring.op3_substring),
     "op4_sketch": _on(sketch.op4_sketch),
     "op5_mixing": _on(mixing.op5_mixing),
     "op7_pii": _on(pii.op7_pii),
