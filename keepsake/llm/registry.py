@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import mixing, pii, quality, simhash, sketch, substring, tokens, toxicity
+from keepsake.llm import decontam, mixing, pii, quality, secrets, simhash, sketch, substring, tokens, toxicity
 from keepsake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,10 @@ QUERIES: dict[str, Query] = {
     "op3_substring": _on(substring.op3_substring),
     "op4_sketch": _on(sketch.op4_sketch),
     "op5_mixing": _on(mixing.op5_mixing),
+    "op6_secrets": _on(secrets.op6_secrets),
     "op7_pii": _on(pii.op7_pii),
     "op8_quality": _on(quality.op8_quality, "labels"),
     "op9_toxicity": _on(toxicity.op9_toxicity, "labels"),
+    "op10_decontam": _on(decontam.op10_decontam, "benchmark"),
 }
 ORACLE_SQL: dict[str, str] = {}

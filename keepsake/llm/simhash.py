@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import cut, encode
+from keepsake.llm.common import cut, encode, partitions
 from keepsake.llm.components import components
 
 #: (offset, length) in bits. Four differing bits over three segments leave one with at most one.
@@ -99,7 +99,8 @@ def links(prints: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     differ by at most four bits exactly if they have such a value in common. That takes 2,081 rows a
     fingerprint however large the bucket is, and each edge (value, smallest fingerprint near it) is a link.
     """
-    signed = prints.select("fp", F.explode(_signatures(F.col("fp"))).alias("sig"))
+    # A row becomes 64: few partitions of few rows would make large tasks.
+    signed = prints.repartition(partitions(prints.sparkSession), "fp").select("fp", F.explode(_signatures(F.col("fp"))).alias("sig"))
     heavy = signed.groupBy("sig").count().filter(F.col("count") > bucket_pairs).select("sig")
     # As a rule no bucket is heavy; this is a look at one row, and spares the light path a join.
     if heavy.limit(1).count():
@@ -136,9 +137,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select("id", "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """The rows of docs whose id is the smallest of its group, one row an id; rows without an id stay."""
-    firsts = near_duplicates(docs, id_col, text_col).filter("component is not null").select(F.col("component").alias("_keep")).distinct()
+    firsts = near_duplicates(docs, id_col, text_col, width).filter("component is not null").select(F.col("component").alias("_keep")).distinct()
     kept = docs.join(firsts, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
