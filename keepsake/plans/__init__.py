@@ -1,4 +1,7 @@
 """Registered queries over the given tables, and the SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from keepsake.plans import analytics, catalog, curation
+
+_MODULES = (catalog, curation, analytics)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
