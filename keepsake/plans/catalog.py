@@ -27,7 +27,10 @@ def _bm25(terms: list[str]) -> str:
 
 
 _ORDER = "capture_date DESC NULLS LAST, id DESC"
-_RANK = [F.col("rank"), *timeline.order()]
+
+
+def _rank():
+    return [F.col("rank"), *timeline.order()]
 
 
 def _timeline(cursor=None):
@@ -45,7 +48,7 @@ def _search(query, limit=20, offset=0, narrow=lambda i: i):
     def run(spark, d):
         items = t.items(spark, d)
         top = search.search(narrow(items), query, limit, offset, corpus=items)
-        return top.select("id", F.round("rank", 6).alias("score"), "capture_date", F.row_number().over(Window.orderBy(*_RANK)).alias("place"))
+        return top.select("id", F.round("rank", 6).alias("score"), "capture_date", F.row_number().over(Window.orderBy(*_rank())).alias("place"))
     return run
 
 
@@ -75,7 +78,7 @@ def search_ids(spark, d):
 def search_snapshot(spark, d):
     items = t.items(spark, d)
     hits = items.select("id", "capture_date").join(search.ranked(items, "with"), "id").withColumn("rank", F.round("rank", 9))
-    frozen = search.snapshot(hits, _RANK, {"query": "with"})
+    frozen = search.snapshot(hits, _rank(), {"query": "with"})
     token = F.col("token")
     page = frozen.filter(F.col("pos").between(20, 39)).join(items, "id")
     return page.select(F.length(token).alias("token_length"), "pos", "id", "media_type")
