@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import broadcast_up_to, cut
+from keepsake.llm.common import broadcast_up_to, cut, fresh
 
 WIDTH = 8
 #: Words of a window that are no placeholder, and different ones among them, for it to say something.
@@ -95,8 +95,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """docs without the rows that hold benchmark passages, columns unchanged; rows without an id stay."""
-    bad = broadcast_up_to(cut(matches(docs, benchmark, id_col, text_col, **names).select(F.col("id").alias("_bad")).distinct()), BROADCAST_ROWS)
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+    key = fresh(docs, "_bad")
+    bad = broadcast_up_to(cut(matches(docs, benchmark, id_col, text_col, **names).select(F.col("id").alias(key)).distinct()), BROADCAST_ROWS)
+    return docs.join(bad, F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 def op10_decontam(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import broadcast_up_to, cut, partitions
+from keepsake.llm.common import broadcast_up_to, cut, fresh, partitions
 
 MAX_COPIES = 3
 #: Rows of one source that are rounded together; sources are cut into as many parts as they have of these.
@@ -148,9 +148,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Rows without an id are not taken; rows that share an id share their copies, rounded down.
     """
     mixed = mix(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, source_col, most)
-    copies = mixed.filter("copies > 0").groupBy(F.col("id").alias("_id")).agg((F.sum("copies") / F.count("*")).cast("long").alias("_copies"))
-    taken = docs.join(copies.filter("_copies > 0"), F.col(id_col).cast("long") == F.col("_id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    key, times, one = fresh(docs, "_id"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    copies = mixed.filter("copies > 0").groupBy(F.col("id").alias(key)).agg((F.sum("copies") / F.count("*")).cast("long").alias(times))
+    taken = docs.join(copies.filter(F.col(times) > 0), F.col(id_col).cast("long") == F.col(key))
+    return taken.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:

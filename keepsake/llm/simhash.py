@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import cut, encode, partitions
+from keepsake.llm.common import cut, encode, fresh, partitions
 from keepsake.llm.components import components
 
 #: (offset, length) in bits. Four differing bits over three segments leave one with at most one.
@@ -139,8 +139,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """The rows of docs whose id is the smallest of its group, one row an id; rows without an id stay."""
-    firsts = near_duplicates(docs, id_col, text_col, width).filter("component is not null").select(F.col("component").alias("_keep")).distinct()
-    kept = docs.join(firsts, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    key = fresh(docs, "_keep")
+    firsts = near_duplicates(docs, id_col, text_col, width).filter("component is not null").select(F.col("component").alias(key)).distinct()
+    kept = docs.join(firsts, F.col(id_col).cast("long") == F.col(key), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -60,7 +60,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights[picked], weights[-1] = w, b
+    # A text without any of the words cannot be likelier toxic than texts are on average; with few positives
+    # the fitted intercept may say so.
+    weights[picked], weights[-1] = w, min(b, np.log(prior / (1 - prior)))
     return weights
 
 
