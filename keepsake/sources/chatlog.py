@@ -48,6 +48,7 @@ def messages(lines: DataFrame) -> DataFrame:
     author = F.regexp_extract("first", AUTHOR, 1)
     named = author != ""
     body = F.when(named, F.regexp_extract("first", AUTHOR, 2)).otherwise(F.col("first"))
+    body = F.regexp_replace(body, "^" + _MARKS, "")
     whole = F.regexp_replace(F.array_join(F.concat(F.array(body), "more"), "\n"), r"[\s‎‏‪-‮⁦-⁩﻿]+$", "")
     return counted.select(FILE, "index", "date", "time", "ampm", "platform", F.when(named, F.trim(author)).alias("author"), whole.alias("body"), "order")
 

@@ -84,7 +84,7 @@ def rows(files: DataFrame) -> DataFrame:
                     for name, cell in zip(names[top], r, strict=False):
                         if name and name not in cells:
                             cells[name] = cell.strip()
-                    out.append((file, kind, i, list(cells.items()), None))
+                    out.append((file, kind, i, cells, None))
             yield pd.DataFrame(out, columns=["file", "kind", "row", "cells", "problem"])
 
     return files.mapInPandas(run, "file string, kind string, row int, cells map<string, string>, problem string")
