@@ -8,51 +8,50 @@ import numpy as np
 
 
 class SuffixAutomaton:
-    """All runs of words in some passages, each with the smallest owner among the passages that hold it.
+    """All runs of words in some passages, each with the owner of the first passage that holds it.
 
-    A separator of its own stands behind each passage, so no run crosses two of them.
+    Passages come by ascending owner, so that is the smallest owner. Each passage starts at the root, so no
+    run crosses two of them.
     """
 
     def __init__(self, passages: Iterable[tuple[int, list[bytes]]]):
         self.next: list[dict] = [{}]
         self.link, self.length, self.owner = [-1], [0], [None]
-        last = 0
-        for number, (owner, words) in enumerate(passages):
+        nxt, link, length, owners = self.next, self.link, self.length, self.owner
+        for owner, words in passages:
+            last = 0
             for word in words:
-                last = self._add(last, word, owner)
-            last = self._add(last, number, None)
-        # What ends a longer run ends its suffixes too.
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            up, own = self.link[state], self.owner[state]
-            if up > 0 and own is not None and (self.owner[up] is None or own < self.owner[up]):
-                self.owner[up] = own
+                to = nxt[last].get(word)
+                if to is not None:  # the run is known from a passage before
+                    last = to if length[to] == length[last] + 1 else self._split(last, word, to)
+                    continue
+                new = len(link)
+                nxt.append({})
+                length.append(length[last] + 1)
+                owners.append(owner)
+                link.append(0)
+                at = last
+                while at >= 0 and word not in nxt[at]:
+                    nxt[at][word] = new
+                    at = link[at]
+                if at >= 0:
+                    to = nxt[at][word]
+                    link[new] = to if length[to] == length[at] + 1 else self._split(at, word, to)
+                last = new
 
-    def _add(self, last: int, word, owner) -> int:
+    def _split(self, at: int, word: bytes, to: int) -> int:
+        """A state for the shorter runs of state `to`, up to those that end in state `at` and the word."""
         nxt, link, length = self.next, self.link, self.length
-        new = len(link)
-        nxt.append({})
-        length.append(length[last] + 1)
-        self.owner.append(owner)
-        link.append(0)
-        at = last
-        while at >= 0 and word not in nxt[at]:
-            nxt[at][word] = new
+        twin = len(link)
+        nxt.append(nxt[to].copy())
+        length.append(length[at] + 1)
+        self.owner.append(self.owner[to])  # they were first met where `to` was
+        link.append(link[to])
+        link[to] = twin
+        while at >= 0 and nxt[at].get(word) == to:
+            nxt[at][word] = twin
             at = link[at]
-        if at >= 0:
-            to = nxt[at][word]
-            if length[at] + 1 == length[to]:
-                link[new] = to
-            else:
-                twin = len(link)
-                nxt.append(dict(nxt[to]))
-                length.append(length[at] + 1)
-                self.owner.append(None)
-                link.append(link[to])
-                while at >= 0 and nxt[at].get(word) == to:
-                    nxt[at][word] = twin
-                    at = link[at]
-                link[to] = link[new] = twin
-        return new
+        return twin
 
     def matched(self, words: list[bytes], width: int, below: int | None = None) -> np.ndarray:
         """For each window of `width` words: is it a run of some passage (of an owner below `below`)?
@@ -74,5 +73,6 @@ class SuffixAutomaton:
                     state = link[state]
                 if run >= width:
                     run = width
-                    out[i - width + 1] = below is None or (owners[state] is not None and owners[state] < below)
+                    if below is None or owners[state] < below:
+                        out[i - width + 1] = True
         return out

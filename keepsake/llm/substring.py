@@ -98,10 +98,13 @@ def _rows_by_key(keys: list[np.ndarray], ids: list[int], chunk: int, name: str)
 
 
 def _owners(keyed: DataFrame, name: str) -> DataFrame:
-    """(chunk, name, owner) of the keys that two documents have. A key has a row a chunk at most, however common it is."""
+    """(chunk, name, owner, others) of the keys that two documents have; others: does the chunk hold one that is not the owner?
+
+    A key has a row a chunk at most, however common it is.
+    """
     w = Window.partitionBy(name)
-    seen = keyed.select("chunk", name, F.min("doc").over(w).alias("owner"), (F.count("*").over(w) > 1).alias("far"), F.max("many").over(w).alias("near"))
-    return seen.filter("far or near").select("chunk", name, "owner")
+    seen = keyed.select("chunk", name, F.min("doc").over(w).alias("owner"), (F.count("*").over(w) > 1).alias("far"), F.max("many").over(w).alias("near"), "many", "doc")
+    return seen.filter("far or near").select("chunk", name, "owner", (F.col("many") | (F.col("doc") != F.col("owner"))).alias("others"))
 
 
 def _lookup(keys: np.ndarray, known: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -151,7 +154,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(out, columns=["owner", "passages"])
 
     references = dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInPandas(emit_references, "owner long, passages binary")
-    asked = owned.select("owner", "chunk").distinct().join(references, "owner").select("chunk", F.lit(0).cast("long").alias("anchor"), "owner", "passages")
+    asked = owned.filter("others").select("owner", "chunk").distinct().join(references, "owner").select("chunk", F.lit(0).cast("long").alias("anchor"), "owner", "passages")
     helped = owned.select("chunk", "anchor", "owner", F.lit(None).cast("binary").alias("passages")).union(asked)
 
     def match(key, frame, helped):
@@ -160,31 +163,35 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known, owner = _sorted(helped[plain], "anchor")
         sent = helped[~plain].sort_values("owner", kind="stable")
         passages = [(int(o), p.split()) for o, ps in zip(sent["owner"], sent["passages"], strict=True) for p in sorted(bytes(ps).split(b"\n"))]
-        held = []
+        # A shard takes whole owners: all passages of an owner are met by the same automaton.
+        bounds, size = [0], 0
+        for i, (own, words) in enumerate(passages):
+            if size >= shard_words and own != passages[i - 1][0]:
+                bounds.append(i)
+                size = 0
+            size += len(words)
+        lows = np.array([passages[i][0] for i in bounds] if passages else [], np.int64)
+        held, of_shard = [], [[] for _ in bounds]
         for d in _docs(frame, width):
             if len(d.anchors):
                 owners = _lookup(d.anchors, known, owner)
-                owners[owners >= d.id] = np.iinfo(np.int64).max
-                if (owners < d.id).any():
-                    held.append((d, owners, np.zeros(len(owners), bool)))
-        at = 0
-        while at < len(passages):
-            end, size = at, 0
-            # A shard takes whole owners: all passages of an owner are met by the same automaton.
-            while end < len(passages) and (size < shard_words or passages[end][0] == passages[end - 1][0]):
-                size += len(passages[end][1])
-                end += 1
-            shard = SuffixAutomaton(passages[at:end])
-            low, high = passages[at][0], passages[end - 1][0]
-            for d, owners, hit in held:
-                for s, e in _spans((owners >= low) & (owners <= high)):
-                    hit[s:e] |= shard.matched(d.words(s, e + width - 1), width, d.id)
-            at = end
+                below = owners < d.id
+                if below.any():
+                    shard = np.where(below, np.searchsorted(lows, owners, side="right") - 1, -1)
+                    for k in np.unique(shard[below]).tolist():
+                        of_shard[k].append((len(held), shard))
+                    held.append((d, below, np.zeros(len(owners), bool)))
+        for k, (start, end) in enumerate(zip(bounds, [*bounds[1:], len(passages)], strict=True)):
+            automaton = SuffixAutomaton(passages[start:end])
+            for i, shard in of_shard[k]:
+                d, _, hit = held[i]
+                for s, e in _spans(shard == k):
+                    hit[s:e] |= automaton.matched(d.words(s, e + width - 1), width, d.id)
         rows, left, ids = [], [], []
-        for d, owners, hit in held:
-            open_ = np.flatnonzero((owners < d.id) & ~hit)
+        for d, below, hit in held:
+            open_ = np.flatnonzero(below & ~hit)
             hashes = shingle_hashes(d.hashes, width)[open_].view(np.int64)
-            rows.append((chunk, d.id, d.key(), np.flatnonzero(hit).astype("<i4").tobytes(), open_.astype("<i4").tobytes(), hashes.tobytes()))
+            rows.append((chunk, d.id, d.key(), np.array(_spans(hit), "<i4").tobytes(), open_.astype("<i4").tobytes(), hashes.tobytes()))
             left.append(np.unique(hashes))
             ids.append(d.id)
         first = pd.DataFrame(rows, columns=["chunk", "id", "key", "hit", "open", "hashes"])
@@ -194,12 +201,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 {"id": "int64", "key": "int64", "window": "int64", "doc": "int64", "many": "bool", "chunk": "int32"})
 
     found = (dealt.groupBy("chunk").cogroup(helped.groupBy("chunk"))
-             .applyInPandas(match, "chunk int, of string, id long, key long, hit binary, open binary, hashes binary, window long, doc long, many boolean")
-             .repartition(min(partitions(spark), n_chunks), "chunk"))
-    resolved = _owners(found.filter("of = 'window'").select("window", "chunk", "doc", "many"), "window")
-    none, zero = F.lit(b""), F.lit(0).cast("long")
-    last = found.filter("of = 'doc'").select("chunk", "of", "id", "key", "hit", "open", "hashes", zero.alias("window"), zero.alias("owner")).union(
-        resolved.select("chunk", F.lit("window"), zero, zero, none, none, none, "window", "owner"))
+             .applyInPandas(match, "chunk int, of string, id long, key long, hit binary, open binary, hashes binary, window long, doc long, many boolean"))
+    # One window serves both kinds of rows, so that the matching above is not made for each of them: a
+    # document's row is alone under its key.
+    w = Window.partitionBy("of", "_k")
+    last = found.withColumn("_k", F.when(F.col("of") == "window", F.col("window")).otherwise(F.xxhash64("id", "key"))).select(
+        "chunk", "of", "id", "key", "hit", "open", "hashes", "window", F.min("doc").over(w).alias("owner"), F.count("*").over(w).alias("_n"), F.max("many").over(w).alias("_near"))
+    last = last.filter("of = 'doc' or _n > 1 or _near").drop("_n", "_near")
 
     def remove(key, frame, last):
         plain = last["of"] == "doc"
@@ -213,10 +221,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             gone = 0
             if mark:
                 hit, open_, hashes = np.frombuffer(mark[0], "<i4"), np.frombuffer(mark[1], "<i4"), np.frombuffer(mark[2], np.int64)
-                starts = np.concatenate((hit, open_[_lookup(hashes, known, owner) < key_]))
+                more = open_[_lookup(hashes, known, owner) < key_]
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, np.minimum(starts + width, len(words)), -1)
+                np.add.at(cover, np.concatenate((hit[::2], more)), 1)
+                np.add.at(cover, np.concatenate((hit[1::2] - 1, more)) + width, -1)
                 stays = np.cumsum(cover[:-1]) == 0
                 gone = int(len(words) - stays.sum())
                 if gone:
