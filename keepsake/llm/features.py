@@ -86,8 +86,15 @@ def labelled(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFram
 
 
 def sample(ids: DataFrame, rows: int) -> DataFrame:
-    """Up to `rows` rows of ids, those with the least hash of id; only ids and labels pass through the driver."""
-    drawn = ids.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(rows).collect()
+    """Up to `rows` rows of ids, those with the least of a hash of id; only ids and labels pass through the driver.
+
+    Of a large table about twice as many are taken by the hash first, so that tasks send few rows, however
+    many tasks there are.
+    """
+    total, order = ids.count(), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))
+    if total > 8 * rows:
+        ids = ids.filter(order < int((1 << 40) * (2 * rows + 100) / total))
+    drawn = ids.orderBy(order, "id").limit(rows).collect()
     return ids.sparkSession.createDataFrame(drawn, ids.schema)
 
 
