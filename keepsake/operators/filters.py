@@ -27,6 +27,33 @@ def by_source(items: DataFrame, occurrences: DataFrame, sources: DataFrame, sour
     return items.join(mine.select(F.col("item_id").alias("id")), "id", "left_semi")
 
 
+def by_ids(items: DataFrame, ids_json: str) -> DataFrame:
+    """Items whose id is in a JSON array; order is not kept, unknown ids are passed over."""
+    wanted = items.sparkSession.range(1).select(F.explode(F.from_json(F.lit(ids_json), f"array<{items.schema['id'].dataType.simpleString()}>")).alias("id"))
+    return items.join(wanted.distinct(), "id", "left_semi")
+
+
+def pending(items: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """The work queue of a drain: items whose status in `column` is pending, by id."""
+    rows = items.filter(F.col(column) == "pending")
+    return rows if limit is None else rows.orderBy("id").limit(limit)
+
+
+def categorizable(items: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
+    """(id, lat, lon, vector) of items that wait for a category; a vector counts only where embedding is done."""
+    own = embeddings.filter(F.col("model_id") == model).select(F.col("item_id").alias("id"), "vector")
+    return pending(items, "category_status").join(own, "id", "left").select(
+        "id", F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"), F.when(F.col("embed_status") == "done", F.col("vector")).alias("vector"))
+
+
+def transcripts_of(items: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(id, status, text, language): only the status until it is done; done without a usable row shows as pending."""
+    t = transcripts.select(F.col("item_id").alias("id"), "text", "language")
+    done = (F.col("transcript_status") == "done") & F.col("text").isNotNull()
+    status = F.when((F.col("transcript_status") == "done") & F.col("text").isNull(), "pending").otherwise(F.col("transcript_status"))
+    return items.join(t, "id", "left").select("id", status.alias("status"), F.when(done, F.col("text")).alias("text"), F.when(done, F.col("language")).alias("language"))
+
+
 def first_sources(occurrences: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, source): the type of each item's earliest occurrence by (created_at, id)."""
     first = occurrences.groupBy("item_id").agg(F.min(F.struct("created_at", "id", "source_id")).alias("o"))

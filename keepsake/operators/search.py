@@ -29,6 +29,12 @@ def postings(items: DataFrame, columns: tuple[str, ...] = ("title", "description
     return every.groupBy("token", "id").agg(F.sort_array(F.collect_list("place")).alias("places"), F.count("*").alias("n"))
 
 
+def refreshed(index: DataFrame, changed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """The index after some items (changed) were written and some ids (deleted) taken out."""
+    gone = changed.select("id") if deleted is None else changed.select("id").unionByName(deleted.select("id"))
+    return index.join(gone.distinct(), "id", "left_anti").unionByName(postings(changed))
+
+
 def lengths(items: DataFrame, columns: tuple[str, ...] = ("title", "description", "search_meta")) -> DataFrame:
     """(id, length): tokens of each item over all columns."""
     return items.select("id", sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("length"))
@@ -105,3 +111,21 @@ def snapshot_page(frozen: DataFrame, items: DataFrame, token: str, offset: int,
     """A page of a snapshot, hydrated without filters."""
     part = frozen.filter((F.col("token") == token) & F.col("pos").between(offset, offset + limit - 1))
     return part.join(items, "id")
+
+
+def smart_search(items: DataFrame, vectors: DataFrame, query: str, embed, limit: int, narrow=lambda rows: rows, model: str | None = None, min_score: float = 0.0) -> DataFrame:
+    """items with origin, score and pos: exact hits first, then the query's nearest neighbours.
+
+    Neighbours are found among all vectors and filtered afterwards, so a filter can leave fewer of them than
+    the limit. Without a usable query vector (embed fails) the result is the exact one.
+    """
+    from keepsake.operators.vectors import knn, merge_hits
+
+    kept = narrow(items)
+    exact = kept.join(ranked(items, query), "id").withColumn("rank", F.round("rank", 9))
+    exact = exact.select("id", F.row_number().over(Window.orderBy("rank", *order())).alias("pos"))
+    try:
+        near = knn(vectors, [float(x) for x in embed([query])[0]], limit, model)
+    except Exception:  # a model that is missing or fails must not take exact search with it
+        return kept.join(exact.withColumns({"origin": F.lit("exact"), "score": F.lit(None).cast("double")}), "id")
+    return merge_hits(exact, near.join(kept.select("id"), "id", "left_semi"), limit, min_score).join(kept, "id")
