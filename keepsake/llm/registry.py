@@ -28,4 +28,12 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": _on(toxicity.op9_toxicity, "labels"),
     "op10_decontam": _on(decontam.op10_decontam, "benchmark"),
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),
+      hit AS (SELECT doc_id, p FROM windows JOIN (SELECT k, min(doc_id) AS least FROM windows GROUP BY k) USING (k) WHERE least < doc_id),
+      gone AS (SELECT DISTINCT doc_id, p + o AS i FROM hit, (SELECT unnest(range(0, 13)) AS o)),
+      words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+      kept AS (SELECT w.doc_id, count(*) AS n, count(g.i) AS r, string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS t FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+      SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)""",
+}
