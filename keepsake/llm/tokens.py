@@ -18,16 +18,15 @@ from keepsake.llm.common import partitions, shared_folder
 
 END_ID = 2
 #: Pieces whose ids a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Texts looked up together, and pieces that share a call of the library.
 TOGETHER, JOINED = 256, 1000
 #: Letters, numbers and spaces among the characters that _UNSURE lets through. Fixed values of Unicode.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\x09-\x0d\x20\xa0"
 #: The pieces of the byte-level tokenizer, whose merges never cross them.
 _PIECE = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_WORD, _SPACED = re.compile(rf"[{_L}]+"), re.compile(rf" [{_L}]+")
 #: Texts with other characters, or with what may start a special token, go through the tokenizer whole.
-_UNSURE = re.compile(r"[^\x00-\u024f\u2010-\u2027]|[\x1c-\x1f\x85]|<\|")
+_UNSURE = re.compile(r"[^\x00-\x84\x86-\u024f\u2010-\u2027]")
 
 
 class Encoder:
@@ -60,31 +59,45 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        for p in pieces & self.old.keys():
-            self.young[p] = self.old[p]
-        new = pieces - self.young.keys()
-        for pattern, between in ((_SPACED, ""), (_WORD, "\n")):
-            words = [p for p in new if pattern.fullmatch(p)]
+        young, old = self.young, self.old
+        new = []
+        for p in pieces:
+            known = old.get(p)
+            if known is None:
+                new.append(p)
+            else:
+                young[p] = known
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        bare = [p for p in new if p.isalpha()]
+        # Words with a space before them stand side by side, bare words a line each: both are cut where they meet.
+        for words, between in ((spaced, ""), (bare, "\n")):
             for i in range(0, len(words), JOINED):
                 some = words[i:i + JOINED]
                 made = self.tokenizer.encode(between.join(some), add_special_tokens=False)
-                ids, piece = np.array(made.ids, "<u4"), np.array(made.word_ids)
-                edges = np.flatnonzero(np.diff(piece, prepend=-1, append=-1))
-                parts = list(zip(edges[:-1], edges[1:], strict=True))[:: 2 if between else 1]
-                for p, (s, e) in zip(some, parts, strict=True):
-                    self.young[p] = ids[s:e].tobytes()
-        for p in new - self.young.keys():
-            self.young[p] = self._whole(p)
+                piece = np.array(made.word_ids)
+                edges = (4 * np.flatnonzero(np.diff(piece, prepend=-1, append=-1))).tolist()
+                whole = np.array(made.ids, "<u4").tobytes()
+                parts = [whole[s:e] for s, e in zip(edges, edges[1:], strict=False)][:: 2 if between else 1]
+                if len(parts) == len(some):
+                    young.update(zip(some, parts, strict=True))
+        for p in new:
+            if p not in young:
+                young[p] = self._whole(p)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), TOGETHER):
-            cut = [None if not self.cuts or _UNSURE.search(t) else _PIECE.findall(t) for t in texts[i:i + TOGETHER]]
-            wanted = set().union(*(c for c in cut if c)) - self.young.keys()
-            if wanted:
-                self._learn(wanted)
-            look = self.young.__getitem__
-            out += [self._whole(t) if c is None else b"".join(map(look, c)) for t, c in zip(texts[i:i + TOGETHER], cut, strict=True)]
+            some = texts[i:i + TOGETHER]
+            cut = [_PIECE.findall(t) if self.cuts and "<|" not in t and (t.isascii() or not _UNSURE.search(t)) else None for t in some]
+            found = [c and list(map(self.young.get, c)) for c in cut]
+            missing = set()
+            for c, f in zip(cut, found, strict=True):
+                if f and None in f:
+                    missing.update([p for p, known in zip(c, f, strict=True) if known is None])
+            if missing:
+                self._learn(missing)
+            get = self.young.__getitem__
+            out += [self._whole(t) if c is None else b"".join(map(get, c) if None in f else f) for t, c, f in zip(some, cut, found, strict=True)]
             if len(self.young) > REMEMBERED:
                 self.old, self.young = self.young, {}
         return out
