@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +24,23 @@ def parse_transcript(raw: Column) -> Column:
 
 def align(reference: list[str], heard: list[str]) -> tuple[int, int, int]:
     """(substitutions, deletions, insertions) of a least-cost alignment; substitutions first among equals, then deletions."""
-    rows = [[(j, 0, 0, j) for j in range(len(heard) + 1)]]
-    for i, word in enumerate(reference, 1):
-        row = [(i, 0, i, 0)]
-        for j, other in enumerate(heard, 1):
-            c, s, d, n = rows[-1][j - 1]
-            best = (c, s, d, n) if word == other else (c + 1, s + 1, d, n)
-            c, s, d, n = rows[-1][j]
-            if c + 1 < best[0]:
-                best = (c + 1, s, d + 1, n)
-            c, s, d, n = row[j - 1]
-            if c + 1 < best[0]:
-                best = (c + 1, s, d, n + 1)
-            row.append(best)
-        rows = [row]
-    return rows[-1][-1][1:]
+    codes: dict[str, int] = {}
+    number = lambda words: np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
+    a, b = number(reference), number(heard)
+    at = np.arange(len(b) + 1)
+    cost, subs, dels = at, np.zeros_like(at), np.zeros_like(at)  # one row of the table at a time
+    for i, word in enumerate(a.tolist(), 1):
+        miss = b != word
+        over, down = cost[:-1] + miss, cost[1:] + 1
+        up = down < over
+        base = np.concatenate(([i], np.where(up, down, over)))
+        cost = np.minimum.accumulate(base - at) + at
+        # A run of insertions starts at the last cell that none reached.
+        start = np.maximum.accumulate(np.where(base == cost, at, 0))
+        subs = np.concatenate(([0], np.where(up, subs[1:], subs[:-1] + miss)))[start]
+        dels = np.concatenate(([i], np.where(up, dels[1:] + 1, dels[:-1])))[start]
+    s, d = int(subs[-1]), int(dels[-1])
+    return s, d, int(cost[-1]) - s - d
 
 
 def word_errors(pairs: DataFrame, reference: str = "reference", heard: str = "heard") -> DataFrame:
