@@ -77,20 +77,32 @@ def _vectors(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(found)
 
 
+def _drawn(findings: DataFrame, rows: int) -> DataFrame:
+    """Up to `rows` findings, those with the least hashes; of many, about twice as many are taken by the hash first."""
+    total, order = findings.count(), F.pmod(F.xxhash64("value", "before", "after"), F.lit(1 << 40))
+    if total > 4 * rows:
+        findings = findings.filter(order < int((1 << 40) * 2 * rows / total))
+    return findings.orderBy(order, "value", "before", "after").limit(rows).select("label", *FEATURES)
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RandomForestClassificationModel | None:
-    """A forest from featured findings with a label; None if they are not of both kinds."""
-    drawn = cut(labelled.orderBy(F.xxhash64("value", "before", "after"), "value").limit(sample_rows).select("label", *FEATURES))
-    if drawn.select("label").distinct().count() < 2:
+    """A forest from featured findings with a label; None if they are not of both kinds.
+
+    Half of the sample is for each label, over distinct findings: rare secrets and large groups of copies leave it whole.
+    """
+    distinct = cut(labelled.filter("label is not null").dropDuplicates(["value", "before", "after", "label"]))
+    yes, no = (cut(_drawn(distinct.filter(F.col("label") == k), sample_rows // 2)) for k in (1, 0))
+    if not yes.limit(1).count() or not no.limit(1).count():
         return None
-    return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(_vectors(drawn))
+    return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(_vectors(yes.unionByName(no)))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
          found: DataFrame | None = None) -> DataFrame:
-    """(id, start, value, score) of the candidates that the forest takes for secrets; all of them without a forest."""
+    """(id, start, value, score) of the candidates that the forest takes for secrets; without a forest, of those that rule_label does."""
     found = featured(candidates(docs, id_col, text_col)) if found is None else found
     if model is None:
-        return found.select("id", "start", "value", F.lit(1.0).alias("score"))
+        return rule_label(found).filter("label = 1").select("id", "start", "value", F.lit(1.0).alias("score"))
     scored = model.setFeaturesCol("_features").transform(_vectors(found))
     return scored.select("id", "start", "value", vector_to_array("probability")[1].alias("score")).filter(F.col("score") >= threshold)
 
