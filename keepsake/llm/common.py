@@ -70,6 +70,14 @@ def span_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def char_hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As span_hashes, of spans of code points."""
+    up, down = _BYTE_POWERS.get(len(chars) + 1)
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k word hashes; of the whole run if there are fewer, none if there is none."""
     n = len(words)

@@ -21,7 +21,7 @@ def test_encoder_gives_the_library_ids(spark):
     e = tokens.Encoder(tokens.default_tokenizer())
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == library(texts)
-    e.old, e.young = e.young, {}
+    e.forget()
     assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == library(texts)
 
 
@@ -33,9 +33,27 @@ def test_coder_round_trip(n):
         assert (coder.expand(payload, n, lanes, 50_257) == ids).all()
 
 
+def test_a_context_tells_more_than_counts():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 4, 300_000)
+    for k in range(2, len(ids)):  # the last two ids tell the next, as a rule
+        if ids[k]:
+            ids[k] = 4 + (ids[k - 1] * 7 + ids[k - 2] * 3) % 60
+    block = coder.pack([(1, ids)])
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert 8 * len(block) / len(ids) < 0.6 * entropy
+    assert (coder.unpack(block)[0][1] == ids).all()
+
+
+def test_large_and_rare_ids():
+    ids = np.concatenate((np.full(200_000, 2**32 - 1), [0, 5, 2**31]))
+    assert (coder.unpack(coder.pack([(None, ids)]))[0][1] == ids).all()
+
+
 def test_repeats_cost_little_and_damage_is_seen():
     ids = np.tile(np.arange(1000), 300)
-    block = coder.pack([(7, ids[:100_000]), (None, ids[:0]), (-3, ids[100_000:])], 50_257)
+    block = coder.pack([(7, ids[:100_000]), (None, ids[:0]), (-3, ids[100_000:])])
     assert len(block) < 0.3 * 2 * len(ids)
     back = coder.unpack(block)
     assert [k for k, _ in back] == [7, None, -3] and all((a == b).all() for (_, a), b in zip(back, (ids[:100_000], ids[:0], ids[100_000:]), strict=True))
@@ -55,7 +73,10 @@ def check(spark, docs, tmp_path, block_ids):
         start += len(ids)
     assert sorted(map(tuple, tokens.digest(spark, path).collect()), key=lambda r: r[1]) == want
     back = tokens.read(spark, path).orderBy("part", "block", "place").collect()
-    assert [(r.id, len(r.ids)) for r in back] == [(k, n) for k, _, n, _ in want]
+    flat = [i for r in back for i in r.ids]
+    assert all(zlib.crc32(np.array(flat[s:s + n], "<u4").tobytes()) == c for _, s, n, c in want)
+    if block_ids == 1 << 20:
+        assert [(r.id, len(r.ids)) for r in back] == [(k, n) for k, _, n, _ in want]
 
 
 @pytest.mark.parametrize("block_ids", [500, 1 << 20])
@@ -67,3 +88,28 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([(9, "b"), (9, "a"), (9, "a"), (None, "n"), (-4, None), *enumerate(ODD, 20)], "doc_id long, text string").selectExpr("*", "'x' AS part", "1 AS start")
     check(spark, docs, tmp_path, 100)
     assert tokens.op2_tokens(docs.limit(0)).count() == 0
+
+
+def test_a_document_of_very_many_ids(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = [f" w{i}" for i in range(300)]
+    text = "".join(np.array(words)[rng.integers(0, 300, 3_000_000)]) + "1" * 1_000_000 + "\n" * 1_000_000
+    docs = spark.createDataFrame([(3, "a b"), (1, text), (2, "c")], "doc_id long, text string")
+    path = f"file://{tmp_path}/long"
+    tokens.write(docs, path, tokens.default_tokenizer(), block_ids=1_000_000)
+    rows = sorted(tuple(r) for r in tokens.digest(spark, path).collect())
+    ids = [[*i, 2] for i in library([text, "c", "a b"])]
+    at = np.cumsum([0, *map(len, ids)]).tolist()
+    assert len(ids[0]) > 3_000_000 and spark.read.parquet(path).count() > 3
+    assert rows == [(k + 1, at[k], len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in enumerate(ids)]
+
+
+def test_joined_crc():
+    a, b = b"some bytes", bytes(range(256)) * 9000
+    assert tokens.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b) and tokens.joined_crc(5, 0, 0) == 5
+
+
+def test_many_rows_of_one_id_are_dealt_to_several_parts(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("if(id < 3990, 7, id) AS doc_id", "concat('text ', id % 997) AS text")
+    check(spark, docs, tmp_path, 4096)
+    assert spark.read.parquet(f"file://{tmp_path}/t4096").select("part").distinct().count() > 1
