@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,56 +108,96 @@ def _rows(items: list[tuple]) -> pd.DataFrame:
     return frame.astype({"doc_id": "Int64"})
 
 
+#: What documents are ordered by: rows without an id first, then by id, by the text's first seven bytes, by its hash.
+_ORDER = ("named", "id", "head", "hash")
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """docs with the columns of _ORDER, which tell any two rows of different id or text apart, and text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    head = F.conv(F.hex(F.rpad(F.substring(F.encode(text, "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
+    key = F.col("doc_id").cast("long")
+    return docs.select(F.when(key.isNull(), 0).otherwise(1).alias("named"), F.coalesce(key, F.lit(0)).alias("id"), head.alias("head"),
+                       F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """At most parts - 1 ascending values of _ORDER that cut rows into ranges of about equal size.
+
+    Quantiles of the id are taken first; an id that fills several ranges is cut by its texts. They decide on
+    sizes alone, and are constants from here on: the row's range is the same whenever it is computed.
+    """
+    if parts < 2:
+        return []
+    cuts = [i / parts for i in range(1, parts)]
+    first = rows.agg(F.percentile_approx(F.struct("named", "id").getField("id"), cuts, 100 * parts).alias("q")).first()["q"] or []
+    out: set[tuple] = set()
+    times = {i: first.count(i) for i in set(first)}
+    out.update((1, i, -1, -(1 << 63)) for i, n in times.items() if n == 1)
+    crowded = {i: n for i, n in times.items() if n > 1}
+    if crowded:
+        most = max(crowded.values())
+        inside = rows.filter(F.col("id").isin(list(crowded))).groupBy("named", "id").agg(
+            F.percentile_approx("head", [i / (most + 1) for i in range(1, most + 1)], 100 * most).alias("q"), F.percentile_approx(
+                "hash", [i / (most + 1) for i in range(1, most + 1)], 100 * most).alias("h"))
+        for r in inside.collect():
+            heads = {h: r["q"].count(h) for h in set(r["q"])}
+            out.update((r["named"], r["id"], h, -(1 << 63)) for h in heads)
+            # Texts with one beginning are cut by their hash.
+            out.update((r["named"], r["id"], h, x) for h, n in heads.items() if n > 1 for x in r["h"][:: max(1, most // n)])
+    return sorted(out)
+
+
+def _ranged(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with the number of their range in the column bucket."""
+    bounds = _bounds(rows, parts)
+
+    def place(named: pd.Series, key: pd.Series, head: pd.Series, hashed: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, x) for x in zip(named.tolist(), key.tolist(), head.tolist(), hashed.tolist(), strict=True)], dtype="int32")
+
+    return rows.withColumn("bucket", F.pandas_udf(place, "int")(*_ORDER))
+
+
 def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of a sorted partition but the last, each with the one after it."""
-    held = None
+    """All rows of each range but its last, each with the one after it; a partition holds whole ranges in order."""
+    held, at = None, None
     for batch in batches:
         items = []
-        for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-            now = (None if pd.isna(key) else int(key), text or "", sketch(text))
-            if held:
+        for named, key, bucket, text in zip(batch["named"].tolist(), batch["id"].tolist(), batch["bucket"].tolist(), batch["text"], strict=True):
+            now = (key if named else None, text, sketch(text))
+            if held and bucket == at:
                 items.append((*held, *now[1:]))
-            held = now
+            held, at = now, bucket
         yield _rows(items)
 
 
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First (role 0) and last (role 1) row of a partition."""
-    order = lambda row: (not pd.isna(row[0]), 0 if pd.isna(row[0]) else row[0], row[1])
-    low = high = None
-    for batch in batches:
-        rows = [(k, t or "") for k, t in zip(batch["doc_id"], batch["text"], strict=True)]
-        if rows:
-            low, high = min([*([low] if low else []), *rows], key=order), max([*([high] if high else []), *rows], key=order)
-    if low:
-        part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"part": [part] * 2, "role": [0, 1], "doc_id": pd.array([None if pd.isna(r[0]) else int(r[0]) for r in (low, high)], "Int64"),
-                            "text": [low[1], high[1]]})
-
-
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield _rows([(None if pd.isna(k) else int(k), t, sketch(t), n, sketch(n)) for k, t, n in zip(batch["doc_id"], batch["text"], batch["after"], strict=True)])
+        yield _rows([(k if n else None, t, sketch(t), x, sketch(x)) for n, k, t, x in zip(batch["named"], batch["id"], batch["text"], batch["after"], strict=True)])
 
 
-def op4_sketch(docs: DataFrame) -> DataFrame:
-    """Each text's fingerprint beside its edited text's and the next document's.
+def op4_sketch(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each text's fingerprint beside its edited text's and the next document's: a row for each row of docs.
 
-    One exchange sorts the documents by range of doc_id; rows are paired inside its partitions, and two rows
-    a partition (its first and last) pair the partitions. Null texts are empty; rows without an id come
-    first, rows that share an id go by text. A single document is its own next one; an empty table gives
-    an empty result.
+    The documents are cut into ranges of _ORDER at constant bounds; one exchange brings each range together,
+    where rows are paired in order. Of each range the first and the last row's values of _ORDER pass through
+    the driver, which pairs the ranges (one row each). Null texts are empty; rows without an id come first;
+    rows that share an id go by text as _ORDER says, and any number of them may: they fill several ranges.
+    Equal rows follow one another. A single document is its own next one; an empty table gives an empty
+    result; other columns are not looked at.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = slim.repartitionByRange(partitions(docs.sparkSession), "doc_id")
-    inside = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInPandas(_within, _OUT)
-    ends = dealt.mapInPandas(_ends, "part int, role int, doc_id long, text string")
-    # One small number a partition passes through this window, no text.
-    order = Window.orderBy("part")
-    parts = dealt.groupBy(F.spark_partition_id().alias("part")).count().select(
-        "part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("after"))
-    pairs = (ends.join(parts, "part").withColumn("pair", F.when(F.col("role") == 0, F.col("part")).otherwise(F.col("after")))
-             .groupBy("pair").agg(F.max(F.when(F.col("role") == 1, F.col("doc_id"))).alias("doc_id"),
-                                  F.max(F.when(F.col("role") == 1, F.col("text"))).alias("text"),
-                                  F.max(F.when(F.col("role") == 0, F.col("text"))).alias("after")))
-    return inside.unionByName(pairs.select("doc_id", "text", "after").mapInPandas(_across, _OUT))
+    spark = docs.sparkSession
+    parts = parts or partitions(spark)
+    rows = _ranged(_ordered(docs), parts)
+    sorted_rows = rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", *_ORDER)
+    inside = sorted_rows.select("named", "id", "bucket", "text").mapInPandas(_within, _OUT)
+    key = F.struct(*_ORDER)
+    ends = sorted(rows.groupBy("bucket").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect(), key=lambda r: r["bucket"])
+    pairs = [(*r["high"], *ends[(i + 1) % len(ends)]["low"]) for i, r in enumerate(ends)]
+    schema = ", ".join(f"{c}{s} {t}" for s in ("", "_next") for c, t in zip(_ORDER, ("int", "long", "long", "long"), strict=True))
+    wanted = spark.createDataFrame(pairs, schema)
+    marks = wanted.select(*_ORDER).union(wanted.select(*[f"{c}_next" for c in _ORDER])).distinct()
+    texts = _ordered(docs).join(F.broadcast(marks), list(_ORDER), "left_semi").groupBy(*_ORDER).agg(F.max("text").alias("text"))
+    after = texts.select(*[F.col(c).alias(f"{c}_next") for c in _ORDER], F.col("text").alias("after"))
+    across = wanted.join(texts, list(_ORDER)).join(after, [f"{c}_next" for c in _ORDER]).select("named", "id", "text", "after")
+    return inside.unionByName(across.mapInPandas(_across, _OUT))

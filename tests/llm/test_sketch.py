@@ -46,8 +46,8 @@ def test_short_empty_and_repeated_texts():
     assert len(s.sketch("a b c d e " * 5000)) == 5
 
 
-def check(rows, docs):
-    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+def check(rows, docs, order=None):
+    docs = sorted(docs, key=order or (lambda d: (d[0] is not None, d[0] or 0, d[1] or "")))
     want = []
     for i, (key, text) in enumerate(docs):
         text, nxt = text or "", docs[(i + 1) % len(docs)][1] or ""
@@ -77,3 +77,37 @@ def test_merged_by_source(spark):
     for source, texts in {}.items() or [("src1", [r.text for r in docs.filter("source = 'src1'").collect()])]:
         want = np.unique(np.concatenate([s.sketch(t) for t in texts]))[:s.K]
         assert got[source] == (want ^ np.uint64(1 << 63)).view(np.int64).tolist()
+
+
+def by_order(spark, docs):
+    """Sort key of the operator for rows that share an id: first seven bytes, then Spark's hash of the text."""
+    texts = sorted({t or "" for _, t in docs})
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    return lambda d: (d[0] is not None, d[0] or 0, (d[1] or "").encode()[:7].ljust(7, b"\0"), hashes[d[1] or ""])
+
+
+@pytest.mark.parametrize(("parts", "hot"), [(1, 7), (8, 7), (16, None), (211, 7)])
+def test_most_rows_share_an_id(spark, parts, hot):
+    n = 40_000
+    docs = [(hot if i % 1000 else i - 20_000, f"{'same start ' if i % 3 else i % 11} word {i % 1500}") for i in range(n)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    rows = s.op4_sketch(frame, parts).select("doc_id", "n_chars", "edited_sha256").collect()
+    docs.sort(key=by_order(spark, docs))
+    want = []
+    for i, (key, text) in enumerate(docs):
+        half = len(text) // 2
+        edited = text[:len(text) - half] + docs[(i + 1) % n][1][:half]
+        want.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+
+
+def test_a_shared_id_fills_several_ranges(spark):
+    docs = spark.range(20_000).selectExpr("7L AS doc_id", "concat('same start ', id) AS text")
+    sizes = [r["count"] for r in s._ranged(s._ordered(docs), 8).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 6000
+
+
+def test_very_long_texts(spark):
+    texts = ["1" * 1_000_000, "a " * 500_000, " " * 1_000_000, ",;." * 300_000]
+    docs = list(enumerate(texts))
+    check(s.op4_sketch(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
