@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from keepsake.llm import pii
 
@@ -52,3 +53,26 @@ def test_nulls_repeats_redaction_and_empty(spark):
     assert sorted((r.doc_id or 0, r.n_email) for r in pii.op7_pii(docs).collect()) == [(0, 0), (1, 1), (1, 1), (3, 0)]
     assert sorted(str(r.text) for r in pii.redact(docs).collect()) == ["", "<email>", "<email>", "None"]
     assert pii.op7_pii(docs.limit(0)).count() == 0 and pii.spans(docs).count() == 4
+
+
+def test_very_long_texts_take_linear_time():
+    for text in ("1" * 1_000_000, "1." * 500_000, "a" * 1_000_000, "a@" * 300_000, "+1 " * 300_000, "DE89 " * 200_000, "4111 1111 1111 1111 x " * 20_000, "030 1234 5678 call " * 20_000):
+        began = time.process_time()
+        found = pii.find(text)
+        assert time.process_time() - began < 30
+        assert [x[:3] for x in found if x[0] in PATTERNS] == sorted((x[:3] for x in found if x[0] in PATTERNS), key=lambda x: x[1])
+    assert len(pii.find("1.2.3.4 " * 1000)) == 1000 and len(pii.find("1" * 3000 + ".2.3.4")) == 0
+
+
+def test_context_moves_scores_and_decides_added_kinds():
+    score = {t: pii.find(t)[0][3] for t in ("write to a@b.co", "a@b.co", "noreply a@b.co")}
+    assert score["write to a@b.co"] > score["a@b.co"] > score["noreply a@b.co"]
+    assert pii.find("serial DE89 3704 0044 0532 0130 00") == [] and pii.find("x DE89 3704 0044 0532 0130 00") != []
+
+
+def test_added_spans_do_not_overlap_base_spans():
+    text = "call +49 030 1234 5678 or 4111-1111-1111-1111 or me.030@x.de call 030 1234 5678"
+    found = pii.find(text)
+    base = [x for x in found if x[0] in PATTERNS]
+    assert [x[0] for x in found if x[0] == "phone_local"] == ["phone_local"]
+    assert not any(a < e and s < b for k, s, e, _ in found if k not in PATTERNS for _, a, b, _ in base)
