@@ -4,7 +4,8 @@ Texts are canonicalised: numbers, names (capitalised words inside a sentence, no
 placeholders, letters lower case, other marks go. Windows of `width` template words are hash-joined with the
 benchmark's; a window that matches but fills its placeholders otherwise counts only if its slots are
 consistent over the whole aligned passage: each benchmark value always gives one value in the document and
-the other way round, as in a question with new parameters.
+the other way round, as in a question with new parameters. An item of fewer words is one window of its own
+length.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import broadcast_up_to, cut, fresh
 
 WIDTH = 8
+#: A shorter item is looked for as a whole if it has at least so many words; fewer are met by chance.
+SHORTEST = 5
 #: Words of a window that are no placeholder, and different ones among them, for it to say something.
 LITERALS, DIFFERENT = 5, 4
 #: Rows of benchmark windows, and of document ids, that may be broadcast (tens of bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 _SPACE = r"[\x09-\x0D\x20]+"
-_NUMBER = r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*[%°]?"
+#: Possessive: Java's engine would put each part of a number that it might give back on the stack.
+_NUMBER = r"[+-]?[$€£]?\d++(?:[.,:/]\d++)*+[%°]?"
 _NAME = r"(?<=[\p{L}\p{N}\x01,;]\x20)\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 _UNIT = (r"(?<=\x01\x20)(?:mm|cm|m|km|mg|g|kg|t|ml|l|s|ms|min|h|hours?|days?|weeks?|months?|years?|minutes?|seconds?|"
          r"miles?|feet|ft|inch(?:es)?|pounds?|lbs?|dollars?|euros?|cents?|percent|degrees?)(?![\p{L}\p{N}])")
@@ -45,25 +49,35 @@ def plain(text: Column) -> Column:
     return _words(F.lower(text))
 
 
-def _starts(words: Column, width: int) -> Column:
+def _starts(words: Column, width: Column) -> Column:
     n = F.size(words) - width + 1
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(words: str, width: int) -> Column:
+def _hashes(words: str, width: Column) -> Column:
     """xxhash64 of each window, from hashes of its words."""
     return F.transform(_starts(F.col(words), width), lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
 
 
+def _sized(width: int) -> Column:
+    """(width, place, h) of each window of the column w."""
+    return F.transform(_hashes("w", F.lit(width)), lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("place"), h.alias("h")))
+
+
 def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(h, item, at, slots): the benchmark's windows that say something; shorter items have none."""
+    """(h, item, at, slots, width): the benchmark's windows that say something.
+
+    That is at least LITERALS words that are no placeholder, DIFFERENT ones among them. Items of SHORTEST up to
+    `width` words have one window, all of the item.
+    """
     worded = benchmark.select(F.col(id_col).alias("item"), template(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).filter("item is not null")
-    windows = worded.select("item", "t", F.transform("t", lambda w: F.xxhash64(w)).alias("w")).select(
-        "item", "t", F.posexplode(_hashes("w", width)).alias("at", "h"))
-    window = F.slice(F.col("t"), F.col("at") + 1, F.lit(width))
+    sized = worded.filter(F.size("t") >= min(SHORTEST, width)).withColumn("width", F.least(F.size("t"), F.lit(width)))
+    windows = sized.select("item", "t", "width", F.transform("t", lambda w: F.xxhash64(w)).alias("w")).select(
+        "item", "t", "width", F.posexplode(_hashes("w", F.col("width"))).alias("at", "h"))
+    window = F.slice(F.col("t"), F.col("at") + 1, F.col("width"))
     literal = F.filter(window, lambda w: ~w.isin(*_PLACEHOLDERS))
     return windows.filter((F.size(literal) >= LITERALS) & (F.size(F.array_distinct(literal)) >= DIFFERENT)).select(
-        "h", "item", "at", (F.size(literal) < width).alias("slots")).distinct()
+        "h", "item", "at", (F.size(literal) < F.col("width")).alias("slots"), "width").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -71,18 +85,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item, n_windows): the documents that hold passages of benchmark items, and in how many windows.
 
     Null, empty and short texts match nothing; a row without an id cannot be named and is passed over; rows
-    that share an id are one document. A benchmark item of fewer than `width` words is not looked for.
+    that share an id are one document. Very long texts are read whole. Items without an id, null ones and those
+    of fewer than SHORTEST words or LITERALS literal words are not looked for. Empty tables give no match.
     """
-    table = broadcast_up_to(cut(index(benchmark, item_col, item_text_col, width)), BROADCAST_ROWS)
+    indexed = cut(index(benchmark, item_col, item_text_col, width))
+    # The lengths of windows that the benchmark has: `width`, and fewer where it has shorter items.
+    widths = sorted((r["width"] for r in indexed.select("width").distinct().collect()), reverse=True)
+    table = broadcast_up_to(indexed, BROADCAST_ROWS)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     hashed = slim.select("id", template(F.col("text")).alias("t")).select("id", F.transform("t", lambda w: F.xxhash64(w)).alias("w"))
-    found = hashed.select("id", F.posexplode(_hashes("w", width)).alias("place", "h")).join(table, "h")
-    hits = cut(found.select("id", "place", "item", "at", (F.col("place") - F.col("at")).alias("shift"), "slots").distinct())
+    if widths[1:]:
+        windows = hashed.select("id", F.explode(F.concat(*map(_sized, widths))).alias("s")).select("id", "s.width", "s.place", "s.h")
+    else:
+        windows = hashed.select("id", F.lit(width).alias("width"), F.posexplode(_hashes("w", F.lit(width))).alias("place", "h"))
+    found = windows.join(table, ["h", "width"])
+    hits = cut(found.select("id", "place", "item", "at", "width", (F.col("place") - F.col("at")).alias("shift"), "slots").distinct())
     open_ = hits.filter("slots")
     ids = broadcast_up_to(cut(open_.select("id").distinct()), BROADCAST_ROWS)
     held = slim.join(ids, "id", "left_semi").select("id", template(F.col("text")).alias("t"), plain(F.col("text")).alias("p"))
     items = benchmark.select(F.col(item_col).alias("item"), plain(F.coalesce(F.col(item_text_col), F.lit(""))).alias("b"))
-    cuts = lambda words, at: F.slice(F.col(words), F.col(at) + 1, F.lit(width))
+    cuts = lambda words, at: F.slice(F.col(words), F.col(at) + 1, F.col("width"))
     pairs = (open_.join(held, "id").join(items, "item")
              .select("id", "item", "shift", F.explode(F.arrays_zip(cuts("t", "place").alias("t"), cuts("p", "place").alias("p"), cuts("b", "at").alias("b"))).alias("s"))
              .select("id", "item", "shift", "s.t", "s.p", "s.b").filter(F.col("t").isin(*_PLACEHOLDERS)))
@@ -101,6 +123,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def op10_decontam(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each contaminated document: doc_id, n_windows (that match some item), item_ids (ascending)."""
+    """A row for each contaminated document: doc_id, n_windows (that match some item), item_ids (ascending).
+
+    Null, empty, very long and repeated texts, rows without an id, clashing columns and empty tables are as in matches().
+    """
     found = matches(docs, benchmark)
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.sum("n_windows").alias("n_windows"), F.sort_array(F.collect_set("item")).alias("item_ids"))

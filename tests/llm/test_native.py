@@ -67,3 +67,23 @@ def test_planted_passages_of_the_table(spark):
     want = {r.doc_id for r in docs.collect() for w in [norm(r.text)] if any(tuple(w[j:j + 8]) in grams for j in range(len(w) - 7))}
     got = {r.doc_id for r in d.op10_decontam(docs, bench).collect()}
     assert len(want) > 10 and got == want
+
+
+def test_very_long_texts(spark):
+    texts = ["1," * 1_000_000, "1" * 1_000_000, "a " * 500_000, "A" * 1_000_000, "Ab " * 300_000, "!" * 1_000_000, " " * 1_000_000, ITEM + " 7" * 500_000]
+    _, _, found = flagged(spark, texts)
+    assert found == {7: [1]}
+    assert secrets.op6_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
+
+
+def test_short_items_are_looked_for_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "so name the green river of Lund today"), (2, "name the green river"), (3, "name the green river of 12 and more"), (4, ITEM)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "Name the green river of Lund"), (6, "the green"), (7, ITEM), (8, "so so so so so so")], "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in d.op10_decontam(docs, bench).collect()} == {1: [5], 4: [7]}
+
+
+def test_a_window_that_many_items_share(spark):
+    shared = "the same eight words begin every one of them"
+    bench = spark.createDataFrame([(i, f"{shared} then {i} follows") for i in range(200)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{shared} and no more") for i in range(200)], "doc_id long, text string")
+    assert all(len(r.item_ids) == 200 for r in d.op10_decontam(docs, bench).collect())
