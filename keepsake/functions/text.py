@@ -5,18 +5,30 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FOLDED = [(chr(c), d[0]) for c in range(0xC0, 0x250)
-           if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and all(unicodedata.combining(m) for m in d[1:])]
-_MARKED, _PLAIN = ("".join(x) for x in zip(*_FOLDED, strict=True))
+def _bases(last: int) -> dict[str, str]:
+    """Letters up to a code point that stand for a letter and marks, by the letter."""
+    found = {}
+    for c in map(chr, range(0xC0, last)):
+        whole = unicodedata.normalize("NFD", c)
+        if len(whole) > 1 and whole[0].isalnum() and all(unicodedata.combining(m) for m in whole[1:]):
+            found[c] = whole[0]
+    return found
+
+
+_BASES = _bases(0x3000)
+_MARKED, _PLAIN = "".join(_BASES), "".join(_BASES.values())
 WORD = r"[\p{L}\p{N}]+"
+#: A word as it is written, with combining marks.
+WRITTEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin diacritics; letters that do not decompose (ß, ø) stay."""
-    return F.translate(F.lower(text), _MARKED, _PLAIN)
+    """Lower case without diacritics, composed or combining; letters that do not decompose (ß, ø) stay."""
+    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -25,7 +37,16 @@ def tokens(text: Column) -> Column:
 
 
 def fold_text(text: str) -> str:
-    return text.lower().translate(str.maketrans(_MARKED, _PLAIN))
+    low = text.lower().translate(str.maketrans(_MARKED, _PLAIN))
+    return "".join(c for c in low if not unicodedata.category(c).startswith("M"))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode's composed form; Spark has no function for it, so Arrow batches go through Python."""
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(compose, "string")(text)
 
 
 def query_terms(raw: str) -> list[list[str]]:

@@ -7,19 +7,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import WORD, fold
+from keepsake.functions.text import WRITTEN, fold, fold_text
 
 THRESHOLD, MIN_SIZE = 0.82, 3
 LABEL_TERMS = 3
 LABEL_CONFIDENCE = 0.5
-#: Common function words of English, Spanish and Portuguese, folded.
-STOPWORDS = tuple(sorted(set((
-    "a an and are as at be been but by for from had has have he her his i if in into is it its me my no not of on or our she so that the their them they "
-    "this to was we were what when which who will with you your "
-    "al ante con como cual cuando de del desde donde el ella ellos en entre era es esa ese eso esta este esto fue ha han hasta hay la las le les lo los mas me mi muy "
-    "ni nos o para pero por que quien se ser si sin sobre son su sus te tu un una uno y ya yo "
-    "ao aos as ate com da das do dos e ela ele eles em foi isso isto ja mas mesmo meu minha muito na nas nao nem no nos o os ou pela pelo quando que sao se sem ser seu sua "
-    "tambem tem um uma voce").split())))
+#: Function words by kind: articles and pronouns; prepositions and conjunctions; auxiliary verbs and adverbs.
+FUNCTION_WORDS = {
+    "English": ("a an the this that these those i me my mine myself you your yours yourself he him his himself she her hers herself it its itself we us our ours ourselves "
+                "they them their theirs themselves who whom whose which what "
+                "about above after against among and as at because before behind below between but by down during for from if in into nor of off on or out over since so "
+                "than then through to under until up upon while with without "
+                "am is are was were be been being do does did doing done have has had having can could may might must shall should will would "
+                "again all also any both each few here how just more most no not now once only other own same some such there too very when where why"),
+    "Spanish": ("el la los las lo un una unos unas este esta esto estos estas ese esa eso esos esas yo tú él ella ello nosotros vosotros ellos ellas usted ustedes me te se nos os le les mi mis "
+                "tu tus su sus nuestro nuestra vuestro que quien quienes cual cuales "
+                "a al ante bajo con contra de del desde durante en entre hacia hasta para por según sin sobre tras y e o u ni pero sino porque pues si como cuando donde mientras aunque "
+                "es son soy eres era eran fue fueron ser sido está están estaba estar ha han he hay había haber tiene tengo tener "
+                "algo algunos cada más menos mucho muchos muy no nada otro otra otros poco sí también tanto todo toda todos todas ya aquí así"),
+    "Portuguese": ("o a os as um uma uns umas este esta isto esse essa isso aquele aquela aquilo eu tu ele ela nós vós eles elas você vocês me te se lhe lhes nos meu minha teu tua seu sua seus suas "
+                   "nosso nossa que quem qual quais "
+                   "ao aos à às de do da dos das em no na nas num numa com contra desde entre até para por pelo pela pelos pelas sem sob sobre e ou nem mas porque pois se como quando onde enquanto "
+                   "é são sou era eram foi foram ser sido está estão estava estar há havia haver tem têm tenho ter "
+                   "algo cada mais menos mesmo muito muitos não nada outro outra pouco sim também tudo todo toda todos todas já aqui assim"),
+}
+STOPWORDS = tuple(sorted({fold_text(w) for words in FUNCTION_WORDS.values() for w in words.split()}))
 
 
 def greedy_clusters(ids: list, vectors: np.ndarray, threshold: float = THRESHOLD, min_size: int = MIN_SIZE) -> list[tuple[int, float]]:
@@ -90,10 +102,10 @@ def source_keys(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.concat(F.lit("theme:"), F.sha2(F.array_join(ids, "\n"), 256)).alias("source_key"))
 
 
-def terms(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(id, term, surface) for each word of texts (id, text) that is no stopword; term is folded."""
-    words = texts.select("id", F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).alias("surface"))
-    return words.withColumn("term", fold(F.col("surface"))).filter((F.length("term") > 1) & ~F.col("term").isin(*STOPWORDS))
+def terms(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(id, term, surface) for each word of texts (id, text) that is no stopword (given folded); term is folded."""
+    words = texts.select("id", F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WRITTEN), F.lit(0))).alias("surface"))
+    return words.withColumn("term", fold(F.col("surface"))).filter((F.length("term") > 1) & ~F.col("term").isin(*stopwords))
 
 
 def ranked_terms(words: DataFrame, members: DataFrame) -> DataFrame:
