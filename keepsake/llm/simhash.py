@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import cut, encode, fresh, partitions
 from keepsake.llm.components import components
 
-#: (offset, length) in bits. Four differing bits over three segments leave one with at most one.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
+#: (fingerprints up to which it serves, segments, segments of a key). Four differing bits leave three segments with one
+#: of at most one bit, five with such a pair of them, six with such a triple: keys of 20, 24 and 31 bits besides the wildcard.
+SCHEMES = ((1 << 22, 3, 1), (1 << 25, 5, 2), (None, 6, 3))
 #: Signature buckets with more distinct fingerprints than this are linked through shared neighbours.
 BUCKET_PAIRS = 512
 
@@ -58,29 +60,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInPandas(_fingerprints(width), "id long, fp long")
 
 
-def _signatures(fp: Column) -> Column:
-    """A signature for each bit of each segment: the segment without that bit, under the pair's number."""
-    out = []
-    for offset, length in SEGMENTS:
-        for bit in range(length):
-            part = F.shiftrightunsigned(fp, offset).bitwiseAND(F.lit(((1 << length) - 1) & ~(1 << bit)))
-            out.append(part.bitwiseOR(F.lit(len(out) << 22)).cast("int"))
-    return F.array(*out)
+def masks(segments: int, together: int) -> list[int]:
+    """The bits of each key: every choice of `together` segments out of all."""
+    edges = [round(i * 64 / segments) for i in range(segments + 1)]
+    parts = [sum(1 << bit for bit in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(some) for some in combinations(parts, together)]
 
 
-def _first_shared(x: Column) -> Column:
-    """Number of the first signature that two fingerprints with difference x share; each pair is taken there alone."""
-    found, number = F.lit(-1), 0
-    choices = []
-    for offset, length in SEGMENTS:
-        part = F.shiftrightunsigned(x, offset).bitwiseAND(F.lit((1 << length) - 1))
-        # With one differing bit its own position is the wildcard; its place is the count of bits below it.
-        place = F.bit_count((part - F.lit(1)).bitwiseAND(F.bitwise_not(part)))
-        choices.append((F.bit_count(part), F.when(part == 0, F.lit(number)).otherwise(place + number)))
-        number += length
-    for count, where in reversed(choices):
-        found = F.when(count <= 1, where).otherwise(found)
-    return found
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(v)).cast("long") for v in values])
+
+
+def _signature(fp: Column, keep: Column) -> Column:
+    return F.xxhash64(fp.bitwiseAND(keep), keep)
+
+
+def _signatures(fp: Column, keys: list[int]) -> Column:
+    """A signature for each bit of each key: the key without that bit, hashed with the bits that it keeps."""
+    keeps = [mask & ~(1 << bit) for mask in keys for bit in range(64) if mask >> bit & 1]
+    return F.transform(_longs(keeps), lambda keep: _signature(fp, keep))
+
+
+def _first_shared(a: Column, differ: Column, keys: list[int]) -> Column:
+    """The first signature that a and another fingerprint share, which differs from it by `differ`; each pair is taken there alone."""
+    near = lambda mask: F.bit_count(differ.bitwiseAND(mask)) <= 1
+    mask = F.get(F.filter(_longs(keys), near), F.lit(0))
+    part = differ.bitwiseAND(mask)
+    # The wildcard is the differing bit, or the key's lowest one if there is none.
+    lowest = mask.bitwiseAND(F.bitwise_not(mask) + F.lit(1))
+    return _signature(a, mask.bitwiseAND(F.bitwise_not(F.when(part == 0, lowest).otherwise(part))))
 
 
 def _ball(fp: Column) -> Column:
@@ -91,16 +103,21 @@ def _ball(fp: Column) -> Column:
     return F.transform(F.array_distinct(F.array_union(pairs, F.array(F.lit(0).cast("long")))), lambda m: m.bitwiseXOR(fp))
 
 
-def links(prints: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def links(prints: DataFrame, bucket_pairs: int = BUCKET_PAIRS, scheme: tuple[int, int] | None = None) -> DataFrame:
     """Edges (a, b) over distinct fingerprints whose components are those of "at most four bits differ".
 
-    Buckets of up to `bucket_pairs` fingerprints are compared pair by pair, each pair at one signature only.
-    A fingerprint in a larger bucket is linked to each value within two bits of it instead: two of them
-    differ by at most four bits exactly if they have such a value in common. That takes 2,081 rows a
+    The number of fingerprints chooses how long the keys are (SCHEMES), so that buckets stay small; each pair is
+    compared at one signature only, and every scheme finds every pair. Should a bucket have more than
+    `bucket_pairs` fingerprints all the same, each of them is linked to each value within two bits of it instead:
+    two of them differ by at most four bits exactly if they have such a value in common. That takes 2,081 rows a
     fingerprint however large the bucket is, and each edge (value, smallest fingerprint near it) is a link.
     """
-    # A row becomes 64: few partitions of few rows would make large tasks.
-    signed = prints.repartition(partitions(prints.sparkSession), "fp").select("fp", F.explode(_signatures(F.col("fp"))).alias("sig"))
+    spark = prints.sparkSession
+    n = prints.count() if scheme is None else 0
+    keys = masks(*(scheme or next((s, k) for most, s, k in SCHEMES if most is None or n <= most)))
+    # A row becomes many: few partitions of few rows would make large tasks. The rows come dealt by fp, and another
+    # deal by fp would be left out, so they are dealt by its hash.
+    signed = prints.repartition(partitions(spark), F.xxhash64("fp")).select("fp", F.explode(_signatures(F.col("fp"), keys)).alias("sig"))
     heavy = signed.groupBy("sig").count().filter(F.col("count") > bucket_pairs).select("sig")
     # As a rule no bucket is heavy; this is a look at one row, and spares the light path a join.
     if heavy.limit(1).count():
@@ -115,22 +132,22 @@ def links(prints: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     left, right = signed.select("sig", F.col("fp").alias("a")), signed.select("sig", F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     close = (left.join(right, "sig").filter("a < b").filter(F.bit_count(differ) <= MAX_BITS)
-             .filter(_first_shared(differ) == F.shiftrightunsigned(F.col("sig"), 22)).select("a", "b"))
+             .filter(_first_shared(F.col("a"), differ, keys) == F.col("sig")).select("a", "b"))
     return close if extra is None else close.union(extra)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
-                    bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+                    bucket_pairs: int = BUCKET_PAIRS, scheme: tuple[int, int] | None = None) -> DataFrame:
     """(id, fp, component) for each row: component is the smallest id that the row reaches by links.
 
     Rows of equal fingerprint are one node, so repeated rows and large groups of copies cost one row each.
     Null, empty and white-space texts share fingerprint zero and are linked like any other. A row without
-    an id is kept; it takes its component's smallest id, or null if no row there has one.
-    An empty table gives an empty result; other columns are not looked at.
+    an id is kept; it takes its component's smallest id, or null if no row there has one. Very long texts are
+    read in blocks of shingles. An empty table gives an empty result; other columns are not looked at.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(nodes.select("fp"), bucket_pairs))
+    roots = components(links(nodes.select("fp"), bucket_pairs, scheme))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     labels = named.join(least, "root").select("fp", "component")
@@ -146,6 +163,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint as 16 hex digits, component_id."""
+    """doc_id, fingerprint as 16 hex digits, component_id: a row for each row of docs.
+
+    Nulls, empty and very long texts, repeated rows, clashing columns and empty tables are as in near_duplicates().
+    """
     return near_duplicates(docs).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

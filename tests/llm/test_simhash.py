@@ -1,11 +1,14 @@
+from itertools import combinations_with_replacement
+
 import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from keepsake.llm.components import components
-from keepsake.llm.simhash import fingerprint, keep_first, links, near_duplicates
+from keepsake.llm.simhash import SCHEMES, fingerprint, keep_first, links, masks, near_duplicates
 
 
 def brute_print(text):
@@ -51,8 +54,8 @@ def test_whole_table_against_brute_force(spark):
     assert got == {i: (signed(x), want[i]) for i, x in prints}
 
 
-@pytest.mark.parametrize("bucket_pairs", [512, 3])
-def test_links_of_planted_fingerprints(spark, bucket_pairs):
+@pytest.mark.parametrize(("bucket_pairs", "scheme"), [(512, None), (3, None), (512, (5, 2)), (512, (6, 3)), (3, (6, 3))])
+def test_links_of_planted_fingerprints(spark, bucket_pairs, scheme):
     rng = np.random.default_rng(5)
     prints = []
     for base in rng.integers(0, 2**63, 6):
@@ -63,7 +66,7 @@ def test_links_of_planted_fingerprints(spark, bucket_pairs):
             prints.append(x)
     prints = list(dict.fromkeys(prints))
     frame = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
-    roots = {r.node: r.root for r in components(links(frame, bucket_pairs)).collect()}
+    roots = {r.node: r.root for r in components(links(frame, bucket_pairs, scheme)).collect()}
     ids = {signed(x): n for n, x in enumerate(prints)}
     want = brute_components([(n, x) for n, x in enumerate(prints)])
     groups = {}
@@ -89,3 +92,30 @@ def test_nulls_repeats_clashing_columns_and_empty_table(spark):
     assert got == [(-1, 1), (1, 1), (1, 1), (2, 2), (3, 2), (9, 9)]
     assert sorted((r.doc_id or -1, r.fp) for r in keep_first(docs).collect()) == [(-1, "z"), (1, "x"), (2, "y"), (9, "q")]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("segments", "together"), [(s, k) for _, s, k in SCHEMES])
+def test_four_bits_always_leave_a_key_with_at_most_one(segments, together):
+    keys = masks(segments, together)
+    lengths = {k.bit_count() for k in keys}
+    assert max(lengths) - min(lengths) <= together
+    edges = [round(i * 64 / segments) for i in range(segments + 1)]
+    for some in combinations_with_replacement(range(segments), 4):  # which segments the bits are in is all that counts
+        taken = {}
+        differ = sum(1 << edges[k] + taken.setdefault(k, iter(range(4))).__next__() for k in some)
+        assert any((differ & key).bit_count() <= 1 for key in keys)
+
+
+def test_each_pair_is_taken_once_at_a_signature_that_both_have(spark):
+    base = 0x0123456789ABCDEF
+    prints = [base, base ^ 1, base ^ (1 << 63), base ^ 0b1111, base ^ (1 | 1 << 20 | 1 << 40 | 1 << 60), base ^ 0b11111 << 8]
+    frame = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
+    want = sorted(sorted((signed(x), signed(y))) for i, x in enumerate(prints) for y in prints[:i] if (x ^ y).bit_count() <= 4)
+    for _, *scheme in SCHEMES:
+        assert sorted(sorted((r.a, r.b)) for r in links(frame, scheme=tuple(scheme)).collect()) == want
+
+
+def test_the_signatures_are_made_in_as_many_tasks_as_asked_for(spark):
+    frame = spark.range(1000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp")
+    plan = links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
