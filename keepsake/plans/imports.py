@@ -46,9 +46,10 @@ def linkedin_dates(s, d):
 
 
 def apple_dates(s, d):
-    raw = F.col("event_id") * F.element_at(F.array(F.lit(86_400), F.lit(86_400_000_000), F.lit(86_400_000_000_000)), (F.col("event_id") % 3 + 1).cast("int")) % F.element_at(
-        F.array(F.lit(10**10), F.lit(10**16), F.lit(10**18)), (F.col("event_id") % 3 + 1).cast("int"))
-    return t.table(s, d, "events").filter("event_id % 3 = 0").select("event_id", F.date_format(dates.apple_date(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    """Moments since 2001 in seconds, microseconds and nanoseconds by turns, read back; each number is in its unit's range."""
+    seconds = F.lit(100_000) + F.col("event_id") * 86_400 % 90_000_000
+    raw = seconds * F.element_at(F.array(F.lit(1), F.lit(10**6), F.lit(10**9)), (F.col("event_id") % 3 + 1).cast("int"))
+    return t.table(s, d, "events").select("event_id", F.date_format(dates.apple_date(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def telegram_records(s, d):
@@ -148,7 +149,7 @@ ORACLE_SQL = {
       strftime(make_timestamp(2021, turn % 12 + 1, conv_id % 28 + 1, 10, turn % 60, 0), '%Y-%m-%d %H:%M') AS sent FROM conversations""",
     "vote_date_order": """SELECT o_custkey, count(*) FILTER (day(o_orderdate) > 12) AS dmy, 0::BIGINT AS mdy, 0::BIGINT AS ymd, 'dmy' AS "order" FROM orders GROUP BY o_custkey""",
     "linkedin_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 5 = 4 THEN ' 10:20:30' ELSE ' 00:00:00' END AS read FROM orders",
-    "apple_dates": "SELECT event_id, strftime(TIMESTAMP '2001-01-01' + to_seconds(event_id * 86400 % 10000000000), '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 3 = 0",
+    "apple_dates": "SELECT event_id, strftime(TIMESTAMP '2001-01-01' + to_seconds(100000 + event_id * 86400 % 90000000), '%Y-%m-%d %H:%M:%S') AS at FROM events",
     "telegram_records": """SELECT conv_id::VARCHAR AS chat, 'message:' || (turn % 7) AS sourceRef, role AS author, md5(nullif(trim(text, ' '), '')) AS body_md5, strftime(make_timestamp((1600000000 + turn * 60)::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS at
       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 7 ORDER BY turn) AS r FROM conversations) WHERE r = 1 AND turn % 5 <> 4""",
     "thread_records": """SELECT 'x/messages/inbox/t' || conv_id || '/message_1.json#' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ':text' AS sourceRef, role AS author,
