@@ -1,6 +1,6 @@
 """Substring dedup: words covered by long enough repeats of earlier documents are removed.
 
-Nothing is compared with the whole corpus. Documents are dealt to chunks by a hash of their id. A window of
+Nothing is compared with the whole corpus. Documents are dealt to chunks by a hash of id and text. A window of
 `width` words has an anchor, the least hash of its 5-word runs, so equal windows have equal anchors:
 
  1. each anchor that two documents have gets an owner, the smallest document id that has it;
@@ -30,8 +30,8 @@ WIDTH = 13
 ANCHOR = 5
 #: Words of reference passages that one automaton holds.
 SHARD_WORDS = 40_000
-#: Rows of documents in a chunk.
-CHUNK_ROWS = 4_000
+#: Rows of documents in a chunk, and bytes of their texts, on average; one document may be longer.
+CHUNK_ROWS, CHUNK_BYTES = 4_000, 1 << 25
 #: Words of a reference table that may be broadcast.
 REFERENCE_WORDS = 2_000_000
 
@@ -58,7 +58,7 @@ class _Doc:
         self.id = key
         self.buf = encode(text)
         self.starts, self.ends = word_spans(self.buf)
-        self.hashes = span_hashes(self.buf, self.starts, self.ends) if len(self.starts) >= width and self.id is not None else np.empty(0, np.uint64)
+        self.hashes = span_hashes(self.buf, self.starts, self.ends) if len(self.starts) >= width else np.empty(0, np.uint64)
         self.anchors = _anchors(self.hashes, width)
 
     def words(self, start: int, end: int) -> list[bytes]:
@@ -68,14 +68,8 @@ class _Doc:
         return int(np.uint64(xxhash.xxh3_64_intdigest(self.buf)).view(np.int64))
 
 
-def _rows(frame: pd.DataFrame) -> Iterator[tuple[int | None, str | None]]:
-    """(id, text) of each row; ids come beside a flag, as a null among them would turn them all into floats."""
-    for key, named, text in zip(frame["id"].tolist(), frame["named"].tolist(), frame["text"], strict=True):
-        yield key if named else None, text
-
-
 def _docs(frame: pd.DataFrame, width: int) -> Iterator[_Doc]:
-    for key, text in _rows(frame):
+    for key, text in zip(frame["id"].tolist(), frame["text"], strict=True):
         yield _Doc(key, text, width)
 
 
@@ -122,7 +116,7 @@ def _sorted(frame: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                 chunk_rows: int = CHUNK_ROWS, shard_words: int = SHARD_WORDS) -> DataFrame:
+                 chunk_rows: int = CHUNK_ROWS, shard_words: int = SHARD_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, n_words, n_removed, kept) for each row of docs; kept is the words that stay, joined by one space.
 
     A word goes if a window of `width` words over it also starts in a document with a smaller id, as the input
@@ -131,9 +125,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     key = F.col(id_col).cast("long")
-    slim = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNotNull().alias("named"), F.col(text_col).alias("text"))
-    n_chunks = max(1, -(-docs.count() // chunk_rows))
-    dealt = slim.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)).cast("int")).repartition(min(partitions(spark), n_chunks), "chunk")
+    slim = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    # Rows without an id go round the matching, so that they need no chunk.
+    named, unnamed = slim.filter("id is not null"), slim.filter("id is null")
+    n_rows, n_bytes = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_chunks = max(1, -(-n_rows // chunk_rows), -(-n_bytes // chunk_bytes))
+    dealt = named.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("int")).repartition(min(partitions(spark), n_chunks), "chunk")
 
     def emit_anchors(key, frame):
         found = [(np.unique(d.anchors), d.id) for d in _docs(frame, width) if len(d.anchors)]
@@ -214,10 +211,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known, owner = _sorted(last[~plain], "window")
         marks = {(i, k): (bytes(h), bytes(o), bytes(w)) for i, k, h, o, w in zip(*(last.loc[plain, c].tolist() for c in ("id", "key", "hit", "open", "hashes")), strict=True)}
         out = []
-        for key_, text in _rows(frame):
+        for key_, text in zip(frame["id"].tolist(), frame["text"], strict=True):
             buf = encode(text)
             words = buf.split()
-            mark = None if key_ is None or not marks else marks.get((key_, int(np.uint64(xxhash.xxh3_64_intdigest(buf)).view(np.int64))))
+            mark = None if not marks else marks.get((key_, int(np.uint64(xxhash.xxh3_64_intdigest(buf)).view(np.int64))))
             gone = 0
             if mark:
                 hit, open_, hashes = np.frombuffer(mark[0], "<i4"), np.frombuffer(mark[1], "<i4"), np.frombuffer(mark[2], np.int64)
@@ -230,9 +227,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if gone:
                     words = [words[i] for i in np.flatnonzero(stays).tolist()]
             out.append((key_, len(words) + gone, gone, b" ".join(words).decode("utf-8", "replace")))
-        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"]).astype({"id": "Int64"})
+        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+
+    done = dealt.groupBy("chunk").cogroup(last.groupBy("chunk")).applyInPandas(remove, "id long, n_words long, n_removed long, kept string")
+    return done.unionByName(unnamed.mapInPandas(_whole, "id long, n_words long, n_removed long, kept string"))
+
 
-    return dealt.groupBy("chunk").cogroup(last.groupBy("chunk")).applyInPandas(remove, "id long, n_words long, n_removed long, kept string")
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The result of rows that lose nothing."""
+    for batch in batches:
+        words = [encode(t).split() for t in batch["text"]]
+        yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n_words": [len(w) for w in words], "n_removed": 0, "kept": [b" ".join(w).decode("utf-8", "replace") for w in words]})
 
 
 def without_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,

@@ -60,6 +60,18 @@ def test_random_documents_with_common_passages(spark, chunk, shard):
     assert sorted(map(tuple, got), key=str) == brute(docs)
 
 
+def test_one_id_many_ids_and_none_over_small_chunks(spark):
+    rng = np.random.default_rng(9)
+    shared = [" ".join(f"s{i}x{j}" for j in range(20)) for i in range(3)]
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"a{i} {shared[rng.integers(0, 3)]} b{i} {shared[rng.integers(0, 3)]}") for i in range(120)]
+    docs += docs[:30] + [(None, None), (7, None), (7, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (1000, 1 << 25):
+        assert sorted(map(tuple, s.deduplicated(frame, chunk_bytes=size).collect()), key=str) == brute(docs)
+    unnamed = frame.filter("doc_id is null")
+    assert s.deduplicated(unnamed).agg({"n_removed": "sum"}).first()[0] == 0 and s.deduplicated(unnamed).count() == unnamed.count()
+
+
 def test_whole_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
