@@ -73,24 +73,21 @@ def centroids(points: DataFrame, clusters: DataFrame) -> DataFrame:
     return points.join(clusters.filter("cluster is not null"), "id").groupBy("cluster").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"))
 
 
-#: Places of a gazetteer that may be broadcast for a nearest-neighbour join (some tens of bytes each).
-BROADCAST_PLACES = 500_000
+#: The least first search width of a nearest-neighbour search, in metres.
+FIRST_METRES = 1_000.0
 
 
 def nearest(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(id, place_id, d): the gazetteer entry (id, lat, lon) nearest to each point; ties to the smaller entry id.
 
-    Clusters are few and a gazetteer is a reference table: its size is checked before it is broadcast. A
-    larger one is searched through grid cells of growing width until every point has found its nearest.
+    Points look for entries in grid cells: first about as wide as entries lie apart if spread over the globe,
+    then four times as wide for those that found none, so that a search is an equality join at any size.
     """
-    places = gazetteer.select(F.col("id").alias("place_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    if places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES:
-        d = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-        best = points.join(F.broadcast(places), F.lit(True), "inner").groupBy("id").agg(F.min(F.struct(d.alias("d"), "place_id")).alias("n"))
-        return best.select("id", F.col("n.place_id").alias("place_id"), F.col("n.d").alias("d"))
-    found, open_, metres = None, points.select("id", "lat", "lon"), 50_000.0
-    while metres < 4 * math.pi * EARTH_METRES:
-        near = cut(near_pairs(open_, gazetteer.select("id", "lat", "lon"), metres).groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("n"))
+    places = gazetteer.select("id", "lat", "lon")
+    metres = max(FIRST_METRES, EARTH_METRES * math.sqrt(4 * math.pi / max(1, places.count())))
+    found, open_ = None, points.select("id", "lat", "lon")
+    while metres < 16 * math.pi * EARTH_METRES:
+        near = cut(near_pairs(open_, places, metres).groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("n"))
                    .select("id", F.col("n.b").alias("place_id"), F.col("n.d").alias("d")))
         found = near if found is None else found.unionByName(near)
         open_ = cut(open_.join(near, "id", "left_anti"))

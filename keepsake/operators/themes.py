@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import WRITTEN, fold, fold_text
+from keepsake.operators.graph import cut
 
 THRESHOLD, MIN_SIZE = 0.82, 3
+#: Vectors that a round of clusters_by_rounds goes through one by one, in one task.
+BLOCK = 4_000
 LABEL_TERMS = 3
 LABEL_CONFIDENCE = 0.5
 #: Function words by kind: articles and pronouns; prepositions and conjunctions; auxiliary verbs and adverbs.
@@ -96,6 +99,66 @@ def clusters(vectors: DataFrame, shard: Column | None = None, threshold: float =
     return keyed.groupBy("shard").applyInPandas(run, f"id {kind}, shard string, cluster int, similarity double")
 
 
+def clusters_by_rounds(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE, block: int = BLOCK) -> DataFrame:
+    """(id, cluster, similarity) of vectors (id, vector) over a whole table of any size; items in too small clusters have no row.
+
+    A round takes the `block` smallest ids still open through the greedy method, and gives each later vector to
+    the cluster of that block which is most similar (the first of equals) if it reaches the threshold; the others
+    are open for the next round. So no task holds more than a block, all members of a cluster meet wherever their
+    ids lie, and a table of up to one block has the greedy result. Rounds grow with the number of clusters.
+    Clusters are numbered in the order of their founding, small ones left out. Rows without an id or a vector have no row.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema["id"].dataType.simpleString()
+    open_ = cut(vectors.select("id", "vector").filter("id is not null and vector is not null"))
+    if open_.groupBy("id").count().filter("count > 1").limit(1).count():
+        raise ValueError("ids repeat")
+    found = spark.createDataFrame([], f"id {kind}, round int, number int, similarity double")
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable")
+        x = np.stack(frame["vector"].tolist())
+        of = greedy_clusters(frame["id"].tolist(), x, threshold, 1)
+        number = np.array([c for c, _ in of])
+        wide = x.astype(np.float32).astype(np.float64)
+        centres = [wide[number == c].mean(0).astype(np.float32) for c in number]
+        return frame[["id"]].assign(number=number, similarity=[s for _, s in of], centre=[c.tolist() for c in centres])
+
+    def later(centres: np.ndarray):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def run(batches):
+            c = shared.value.astype(np.float64)
+            lengths = np.sqrt((c * c).sum(1))
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = np.stack(batch["vector"].tolist()).astype(np.float32).astype(np.float64)
+                size = np.sqrt((x * x).sum(1))[:, None] * lengths
+                sims = np.where(size > 0, x @ c.T / np.where(size > 0, size, 1), 0.0)
+                best = sims.argmax(1)
+                top = sims[np.arange(len(x)), best]
+                near = top >= threshold
+                yield batch.assign(number=np.where(near, best, -1).astype(np.int32), similarity=top, vector=[None if n else v for n, v in zip(near, batch["vector"], strict=True)])
+        return run
+
+    turn = 0
+    while True:
+        last = open_.select("id").orderBy("id").limit(block).agg(F.max("id")).first()[0]
+        if last is None:
+            break
+        made = cut(open_.filter(F.col("id") <= F.lit(last)).groupBy(F.lit("").alias("_all")).applyInPandas(first, f"id {kind}, number int, similarity double, centre array<float>"))
+        centres = np.array([r[0] for r in made.groupBy("number").agg(F.first("centre").alias("c")).orderBy("number").select("c").collect()], np.float32)
+        rest = cut(open_.filter(F.col("id") > F.lit(last)).mapInPandas(later(centres), f"id {kind}, vector array<float>, number int, similarity double"))
+        met = made.select("id", "number", "similarity").union(rest.filter("number >= 0").select("id", "number", "similarity"))
+        found = found.union(met.select("id", F.lit(turn).alias("round"), "number", "similarity"))
+        open_, turn = rest.filter("number < 0").select("id", "vector"), turn + 1
+    sizes = found.groupBy("round", "number").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
+    # One row a cluster is numbered.
+    numbered = sizes.select("round", "number", (F.row_number().over(Window.orderBy("round", "number")) - 1).alias("cluster"))
+    return found.join(numbered, ["round", "number"]).select("id", "cluster", "similarity")
+
+
 def source_keys(members: DataFrame) -> DataFrame:
     """(cluster, source_key): theme:<sha-256 of the sorted member ids, one a line>."""
     ids = F.sort_array(F.collect_list(F.col("id").cast("string")))

@@ -93,9 +93,8 @@ def theme_labels(s, d):
 
 
 def theme_clusters(s, d):
-    """Embeddings by the greedy method, sharded by blocks of ids so that a shard's size does not grow with the table."""
     v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return themes.clusters(v, F.floor(F.col("id") / 2000), 0.3).select("id", "shard", "cluster", F.round("similarity", 6).alias("similarity"))
+    return themes.clusters_by_rounds(v, 0.3).select("id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
 def theme_source_key(s, d):
@@ -104,7 +103,7 @@ def theme_source_key(s, d):
 
 def theme_plan(s, d):
     v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    members = cut(themes.clusters(v, F.floor(F.col("id") / 2000), 0.3).withColumn("cluster", F.concat_ws("/", "shard", F.col("cluster").cast("string"))))
+    members = cut(themes.clusters_by_rounds(v, 0.3))
     words = themes.terms(t.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     return themes.plan(members, themes.labels(words, members)).select("item_id", "source_key", "name", F.round("confidence", 6).alias("confidence"))
 

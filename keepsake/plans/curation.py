@@ -50,9 +50,11 @@ def accept_suggestion(s, d):
 
 
 def merge_collections(s, d):
-    cols, rows = c.merge_collections(t.collections(s, d), t.collection_items(s, d).withColumn("item_id", F.col("item_id") % 300), "c4", "c6")
-    return rows.groupBy("collection_id").agg(F.count("*").alias("n")).unionByName(
-        cols.filter("origin = 'dismissed'").select(F.col("id").alias("collection_id"), F.lit(0).cast("long").alias("n")))
+    """The memberships after a merge, each third item being in the next collection but one too; dismissed collections with no item."""
+    rows = t.collection_items(s, d).select("collection_id", "item_id")
+    second = rows.filter("item_id % 3 = 0").withColumn("collection_id", F.concat(F.lit("c"), ((F.col("item_id") + 2) % 20).cast("string")))
+    cols, rows = c.merge_collections(t.collections(s, d), rows.union(second), "c4", "c6")
+    return rows.unionByName(cols.filter("origin = 'dismissed'").select(F.col("id").alias("collection_id"), F.lit(None).cast("long").alias("item_id")))
 
 
 def dismiss_suggestion(s, d):
@@ -87,9 +89,9 @@ ORACLE_SQL = {
       ORDER BY position NULLS LAST, added_at, i.id LIMIT 10 OFFSET 5""",
     "accept_suggestion": f"""{_ALL} SELECT 'suggested:29' AS collection_id, item_id, 'Kept' AS name, 'suggested' AS origin FROM members WHERE category_id = 29
       AND NOT EXISTS (SELECT 1 FROM collections WHERE category_id = 29 AND origin = 'suggested')""",
-    "merge_collections": f"""WITH {t.COLLECTIONS}, {t.COLLECTION_ITEMS}, r AS (SELECT collection_id, item_id % 300 AS item_id FROM collection_items),
-      n AS (SELECT * FROM r WHERE collection_id <> 'c4' UNION ALL SELECT 'c6', item_id FROM r WHERE collection_id = 'c4' AND item_id NOT IN (SELECT item_id FROM r WHERE collection_id = 'c6'))
-      SELECT collection_id, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT id, 0 FROM collections WHERE origin = 'dismissed' AND id <> 'c4' UNION ALL SELECT 'dismissed:4', 0""",
+    "merge_collections": f"""WITH {t.COLLECTIONS}, {t.COLLECTION_ITEMS}, r AS (SELECT collection_id, item_id FROM collection_items UNION ALL SELECT 'c' || ((item_id + 2) % 20), item_id FROM collection_items WHERE item_id % 3 = 0)
+      SELECT * FROM r WHERE collection_id <> 'c4' UNION ALL SELECT 'c6', item_id FROM r WHERE collection_id = 'c4' AND item_id NOT IN (SELECT item_id FROM r WHERE collection_id = 'c6')
+      UNION ALL SELECT id, NULL FROM collections WHERE origin = 'dismissed' AND id <> 'c4' UNION ALL SELECT 'dismissed:4', NULL""",
     "dismiss_suggestion": f"""{_ALL} SELECT id, name, origin, category_id FROM collections UNION ALL SELECT 'dismissed:' || id, name, 'dismissed', id FROM categories WHERE id = 33""",
     "apply_corrections": f"""WITH {t.ASSIGNMENTS}, u AS (SELECT doc_id AS item_id, doc_id % 40 AS category_id, 'user' AS source, CASE WHEN toxic = 1 THEN 'removed' ELSE 'assigned' END AS state FROM labels)
       SELECT * FROM u UNION ALL SELECT item_id, category_id, source, state FROM assignments a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.item_id = a.item_id AND u.category_id = a.category_id AND u.source = a.source)""",

@@ -63,15 +63,17 @@ def test_dbscan_borders_and_options(spark):
             cluster(spark, two, **bad)
 
 
-def test_nearest_by_broadcast_and_by_cells(spark, monkeypatch):
+def test_nearest_by_cells(spark):
     rng = np.random.default_rng(5)
     at = lambda n: [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, n), rng.uniform(-180, 180, n), strict=True))]
     town, probe = at(120), at(40)
     t, p = (spark.createDataFrame(x, "id long, lat double, lon double") for x in (town, probe))
     want = {i: min(town, key=lambda x: (metres((a, b), x[1:]), x[0]))[0] for i, a, b in probe}
     assert {r.id: r.place_id for r in places.nearest(p, t).collect()} == want
-    monkeypatch.setattr(places, "BROADCAST_PLACES", 10)
-    assert {r.id: r.place_id for r in places.nearest(p, t).collect()} == want
+    one = spark.createDataFrame([(7, 0.0, 0.0)], "id long, lat double, lon double")
+    far = spark.createDataFrame([(1, 0.0, 179.9), (2, -90.0, 5.0)], "id long, lat double, lon double")
+    assert {r.id: r.place_id for r in places.nearest(far, one).collect()} == {1: 7, 2: 7}
+    assert places.nearest(p, one.limit(0)).count() == 0 and places.nearest(p.limit(0), t).count() == 0
 
 
 def naive_themes(vectors, threshold, least):
@@ -109,6 +111,33 @@ def test_greedy_themes_equal_the_naive_method(spark):
             themes.greedy_clusters(ids, vectors)
 
 
+def test_themes_across_blocks(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 8))
+    x = np.concatenate((centres[rng.integers(0, 6, 60)] + rng.normal(size=(60, 8)) * 0.05, rng.normal(size=(10, 8))))[rng.permutation(70)].astype(np.float32)
+    frame = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    for block in (7, 30, 1000):
+        left, themes_ = list(range(70)), []
+        while left:
+            first, rest = left[:block], left[block:]
+            made = [{"ids": [first[i] for i in ids], "centre": x[[first[i] for i in ids]].astype(float).mean(0)} for ids in naive_themes(x[first], 0.9, 1)]
+            left = []
+            for i in rest:
+                best = max(made, key=lambda c: cos(c["centre"], x[i].astype(float)))
+                if cos(best["centre"], x[i].astype(float)) >= 0.9:
+                    best["ids"].append(i)
+                else:
+                    left.append(i)
+            themes_ += made
+        want = [sorted(c["ids"]) for c in themes_ if len(c["ids"]) >= 3]
+        rows = themes.clusters_by_rounds(frame, 0.9, 3, block).collect()
+        assert {(r.id // 3, r.cluster) for r in rows} == {(i, n) for n, ids in enumerate(want) for i in ids} and len(rows) == sum(map(len, want))
+    assert themes.clusters_by_rounds(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="repeat"):
+        themes.clusters_by_rounds(frame.union(frame.limit(1)))
+
+
 def test_theme_labels(spark):
     texts = spark.createDataFrame([(1, "Playa playa sunset the"), (2, "playa Sunset"), (3, "cumpleaños de Ana"), (4, "the and of")], "id long, text string")
     members = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2)], "id long, cluster int")
