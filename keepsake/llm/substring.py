@@ -79,6 +79,21 @@ def _spans(windows: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
+def _under(sent: pd.DataFrame, known: np.ndarray, owner: np.ndarray, width: int) -> list[tuple[int, list[bytes]]]:
+    """(owner, words) of the passages sent to a chunk, by owner: their parts under the anchors that the chunk shares with that owner."""
+    lines = [(o, p) for o, ps in zip(sent["owner"], sent["passages"], strict=True) for p in bytes(ps).split(b"\n")]
+    buf = b"\n".join(p for _, p in lines)
+    starts, ends = word_spans(buf)
+    if len(starts) < width:
+        return []
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(buf, np.uint8) == 10), starts)
+    of = np.array([o for o, _ in lines], np.int64)[line]
+    anchors = _anchors(span_hashes(buf, starts, ends), width)
+    own = (line[:len(anchors)] == line[width - 1:]) & (_lookup(anchors, known, owner) == of[:len(anchors)])
+    parts = {(int(of[s]), buf[starts[s]:ends[e + width - 2]]) for s, e in _spans(own)}
+    return [(o, p.split()) for o, p in sorted(parts)]
+
+
 def _rows_by_key(keys: list[np.ndarray], ids: list[int], chunk: int, name: str) -> pd.DataFrame:
     """A row for each distinct key of a chunk: its smallest document, and whether other documents of the chunk have it."""
     if not keys:
@@ -152,14 +167,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     references = dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInPandas(emit_references, "owner long, passages binary")
     asked = owned.filter("others").select("owner", "chunk").distinct().join(references, "owner").select("chunk", F.lit(0).cast("long").alias("anchor"), "owner", "passages")
-    helped = owned.select("chunk", "anchor", "owner", F.lit(None).cast("binary").alias("passages")).union(asked)
+    helped = owned.filter("others").select("chunk", "anchor", "owner", F.lit(None).cast("binary").alias("passages")).union(asked)
 
     def match(key, frame, helped):
         chunk = key[0]
         plain = helped["passages"].isna()
         known, owner = _sorted(helped[plain], "anchor")
-        sent = helped[~plain].sort_values("owner", kind="stable")
-        passages = [(int(o), p.split()) for o, ps in zip(sent["owner"], sent["passages"], strict=True) for p in sorted(bytes(ps).split(b"\n"))]
+        passages = _under(helped[~plain], known, owner, width)
         # A shard takes whole owners: all passages of an owner are met by the same automaton.
         bounds, size = [0], 0
         for i, (own, words) in enumerate(passages):
