@@ -32,6 +32,8 @@ ANCHOR = 5
 SHARD_WORDS = 40_000
 #: Rows of documents in a chunk, and bytes of their texts, on average; one document may be longer.
 CHUNK_ROWS, CHUNK_BYTES = 4_000, 1 << 25
+#: Bytes of passages that are hashed together.
+PIECE_BYTES = 1 << 20
 #: Words of a reference table that may be broadcast.
 REFERENCE_WORDS = 2_000_000
 
@@ -81,17 +83,28 @@ def _spans(windows: np.ndarray) -> list[tuple[int, int]]:
 
 def _under(sent: pd.DataFrame, known: np.ndarray, owner: np.ndarray, width: int) -> list[tuple[int, list[bytes]]]:
     """(owner, words) of the passages sent to a chunk, by owner: their parts under the anchors that the chunk shares with that owner."""
-    lines = [(o, p) for o, ps in zip(sent["owner"], sent["passages"], strict=True) for p in bytes(ps).split(b"\n")]
+    parts, lines, size = set(), [], 0
+    for o, ps in zip(sent["owner"].tolist(), sent["passages"], strict=True):
+        for p in bytes(ps).split(b"\n"):
+            lines.append((o, p))
+            size += len(p)
+            if size >= PIECE_BYTES:
+                parts |= _shared(lines, known, owner, width)
+                lines, size = [], 0
+    return [(o, p.split()) for o, p in sorted(parts | _shared(lines, known, owner, width))]
+
+
+def _shared(lines: list[tuple[int, bytes]], known: np.ndarray, owner: np.ndarray, width: int) -> set[tuple[int, bytes]]:
+    """(owner, words) of the parts of some passages whose anchors are known and their owner's."""
     buf = b"\n".join(p for _, p in lines)
     starts, ends = word_spans(buf)
     if len(starts) < width:
-        return []
+        return set()
     line = np.searchsorted(np.flatnonzero(np.frombuffer(buf, np.uint8) == 10), starts)
     of = np.array([o for o, _ in lines], np.int64)[line]
     anchors = _anchors(span_hashes(buf, starts, ends), width)
     own = (line[:len(anchors)] == line[width - 1:]) & (_lookup(anchors, known, owner) == of[:len(anchors)])
-    parts = {(int(of[s]), buf[starts[s]:ends[e + width - 2]]) for s, e in _spans(own)}
-    return [(o, p.split()) for o, p in sorted(parts)]
+    return {(int(of[s]), buf[starts[s]:ends[e + width - 2]]) for s, e in _spans(own)}
 
 
 def _rows_by_key(keys: list[np.ndarray], ids: list[int], chunk: int, name: str) -> pd.DataFrame:
