@@ -106,6 +106,27 @@ def dismiss(collections: DataFrame, categories: DataFrame, category_id) -> DataF
     return collections.unionByName(new, allowMissingColumns=True)
 
 
+def accept_and_merge(assignments: DataFrame, categories: DataFrame, collections: DataFrame, collection_items: DataFrame, category_id, target_id) -> tuple[DataFrame, DataFrame]:
+    """(collections, collection_items) with a suggestion's members put straight into a collection; nothing changes if it was accepted before."""
+    made, rows = accept(assignments, categories, collections, category_id)
+    return merge_collections(collections.unionByName(made, allowMissingColumns=True), collection_items.unionByName(rows, allowMissingColumns=True), f"suggested:{category_id}", target_id)
+
+
+def upsert_categories(current: DataFrame, delta: DataFrame) -> DataFrame:
+    """Categories (id, kind, name, source_key) after delta, which carries seq: a known key takes the last name alone; a row without a key is always new."""
+    rows = current.select("id", "kind", "name", "source_key", F.lit(-1).cast("long").alias("seq")).unionByName(delta.select("id", "kind", "name", "source_key", F.col("seq").cast("long")))
+    keyed = rows.filter("source_key is not null").groupBy("source_key").agg(F.min_by("id", "seq").alias("id"), F.min_by("kind", "seq").alias("kind"), F.max_by("name", "seq").alias("name"))
+    return keyed.unionByName(rows.filter("source_key is null").drop("seq"))
+
+
+def assign_auto(assignments: DataFrame, delta: DataFrame) -> DataFrame:
+    """assignments after automatic ones (item_id, category_id, seq and other columns): the last of a pair replaces its automatic row; users' rows stay."""
+    own = [c for c in assignments.columns if c in delta.columns and c not in ("item_id", "category_id", "source", "state")]
+    new = delta.groupBy("item_id", "category_id").agg(F.max("seq").alias("_s"), *[F.max_by(c, "seq").alias(c) for c in own]).drop("_s").withColumns({"source": F.lit("auto"), "state": F.lit("assigned")})
+    kept = assignments.join(new.select("item_id", "category_id", "source"), ["item_id", "category_id", "source"], "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True).select(*assignments.columns)
+
+
 def rename(collections: DataFrame, collection_id, name: str) -> DataFrame:
     if not collections.filter(F.col("id") == F.lit(collection_id)).limit(1).count():
         raise ValueError("no such collection")

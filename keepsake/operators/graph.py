@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the session's checkpoint folder (a temporary one only where none is set)."""
+    """The rows, computed once and kept in the session's checkpoint folder.
+
+    Where none is set, a temporary folder serves a session of one machine; on a cluster that is an error.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keepsake-"))
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keepsake-"))
     return df.checkpoint()
 
 

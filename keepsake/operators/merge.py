@@ -78,6 +78,12 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.filter((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
 
 
+def replace_vectors(current: DataFrame, delta: DataFrame) -> DataFrame:
+    """(item_id, model_id, vector) after delta, which carries seq: the last usable vector replaces its item's of that model; others change nothing."""
+    new = valid_vectors(delta).groupBy("item_id", "model_id").agg(F.max_by("vector", "seq").alias("vector"))
+    return current.select("item_id", "model_id", "vector").join(new, ["item_id", "model_id"], "left_anti").unionByName(new)
+
+
 def remove_source(sources: DataFrame, items: DataFrame, occurrences: DataFrame, source_id) -> dict[str, DataFrame]:
     """The tables after an import is undone, and the blobs (content_hash) that nothing refers to any more.
 

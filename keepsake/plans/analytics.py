@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.operators import places, search, themes, vectors
 from keepsake.operators.graph import cut
 from keepsake.plans import tables as t
+from keepsake.plans.catalog import _bm25
 
 
 def _vectors(s, d):
@@ -134,9 +135,18 @@ _DBSCAN = f"""{t.POINTS}, f AS (SELECT lat, lon, min(id) AS id, count(*) AS w FR
   numbers AS (SELECT root, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS cluster FROM (SELECT DISTINCT root FROM roots)),
   db AS (SELECT p.id, p.lat, p.lon, cluster FROM points p JOIN f ON f.lat = p.lat AND f.lon = p.lon LEFT JOIN allroots r ON r.id = f.id LEFT JOIN numbers USING (root))"""
 
+#: Exact hits ex (id, pos) and neighbours nn (id, score) as one result.
+MERGED_HITS = """both_ AS (SELECT coalesce(ex.id, nn.id) AS id, pos, score, CASE WHEN pos IS NULL THEN 'semantic' WHEN score IS NULL THEN 'exact' ELSE 'both' END AS origin FROM ex FULL JOIN nn ON ex.id = nn.id),
+  others AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM both_ WHERE pos IS NULL AND score >= 0),
+  merged AS (SELECT id, origin, score, pos FROM both_ WHERE pos IS NOT NULL UNION ALL SELECT id, origin, score, pos FROM others WHERE n <= greatest({limit} - (SELECT count(*) FROM ex), 0))"""
+
 ORACLE_SQL = {
     "knn_cosine": f"SELECT id, round(score, 6) AS score FROM ({_KNN}) ORDER BY score DESC, id LIMIT 20",
     "knn_guarded_dim": f"SELECT id, round(score, 6) AS score FROM ({_KNN} WHERE e.label % 2 = 1 AND e.vec_id % 3 <> 0) ORDER BY score DESC, id LIMIT 15",
+    "merge_exact_semantic": _bm25(["heat"]) + f""", ex AS (SELECT id, CAST(row_number() OVER (ORDER BY rank, capture_date DESC NULLS LAST, id DESC) AS INT) AS pos FROM found ORDER BY pos LIMIT 10),
+      nn AS (SELECT id, score FROM ({_KNN}) ORDER BY score DESC, id LIMIT 30), {MERGED_HITS.format(limit=25)} SELECT id, origin, round(score, 6) AS score, pos FROM merged""",
+    "embed_drain": """SELECT doc_id AS id, CASE WHEN full_ THEN 'done' ELSE 'skipped' END AS embed_status, CASE WHEN full_ THEN 64 END AS dim, CASE WHEN full_ THEN 1.0::DOUBLE END AS length
+      FROM (SELECT doc_id, doc_id % 13 <> 0 AND coalesce(trim(text, ' '), '') || trim(concat_ws(' ', source, lang), ' ') <> '' AS full_ FROM documents)""",
     "passage_texts": f"WITH {t.ITEMS} SELECT id, md5('passage: ' || regexp_replace(concat_ws(chr(10), nullif(trim(description, ' '), ''), nullif(trim(search_meta, ' '), '')), '[\\r\\n]+', ' ', 'g')) AS passage_md5 FROM items",
     "haversine_pairs": f"WITH {t.GAZETTEER} SELECT * FROM (SELECT a.id AS a, b.id AS b, round({t.HAVERSINE.format(a='a', b='b')}, 3) AS d FROM gazetteer a JOIN gazetteer b ON a.id < b.id) WHERE d <= 1500000",
     "nearest_gazetteer": f"""WITH {t.POINTS}, {t.GAZETTEER}, p AS (SELECT a.id, b.id AS place_id, {t.HAVERSINE.format(a='a', b='b')} AS d FROM points a, gazetteer b)
