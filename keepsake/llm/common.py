@@ -91,10 +91,12 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none, as in tests."""
+    """The folder that all executors share; one is made only where the session names none and runs on one machine, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="keepsake-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
