@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from keepsake.plans import tables as t
 from keepsake.sources import archives, linkedin, social
 
-_NONE = F.lit(None).cast("string")
 #: Documents in a file of posts.
 PER_FILE = 50
 
 
+def _none():
+    return F.lit(None).cast("string")
+
+
 def _at(column="date.value"):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
@@ -31,7 +34,7 @@ def facebook_posts(s, d):
     there = docs.filter(k % 6 == 0).select(F.concat(F.lit("export/photos/p"), k.cast("string"), F.lit(".jpg")).alias("path"))
     kept, skipped = social.facebook_posts(files, there)
     return kept.select(F.col("sourceRef").alias("ref"), F.col("mediaType").alias("kind"), F.col("originalPath").alias("path"), F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"), _at().alias("at")).union(
-        skipped.select("ref", "reason", _NONE, _NONE, _NONE))
+        skipped.select("ref", "reason", _none(), _none(), _none()))
 
 
 def thread_buckets(s, d):
@@ -54,7 +57,7 @@ def linkedin_messages(s, d):
     kept, skipped = linkedin.read(files)
     meta = lambda name: F.get_json_object("sourceMeta", f"$.{name}")
     return kept.select(F.col("sourceRef").alias("ref"), "author", F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"), _at().alias("at"), meta("kind").alias("kind"), meta("to").alias("to")).union(
-        skipped.select("ref", "reason", _NONE, _NONE, "code", _NONE))
+        skipped.select("ref", "reason", _none(), _none(), "code", _none()))
 
 
 def apple_messages(s, d):
@@ -71,7 +74,7 @@ def apple_messages(s, d):
                                       with_file.select("ROWID", name.alias("filename"), F.lit("image/jpeg").alias("mime_type"), F.lit("pic.jpg").alias("transfer_name")),
                                       with_file.select(F.col("ROWID").alias("message_id"), F.col("ROWID").alias("attachment_id")))
     return kept.select(F.col("sourceRef").alias("ref"), F.col("mediaType").alias("kind"), "author", F.col("originalPath").alias("path"), _at().alias("at"), F.get_json_object("sourceMeta", "$.chatName").alias("chat")).union(
-        skipped.select("ref", "code", _NONE, _NONE, _NONE, _NONE))
+        skipped.select("ref", "code", _none(), _none(), _none(), _none()))
 
 
 def photo_records(s, d):
