@@ -11,7 +11,6 @@ from keepsake.plans import tables as t
 from keepsake.plans.analytics import _KNN, MERGED_HITS, _query, _vectors
 from keepsake.plans.catalog import _ORDER, _TOK, _bm25
 
-_NONE = F.lit(None)
 
 
 def smart_search(s, d):
@@ -60,7 +59,7 @@ def favourite_changes(s, d):
     items = t.items(s, d).select("id", (F.col("id") % 4 == 0).alias("is_favourite"))
     changes = t.table(s, d, "labels").select((F.col("doc_id") + F.col("toxic").cast("long") * 10**12).alias("id"), (F.col("quality") == 1).alias("favourite"))
     done, unknown = merge.set_favourites(items, changes)
-    return done.select("id", "is_favourite").union(unknown.select("id", _NONE.cast("boolean")))
+    return done.select("id", "is_favourite").union(unknown.select("id", F.lit(None).cast("boolean")))
 
 
 def undo_occurrence(s, d):
@@ -98,7 +97,7 @@ def auto_assign(s, d):
 
 def accept_and_merge(s, d):
     cols, rows = curation.accept_and_merge(t.assignments(s, d), t.categories(s, d), t.collections(s, d), t.collection_items(s, d).select("collection_id", "item_id"), 29, "c3")
-    return rows.unionByName(cols.filter("origin = 'dismissed'").select(F.col("id").alias("collection_id"), _NONE.cast("long").alias("item_id")))
+    return rows.unionByName(cols.filter("origin = 'dismissed'").select(F.col("id").alias("collection_id"), F.lit(None).cast("long").alias("item_id")))
 
 
 def collection_rename(s, d):
