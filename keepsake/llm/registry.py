@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import decontam, mixing, pii, quality, secrets, simhash, sketch, substring, tokens, toxicity
+from keepsake.llm import decontam, mixing, negatives, pii, quality, repair, repetition, secrets, simhash, sketch, substring, tokens, toxicity
 from keepsake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,13 @@ QUERIES: dict[str, Query] = {
     "op8_quality": _on(quality.op8_quality, "labels"),
     "op9_toxicity": _on(toxicity.op9_toxicity, "labels"),
     "op10_decontam": _on(decontam.op10_decontam, "benchmark"),
+    "op11_hard_negatives": lambda spark, sf_dir: negatives.op11_hard_negatives(table(spark, sf_dir, "embeddings")),
+    "op12_repair": lambda spark, sf_dir: repair.op12_repair(table(spark, sf_dir, "conversations")),
+    "op13_quality_rules": _on(repetition.op13_quality_rules),
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": negatives.ORACLE,
+    "op13_quality_rules": repetition.ORACLE,
     "op3_substring": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
       windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),
       hit AS (SELECT doc_id, p FROM windows JOIN (SELECT k, min(doc_id) AS least FROM windows GROUP BY k) USING (k) WHERE least < doc_id),
