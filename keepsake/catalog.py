@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from keepsake.log import Conflict, Log
 from keepsake.schemas import SCHEMA_VERSION, TABLES
 
 
 class Catalog:
-    """Tables are written as new versions; a log of versions, itself a table, says which one counts.
+    """Tables are written as new versions; the last entry of a log says which version of each counts.
 
-    A version that a failed job left behind is not in the log, so it is never read.
+    A version that a failed job left behind is in no entry, so it is never read. Of two writers of one table
+    the later one gets a Conflict; writers of different tables do not hinder each other.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = Log(spark, f"{self.root}/_log")
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, name: str | None = None) -> Catalog:
         """A new catalog; an error where there is one already."""
         made = cls(spark, root)
-        if made._log() is not None:
-            raise FileExistsError(root)
-        spark.createDataFrame([("", SCHEMA_VERSION, name or "")], "tbl string, version int, note string").coalesce(1).write.mode("append").parquet(f"{made.root}/_log")
+        try:
+            made.log.append(1, {"schema": SCHEMA_VERSION, "name": name or "", "tables": {}})
+        except Conflict as e:
+            raise FileExistsError(root) from e
         for table, schema in TABLES.items():
             made.save(table, spark.createDataFrame([], schema))
         return made
@@ -33,10 +37,10 @@ class Catalog:
     def open(cls, spark: SparkSession, root: str) -> Catalog:
         """An existing catalog; an error where there is none or it is of a later schema."""
         found = cls(spark, root)
-        log = found._log()
-        if log is None:
+        number, state = found.log.newest()
+        if not number:
             raise FileNotFoundError(root)
-        version = log.filter("tbl = ''").agg(F.max("version")).first()[0]
+        version = state.get("schema")
         if version is None or version > SCHEMA_VERSION:
             raise ValueError(f"schema version {version}; this program knows up to {SCHEMA_VERSION}")
         for table, schema in TABLES.items():
@@ -44,21 +48,31 @@ class Catalog:
                 found.save(table, spark.createDataFrame([], schema))
         return found
 
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("tbl string, version int, note string").parquet(f"{self.root}/_log")
-        except AnalysisException:
-            return None
+    def _told(self, table: str) -> tuple[int, str | None]:
+        return tuple(self.log.newest()[1].get("tables", {}).get(table, (0, None)))
 
     def version(self, table: str) -> int:
-        return self._log().filter(F.col("tbl") == table).agg(F.max("version")).first()[0] or 0
+        return self._told(table)[0]
 
     def load(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={self.version(table)}")
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{self._told(table)[1]}")
+
+    def save(self, table: str, rows: DataFrame, expected: int | None = None) -> int:
+        """Writes the next version and only then names it in the log.
 
-    def save(self, table: str, rows: DataFrame) -> int:
-        """Writes the next version and only then names it in the log."""
-        number = self.version(table) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={number}")
-        self.spark.createDataFrame([(table, number, "")], "tbl string, version int, note string").coalesce(1).write.mode("append").parquet(f"{self.root}/_log")
-        return number
+        expected is the version that rows were made from (by default the one there is now); if the table has
+        another by the time the rows are written, they are a Conflict.
+        """
+        before = self.version(table) if expected is None else expected
+        folder = f"{table}/v={before + 1}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        while True:
+            number, state = self.log.newest()
+            tables = state.get("tables", {})
+            if tables.get(table, (0, None))[0] != before:
+                raise Conflict(f"{table} is at version {tables[table][0]}, not {before}")
+            try:
+                self.log.append(number + 1, state | {"tables": tables | {table: (before + 1, folder)}})
+                return before + 1
+            except Conflict:  # another table's writer was first
+                continue

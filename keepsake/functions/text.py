@@ -28,7 +28,13 @@ WRITTEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics, composed or combining; letters that do not decompose (ß, ø) stay."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}+", "")
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\p{M}+", "")).otherwise(low)
+
+
+def spellings(letter: str) -> set[str]:
+    """The letters with marks that fold to a letter."""
+    return {c for c, base in _BASES.items() if base == letter}
 
 
 def tokens(text: Column) -> Column:

@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the session's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
     Where none is set, a temporary folder serves a session of one machine; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keepsake-"))
+        folder = tempfile.mkdtemp(prefix="keepsake-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -45,27 +45,119 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     return own.join(other, ["_row", "_col"]).select("a", "b", d.alias("d")).filter(F.col("d") <= metres)
 
 
+def _celled(points: DataFrame, metres: float) -> DataFrame:
+    """points with a cell, any two points of which lie within `metres`, its middle and its sides in degrees.
+
+    Cells are as high as the side of a square with that diagonal; their width follows the latitude of their band.
+    """
+    side = math.degrees(math.sqrt(2) * math.sin(min(metres / EARTH_METRES, math.pi) / 2)) * (1 - 1e-6)
+    row = F.floor((F.col("lat") + 90) / side).cast("long")
+    low = row * side - 90
+    nearest = F.when((low <= 0) & (low + side >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(low + side)))
+    width = F.lit(side) / F.greatest(F.cos(F.radians(nearest)), F.lit(1e-12))
+    col = F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / width).cast("long")
+    return points.withColumns({"_row": row, "_low": low, "_wide": width}).withColumn("_col", col).select(
+        *points.columns, (F.col("_row") * (1 << 32) + F.col("_col")).alias("cell"), (F.col("_low") + side / 2).alias("mid_lat"),
+        ((F.col("_col") + 0.5) * F.col("_wide") - 180).alias("mid_lon"), ((F.col("lat") - F.col("_low")) / side).alias("up"),
+        (F.pmod(F.col("lon") + 180, F.lit(360.0)) / F.col("_wide") - F.col("_col")).alias("along"))
+
+
+#: A box is cut in so many parts each way (a power of two) until two boxes are told to be in reach or out of it.
+BOX_BITS, BOX_LEVELS = 2, 12
+
+
+def _placed(points: DataFrame, level: int) -> DataFrame:
+    """points with their box of a level, and the box of the level above."""
+    parts = 1 << (BOX_BITS * level)
+    at = lambda c: F.least(F.floor(F.greatest(F.col(c), F.lit(0.0)) * parts), F.lit(parts - 1)).cast("long")
+    named = lambda y, x: F.col(y) * (1 << 31) + F.col(x)
+    placed = points.withColumns({"_y": at("up"), "_x": at("along")}).withColumns({"_yy": F.shiftright("_y", BOX_BITS), "_xx": F.shiftright("_x", BOX_BITS)})
+    return placed.withColumns({"box": named("_y", "_x"), "above": named("_yy", "_xx")}).drop("_y", "_x", "_yy", "_xx")
+
+
+def _boxes(points: DataFrame, level: int) -> DataFrame:
+    """(cell, box, above, n, bounds, ends) of points (cell, up, along, lat, lon): the boxes of a level, the box each lies in, and the points at its four ends."""
+    point = F.struct("lat", "lon")
+    ends = F.array(F.min_by(point, F.struct("lat", "lon")), F.max_by(point, F.struct("lat", "lon")), F.min_by(point, F.struct("lon", "lat")), F.max_by(point, F.struct("lon", "lat")))
+    return _placed(points, level).groupBy("cell", "box", "above").agg(
+        F.count("*").alias("n"), F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("bounds"), ends.alias("ends"))
+
+
+def _least_metres(a: Column, b: Column) -> Column:
+    """No more than the distance of any two points of two boxes."""
+    up = F.greatest(F.lit(0.0), a["s"] - b["n"], b["s"] - a["n"])
+    beside = F.greatest(a["w"] - b["e"], b["w"] - a["e"])
+    around = 360 - (F.greatest(a["e"], b["e"]) - F.least(a["w"], b["w"]))
+    along = F.when(beside <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(beside, around)))
+    thin = lambda x: F.cos(F.radians(F.greatest(F.abs(x["s"]), F.abs(x["n"]))))
+    h = F.pow(F.sin(F.radians(up) / 2), 2) + F.greatest(thin(a), F.lit(0.0)) * F.greatest(thin(b), F.lit(0.0)) * F.pow(F.sin(F.radians(along) / 2), 2)
+    return F.lit(2 * EARTH_METRES * (1 - 1e-9)) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def _linked_cells(points: DataFrame, pairs: DataFrame, metres: float) -> DataFrame:
+    """Those pairs (a, b) of cells of which two points lie within `metres`; points (cell, up, along, lat, lon).
+
+    The points at the ends of two boxes are compared; where none are in reach though the boxes might have some,
+    the boxes are cut into smaller ones. So a cell of any number of points is compared by a few at a time.
+    """
+    open_, linked, level = pairs.select("a", "b", F.lit(0).cast("long").alias("box_a"), F.lit(0).cast("long").alias("box_b")), None, 0
+    while True:
+        cells = open_.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
+        boxes = cut(_boxes(points.join(cells, "cell", "left_semi"), level))
+        of = lambda side, boxes=boxes: boxes.select(F.col("cell").alias(side), F.col("above").alias(f"box_{side}"), F.col("box").alias(f"new_{side}"), F.col("n").alias(f"n_{side}"),
+                                                    F.col("bounds").alias(f"bounds_{side}"), F.col("ends").alias(f"ends_{side}"))
+        near = F.array_min(F.flatten(F.transform("ends_a", lambda p: F.transform("ends_b", lambda q: haversine(p["lat"], p["lon"], q["lat"], q["lon"])))))
+        tested = cut(open_.join(of("a"), ["a", "box_a"]).join(of("b"), ["b", "box_b"]).select(
+            "a", "b", F.col("new_a").alias("box_a"), F.col("new_b").alias("box_b"), (near <= metres).alias("reach"),
+            ((F.col("n_a") > 1) | (F.col("n_b") > 1)).alias("more"), _least_metres(F.col("bounds_a"), F.col("bounds_b")).alias("least")))
+        found = tested.filter("reach").select("a", "b").distinct()
+        linked = found if linked is None else linked.unionByName(found)
+        open_ = cut(tested.filter("more and not reach").filter(F.col("least") <= metres).join(found, ["a", "b"], "left_anti").select("a", "b", "box_a", "box_b"))
+        if not open_.limit(1).count():
+            return linked
+        level += 1
+        if level > BOX_LEVELS:  # boxes of less than a millimetre: what is left of them is compared point by point
+            boxed = lambda side: _placed(points, level - 1).select(F.col("cell").alias(side), F.col("box").alias(f"box_{side}"), F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"))
+            last = open_.join(boxed("a"), ["a", "box_a"]).join(boxed("b"), ["b", "box_b"]).filter(haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= metres)
+            return linked.unionByName(last.select("a", "b")).distinct()
+
+
 def dbscan(points: DataFrame, metres: float = EPS_METRES, min_points: int = MIN_POINTS) -> DataFrame:
     """(id, cluster) for points (id, lat, lon): clusters from 0 by their smallest core point, null for noise.
 
     Points at the same coordinates are folded into their smallest id, weighted by their number. A core point
     has min_points around it, itself included; a border point joins the lowest-numbered cluster in reach.
+
+    The globe is cut into cells whose points all lie within reach of one another. A cell with min_points is
+    full: its points are core points of one cluster, whatever their number, and it is a single node; full cells are
+    compared by boxes. Only points of cells that are not full, fewer than min_points a cell, are compared with the points around them.
     """
     if not (metres > 0 and math.isfinite(metres)) or min_points < 1 or int(min_points) != min_points:
         raise ValueError("the distance must be positive and the number of points a whole number from 1")
-    folded = cut(points.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    pairs = cut(near_pairs(folded, folded, metres).select("a", "b"))
-    weights = folded.select(F.col("id").alias("b"), "weight")
-    core = cut(pairs.join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("w")).filter(F.col("w") >= min_points).select("id"))
-    cores_a, cores_b = core.select(F.col("id").alias("a")), core.select(F.col("id").alias("b"))
-    edges = pairs.join(cores_a, "a", "left_semi").join(cores_b, "b", "left_semi").filter("a < b")
-    rooted = components(core, edges)
-    border = pairs.join(cores_a, "a", "left_anti").join(rooted.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
+    folded = cut(_celled(points.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"), F.count("*").alias("weight")), metres))
+    cells = cut(folded.groupBy("cell").agg(F.min("id").alias("head"), (F.sum("weight") >= min_points).alias("full"), F.first("mid_lat").alias("lat"), F.first("mid_lon").alias("lon")))
+    middles = cells.select(F.col("cell").alias("id"), "lat", "lon")
+    told = lambda side: cells.select(F.col("cell").alias(side), F.col("full").alias(f"full_{side}"), F.col("head").alias(f"head_{side}"))
+    beside = cut(near_pairs(middles, middles, 2 * metres * (1 + 1e-6)).select("a", "b").join(told("a"), "a").join(told("b"), "b"))
+    thin = folded.select(F.col("cell").alias("a"), F.col("id").alias("p"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).join(beside.filter("not full_a"), "a")
+    d = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    near = cut(thin.join(folded.select(F.col("cell").alias("b"), F.col("id").alias("q"), "weight", "lat", "lon"), "b").filter(d <= metres)
+               .select("p", F.when(F.col("full_b"), F.col("head_b")).otherwise(F.col("q")).alias("node"), "full_b", "weight")
+               .groupBy("p", "node", "full_b").agg(F.sum("weight").alias("weight")))
+    core = near.groupBy("p").agg(F.sum("weight").alias("w")).filter(F.col("w") >= min_points).select("p")
+    nodes = cut(cells.filter("full").select(F.col("head").alias("id")).unionByName(core.select(F.col("p").alias("id"))))
+    links = near.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("p", "node")
+    thin_edges = links.join(nodes.select(F.col("id").alias("p")), "p", "left_semi").select(F.col("p").alias("a"), F.col("node").alias("b"))
+    full_pairs = beside.filter("full_a and full_b and a < b")
+    linked = _linked_cells(folded.select("cell", "up", "along", "lat", "lon"), full_pairs.select("a", "b"), metres)
+    full_edges = full_pairs.join(linked, ["a", "b"], "left_semi").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    rooted = components(nodes, thin_edges.unionByName(full_edges).filter("a <> b"))
+    border = links.join(nodes.select(F.col("id").alias("p")), "p", "left_anti").join(rooted.select(F.col("id").alias("node"), "root"), "node").groupBy(F.col("p").alias("id")).agg(F.min("root").alias("root"))
     # One row a cluster is numbered.
     numbers = rooted.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    labels = rooted.unionByName(border).join(numbers, "root").select(F.col("id").alias("_rep"), "cluster")
-    reps = folded.select("lat", "lon", F.col("id").alias("_rep"))
-    return points.join(reps, ["lat", "lon"], "left").join(labels, "_rep", "left").select("id", "cluster")
+    labels = rooted.unionByName(border).join(numbers, "root").select(F.col("id").alias("_node"), "cluster")
+    reps = folded.join(cells.select("cell", "full", "head"), "cell").select("lat", "lon", F.when(F.col("full"), F.col("head")).otherwise(F.col("id")).alias("_node"))
+    return points.join(reps, ["lat", "lon"], "left").join(labels, "_node", "left").select("id", "cluster")
 
 
 def centroids(points: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import query_terms, tokens
+from keepsake.functions.text import WRITTEN, query_terms, spellings, tokens
+from keepsake.operators.graph import cut
 from keepsake.operators.timeline import order
 from keepsake.schemas import SNAPSHOT_IDS
 
@@ -64,23 +66,49 @@ def matches(index: DataFrame, query: str) -> DataFrame | None:
     return found
 
 
+def _pattern(phrase: list[str]) -> str:
+    """A regular expression on lower-cased text that matches where a phrase begins: folded tokens, the last a prefix.
+
+    A letter stands for all that fold to it, with any marks behind it. What follows the first token is looked
+    at but not taken, so that phrases which overlap are all found.
+    """
+    def spelt(token: str) -> str:
+        return "".join(f"[{''.join(map(re.escape, (c, *sorted(spellings(c)))))}]\\p{{M}}*" for c in token)
+
+    rest = "".join(f"[^\\p{{L}}\\p{{N}}]+{spelt(t)}" + ("(?![\\p{L}\\p{N}])" if t is not phrase[-1] else "") for t in phrase[1:])
+    first = spelt(phrase[0]) + (f"(?![\\p{{L}}\\p{{N}}])(?={rest})" if rest else "")
+    return "(?<![\\p{L}\\p{N}]\\p{M}{0,9})" + first
+
+
+def counted(items: DataFrame, terms: list[list[str]], columns: tuple[str, ...] = ("title", "description", "search_meta")) -> DataFrame:
+    """(id, length, f0, f1, ...) of all items: their tokens, and how often they have each phrase; texts are not cut into words."""
+    low = items.select("id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
+    whole = lambda pattern: sum((F.regexp_count(F.col(f"t{i}"), F.lit(pattern)) for i in range(len(columns))), F.lit(0)).cast("long")
+    return low.select("id", whole(WRITTEN).alias("length"), *[whole(_pattern(t)).alias(f"f{i}") for i, t in enumerate(terms)])
+
+
 def ranked(items: DataFrame, query: str, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(id, rank) of the matching items; rank is BM25 negated, so that less is better."""
-    index = postings(items) if index is None else index
-    sizes = lengths(items) if sizes is None else sizes
     terms = query_terms(query)
     if not terms:
         return items.select("id", F.lit(0.0).alias("rank")).limit(0)
-    # One row of corpus figures and one of document frequencies; each is a broadcast of a single row.
-    whole = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    hits = [phrase_hits(index, t) for t in terms]
-    found, score = None, F.lit(0.0)
-    for i, h in enumerate(hits):
-        h = h.withColumnRenamed("f", f"f{i}")
-        found = h if found is None else found.join(h, "id")
-        whole = whole.crossJoin(F.broadcast(hits[i].agg(F.count("*").alias(f"n{i}"))))
-    found = found.join(sizes, "id").crossJoin(F.broadcast(whole))
-    for i in range(len(hits)):
+    # One row of corpus figures, with document frequencies, is broadcast.
+    if index is None:
+        every = cut(counted(items, terms))
+        whole = every.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
+        found = every
+        for i in range(len(terms)):
+            found = found.filter(F.col(f"f{i}") > 0)
+    else:
+        sizes = lengths(items) if sizes is None else sizes
+        whole, found = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")), None
+        for i, h in enumerate([phrase_hits(index, t) for t in terms]):
+            whole = whole.crossJoin(F.broadcast(h.agg(F.count("*").alias(f"n{i}"))))
+            h = h.withColumnRenamed("f", f"f{i}")
+            found = h if found is None else found.join(h, "id")
+        found = found.join(sizes, "id")
+    found, score = found.crossJoin(F.broadcast(whole)), F.lit(0.0)
+    for i in range(len(terms)):
         raw = F.log((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
         f = F.col(f"f{i}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,25 +23,74 @@ def parse_transcript(raw: Column) -> Column:
         F.transform(parts, lambda s: F.struct((s["offsets"]["from"] / 1000.0).alias("start"), (s["offsets"]["to"] / 1000.0).alias("end"), F.trim(s["text"]).alias("text"))).alias("segments")))
 
 
+#: Bytes of bits that an alignment may keep of its table; beyond it columns are kept at intervals and those between made again.
+TABLE_BYTES = 32 << 20
+
+
+def _columns(heard: list[int], where: dict[int, int], up: int, down: int, full: int, keep: bool) -> tuple[int, int, list[int], list[int]]:
+    """The vertical steps (+1 and -1, a bit a reference word) after the columns of `heard`, and what tracing back needs of each.
+
+    A column is one number: bit i of `up` tells that the table rises by one at reference word i, of `down` that
+    it falls. All of a column's cells are made at once by carries of an addition (a bit-parallel table).
+    """
+    level, rising = [], []
+    for word in heard:
+        same = where.get(word, 0)
+        flat = ((((same & up) + up) ^ up) | same | down) & full  # cells that cost no more than their upper left neighbour
+        right, left = down | (full & ~(flat | up)), up & flat
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down = left | (full & ~(flat | right)), right & flat
+        if keep:
+            level.append(flat)
+            rising.append(up)
+    return up, down, level, rising
+
+
 def align(reference: list[str], heard: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a least-cost alignment; substitutions first among equals, then deletions."""
+    """(substitutions, deletions, insertions) of a least-cost alignment; substitutions first among equals, then deletions.
+
+    The table of costs is made a column at a time in bits of whole numbers, and traced back from its end. Of a very
+    large table only some columns are kept; the ones between two of them are made again when the trace comes there.
+    """
     codes: dict[str, int] = {}
-    number = lambda words: np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
-    a, b = number(reference), number(heard)
-    at = np.arange(len(b) + 1)
-    cost, subs, dels = at, np.zeros_like(at), np.zeros_like(at)  # one row of the table at a time
-    for i, word in enumerate(a.tolist(), 1):
-        miss = b != word
-        over, down = cost[:-1] + miss, cost[1:] + 1
-        up = down < over
-        base = np.concatenate(([i], np.where(up, down, over)))
-        cost = np.minimum.accumulate(base - at) + at
-        # A run of insertions starts at the last cell that none reached.
-        start = np.maximum.accumulate(np.where(base == cost, at, 0))
-        subs = np.concatenate(([0], np.where(up, subs[1:], subs[:-1] + miss)))[start]
-        dels = np.concatenate(([i], np.where(up, dels[1:] + 1, dels[:-1])))[start]
-    s, d = int(subs[-1]), int(dels[-1])
-    return s, d, int(cost[-1]) - s - d
+    a, b = ([codes.setdefault(w, len(codes)) for w in words] for words in (reference, heard))
+    n, m = len(a), len(b)
+    if a == b or not n or not m:
+        return 0, n if not m else 0, m if not n else 0
+    bits: dict[int, list[int]] = {}
+    for i, word in enumerate(a):
+        bits.setdefault(word, []).append(i)
+    where, room, full = {}, bytearray(-(-n // 8)), (1 << n) - 1
+    for word in set(b) & bits.keys():
+        for i in bits[word]:
+            room[i >> 3] |= 1 << (i & 7)
+        where[word] = int.from_bytes(room, "little")
+        for i in bits[word]:
+            room[i >> 3] = 0
+    step = m if n * m // 4 <= TABLE_BYTES else math.isqrt(m) + 1
+    at, up, down, kept = 0, full, 0, []
+    while at + step < m:
+        kept.append((up, down))
+        up, down, _, _ = _columns(b[at:at + step], where, up, down, full, False)
+        at += step
+    kept.append((up, down))
+    i, subs, dels, inserts = n - 1, 0, 0, 0
+    for block in range(len(kept) - 1, -1, -1):
+        part = b[block * step:(block + 1) * step]
+        _, _, level, rising = _columns(part, where, *kept[block], full, True)
+        j = len(part) - 1
+        while i >= 0 and j >= 0:
+            if a[i] == part[j]:
+                i, j = i - 1, j - 1
+            elif not level[j] >> i & 1:
+                subs, i, j = subs + 1, i - 1, j - 1
+            elif rising[j] >> i & 1:
+                dels, i = dels + 1, i - 1
+            else:
+                inserts, j = inserts + 1, j - 1
+        if i < 0:
+            return subs, dels, inserts + j + 1 + block * step
+    return subs, dels + i + 1, inserts
 
 
 def word_errors(pairs: DataFrame, reference: str = "reference", heard: str = "heard") -> DataFrame:

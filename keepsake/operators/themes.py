@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.text import WRITTEN, fold, fold_text
 from keepsake.operators.graph import cut
+from keepsake.operators.greedy import clusters_in_blocks, greedy_clusters
 
 THRESHOLD, MIN_SIZE = 0.82, 3
-#: Vectors that a round of clusters_by_rounds goes through one by one, in one task.
-BLOCK = 4_000
 LABEL_TERMS = 3
 LABEL_CONFIDENCE = 0.5
 #: Function words by kind: articles and pronouns; prepositions and conjunctions; auxiliary verbs and adverbs.
@@ -37,50 +36,6 @@ FUNCTION_WORDS = {
 STOPWORDS = tuple(sorted({fold_text(w) for words in FUNCTION_WORDS.values() for w in words.split()}))
 
 
-def greedy_clusters(ids: list, vectors: np.ndarray, threshold: float = THRESHOLD, min_size: int = MIN_SIZE) -> list[tuple[int, float]]:
-    """(cluster, similarity) of each vector in the given order; cluster -1 for those in too small ones.
-
-    A vector joins the cluster whose centroid is most similar (the first of equals) if that reaches the
-    threshold, and else founds one. Centroids are means in double precision, kept in single precision.
-    """
-    if len(vectors) and (vectors.ndim != 2 or not vectors.shape[1] or not np.isfinite(vectors).all()):
-        raise ValueError("vectors must be finite, not empty and of one dimension")
-    if len(set(ids)) != len(ids):
-        raise ValueError("ids repeat")
-    if not -1 <= threshold <= 1 or min_size < 1:
-        raise ValueError("bad options")
-    n = len(vectors)
-    x = vectors.astype(np.float32).astype(np.float64)
-    norms = np.sqrt((x * x).sum(1)) if n else np.empty(0)
-    centres, sums = np.zeros((64, x.shape[1] if n else 1)), np.zeros((64, x.shape[1] if n else 1))
-    lengths, counts, k, of = np.zeros(64), np.zeros(64, np.int64), 0, np.empty(n, np.int64)
-    for i in range(n):
-        best = -1
-        if k:
-            size = lengths[:k] * norms[i]
-            sims = np.where(size > 0, centres[:k] @ x[i] / np.where(size > 0, size, 1), 0.0)
-            best = int(sims.argmax())
-            if sims[best] < threshold:
-                best = -1
-        if best < 0:
-            if k == len(centres):
-                centres, sums = (np.vstack((a, np.zeros_like(a))) for a in (centres, sums))
-                lengths, counts = np.append(lengths, np.zeros_like(lengths)), np.append(counts, np.zeros_like(counts))
-            best, k = k, k + 1
-        sums[best] += x[i]
-        counts[best] += 1
-        centres[best] = (sums[best] / counts[best]).astype(np.float32)
-        lengths[best] = np.sqrt((centres[best] ** 2).sum())
-        of[i] = best
-    number = np.cumsum(counts[:k] >= min_size) - 1
-    out = []
-    for i in range(n):
-        c = of[i]
-        size = lengths[c] * norms[i]
-        out.append((int(number[c]) if counts[c] >= min_size else -1, float(centres[c] @ x[i] / size) if size else 0.0))
-    return out
-
-
 def clusters(vectors: DataFrame, shard: Column | None = None, threshold: float = THRESHOLD, min_size: int = MIN_SIZE) -> DataFrame:
     """(id, shard, cluster, similarity) of vectors (id, vector); items in too small clusters have no row.
 
@@ -99,66 +54,6 @@ def clusters(vectors: DataFrame, shard: Column | None = None, threshold: float =
     return keyed.groupBy("shard").applyInPandas(run, f"id {kind}, shard string, cluster int, similarity double")
 
 
-def clusters_by_rounds(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE, block: int = BLOCK) -> DataFrame:
-    """(id, cluster, similarity) of vectors (id, vector) over a whole table of any size; items in too small clusters have no row.
-
-    A round takes the `block` smallest ids still open through the greedy method, and gives each later vector to
-    the cluster of that block which is most similar (the first of equals) if it reaches the threshold; the others
-    are open for the next round. So no task holds more than a block, all members of a cluster meet wherever their
-    ids lie, and a table of up to one block has the greedy result. Rounds grow with the number of clusters.
-    Clusters are numbered in the order of their founding, small ones left out. Rows without an id or a vector have no row.
-    """
-    spark = vectors.sparkSession
-    kind = vectors.schema["id"].dataType.simpleString()
-    open_ = cut(vectors.select("id", "vector").filter("id is not null and vector is not null"))
-    if open_.groupBy("id").count().filter("count > 1").limit(1).count():
-        raise ValueError("ids repeat")
-    found = spark.createDataFrame([], f"id {kind}, round int, number int, similarity double")
-
-    def first(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        x = np.stack(frame["vector"].tolist())
-        of = greedy_clusters(frame["id"].tolist(), x, threshold, 1)
-        number = np.array([c for c, _ in of])
-        wide = x.astype(np.float32).astype(np.float64)
-        centres = [wide[number == c].mean(0).astype(np.float32) for c in number]
-        return frame[["id"]].assign(number=number, similarity=[s for _, s in of], centre=[c.tolist() for c in centres])
-
-    def later(centres: np.ndarray):
-        shared = spark.sparkContext.broadcast(centres)
-
-        def run(batches):
-            c = shared.value.astype(np.float64)
-            lengths = np.sqrt((c * c).sum(1))
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch["vector"].tolist()).astype(np.float32).astype(np.float64)
-                size = np.sqrt((x * x).sum(1))[:, None] * lengths
-                sims = np.where(size > 0, x @ c.T / np.where(size > 0, size, 1), 0.0)
-                best = sims.argmax(1)
-                top = sims[np.arange(len(x)), best]
-                near = top >= threshold
-                yield batch.assign(number=np.where(near, best, -1).astype(np.int32), similarity=top, vector=[None if n else v for n, v in zip(near, batch["vector"], strict=True)])
-        return run
-
-    turn = 0
-    while True:
-        last = open_.select("id").orderBy("id").limit(block).agg(F.max("id")).first()[0]
-        if last is None:
-            break
-        made = cut(open_.filter(F.col("id") <= F.lit(last)).groupBy(F.lit("").alias("_all")).applyInPandas(first, f"id {kind}, number int, similarity double, centre array<float>"))
-        centres = np.array([r[0] for r in made.groupBy("number").agg(F.first("centre").alias("c")).orderBy("number").select("c").collect()], np.float32)
-        rest = cut(open_.filter(F.col("id") > F.lit(last)).mapInPandas(later(centres), f"id {kind}, vector array<float>, number int, similarity double"))
-        met = made.select("id", "number", "similarity").union(rest.filter("number >= 0").select("id", "number", "similarity"))
-        found = found.union(met.select("id", F.lit(turn).alias("round"), "number", "similarity"))
-        open_, turn = rest.filter("number < 0").select("id", "vector"), turn + 1
-    sizes = found.groupBy("round", "number").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
-    # One row a cluster is numbered.
-    numbered = sizes.select("round", "number", (F.row_number().over(Window.orderBy("round", "number")) - 1).alias("cluster"))
-    return found.join(numbered, ["round", "number"]).select("id", "cluster", "similarity")
-
-
 def source_keys(members: DataFrame) -> DataFrame:
     """(cluster, source_key): theme:<sha-256 of the sorted member ids, one a line>."""
     ids = F.sort_array(F.collect_list(F.col("id").cast("string")))
@@ -166,31 +61,49 @@ def source_keys(members: DataFrame) -> DataFrame:
 
 
 def terms(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """(id, term, surface) for each word of texts (id, text) that is no stopword (given folded); term is folded."""
+    """(id, term, surface, n): how often each item of texts (id, text) writes a word so; term is folded, stopwords (given folded) have no row.
+
+    Words are counted as written before they are folded, so that folding goes once over an item's spellings.
+    """
     words = texts.select("id", F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WRITTEN), F.lit(0))).alias("surface"))
-    return words.withColumn("term", fold(F.col("surface"))).filter((F.length("term") > 1) & ~F.col("term").isin(*stopwords))
+    counted = words.groupBy("id", "surface").agg(F.count("*").alias("n")).withColumn("term", fold(F.col("surface")))
+    return counted.filter((F.length("term") > 1) & ~F.col("term").isin(*stopwords)).select("id", "term", "surface", "n")
+
+
+def _spellings(words: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, term, surface, n) from terms()."""
+    return words.join(members.select("id", "cluster"), "id").groupBy("cluster", "term", "surface").agg(F.sum("n").alias("n"))
+
+
+def _frequencies(words: DataFrame) -> DataFrame:
+    """(term, df): the number of items that have a term, from terms()."""
+    return words.groupBy("id", "term").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def ranked_terms(words: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, term, tf, df, score): how often a cluster has a term, over the number of items that have it anywhere."""
-    # Partial sums an item and term come first, so that a very frequent word is a number by the time it is shuffled.
-    counted = words.groupBy("id", "term").agg(F.count("*").alias("n"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    tf = counted.join(members.select("id", "cluster"), "id").groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
-    return tf.join(df, "term").withColumn("score", F.col("tf") / F.col("df"))
+    tf = _spellings(words, members).groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
+    return tf.join(_frequencies(words), "term").withColumn("score", F.col("tf") / F.col("df"))
 
 
-def surface_forms(words: DataFrame, members: DataFrame) -> DataFrame:
+def _display(spellings: DataFrame) -> DataFrame:
     """(cluster, term, display): the most frequent spelling, the smallest of equals."""
-    counted = words.join(members.select("id", "cluster"), "id").groupBy("cluster", "term", "surface").agg(F.count("*").alias("n"))
-    return counted.groupBy("cluster", "term").agg(F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("display"))
+    return spellings.groupBy("cluster", "term").agg(F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("display"))
+
+
+def surface_forms(words: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, term, display) from terms(): how a cluster mostly writes each term."""
+    return _display(_spellings(words, members))
 
 
 def labels(words: DataFrame, members: DataFrame, n: int = LABEL_TERMS) -> DataFrame:
     """(cluster, label, confidence): the best terms by score, then term, with a capital at the front; '' and 0 without terms."""
+    words = cut(words)
+    spelt = cut(_spellings(words, members))
+    tf = spelt.groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
     w = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "term")
-    top = ranked_terms(words, members).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
-    shown = top.join(surface_forms(words, members), ["cluster", "term"])
+    top = cut(tf.join(_frequencies(words), "term").withColumn("score", F.col("tf") / F.col("df")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("cluster", "term", "place"))
+    shown = top.join(_display(spelt.join(top, ["cluster", "term"], "left_semi")), ["cluster", "term"])
     made = shown.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "display"))), lambda x: x["display"]), " ").alias("l"))
     all_ = members.select("cluster").distinct().join(made, "cluster", "left").withColumn("l", F.coalesce("l", F.lit("")))
     return all_.select("cluster", F.concat(F.upper(F.substring("l", 1, 1)), F.expr("substring(l, 2)")).alias("label"),

@@ -95,7 +95,7 @@ def theme_labels(s, d):
 
 def theme_clusters(s, d):
     v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return themes.clusters_by_rounds(v, 0.3).select("id", "cluster", F.round("similarity", 6).alias("similarity"))
+    return themes.clusters_in_blocks(v, 0.3, themes.MIN_SIZE).select("id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
 def theme_source_key(s, d):
@@ -104,7 +104,7 @@ def theme_source_key(s, d):
 
 def theme_plan(s, d):
     v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    members = cut(themes.clusters_by_rounds(v, 0.3))
+    members = cut(themes.clusters_in_blocks(v, 0.3, themes.MIN_SIZE))
     words = themes.terms(t.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     return themes.plan(members, themes.labels(words, members)).select("item_id", "source_key", "name", F.round("confidence", 6).alias("confidence"))
 
@@ -140,7 +140,24 @@ MERGED_HITS = """both_ AS (SELECT coalesce(ex.id, nn.id) AS id, pos, score, CASE
   others AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM both_ WHERE pos IS NULL AND score >= 0),
   merged AS (SELECT id, origin, score, pos FROM both_ WHERE pos IS NOT NULL UNION ALL SELECT id, origin, score, pos FROM others WHERE n <= greatest({limit} - (SELECT count(*) FROM ex), 0))"""
 
+#: Item by item: sums and counts of the clusters so far, and where each vector went.
+_GREEDY = """v AS (SELECT vec_id AS id, embedding::FLOAT[]::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+  g AS (SELECT 0::BIGINT AS i, []::DOUBLE[][] AS sums, []::BIGINT[] AS counts, 0::BIGINT AS went
+    UNION ALL SELECT i, CASE WHEN went > len(counts) THEN list_append(sums, x) ELSE list_transform(sums, lambda s, k: CASE WHEN k = went THEN list_transform(s, lambda a, j: a + x[j]) ELSE s END) END,
+      CASE WHEN went > len(counts) THEN list_append(counts, 1) ELSE list_transform(counts, lambda c, k: CASE WHEN k = went THEN c + 1 ELSE c END) END, went
+    FROM (SELECT i, x, sums, counts, CASE WHEN len(sims) > 0 AND list_max(sims) >= 0.3 THEN list_position(sims, list_max(sims)) ELSE len(counts) + 1 END::BIGINT AS went
+      FROM (SELECT v.i, v.x, sums, counts, list_transform(sums, lambda s, k: list_cosine_similarity(list_transform(s, lambda a: (a / counts[k])::FLOAT::DOUBLE), v.x)) AS sims FROM g JOIN v ON v.i = g.i + 1))),
+  last AS (SELECT sums, counts FROM g ORDER BY i DESC LIMIT 1),
+  held AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS cluster, list_transform(sums[k], lambda a: (a / counts[k])::FLOAT::DOUBLE) AS centre, counts[k] AS n FROM (SELECT sums, counts, unnest(range(1, len(counts) + 1)) AS k FROM last) WHERE counts[k] >= 3),
+  members AS (SELECT v.id, cluster, list_cosine_similarity(centre, v.x) AS similarity, n FROM g JOIN v USING (i) JOIN held ON held.k = g.went)"""
+
 ORACLE_SQL = {
+    "theme_clusters": f"WITH RECURSIVE {_GREEDY} SELECT id, cluster, round(similarity, 6) AS similarity FROM members",
+    "theme_plan": f"""WITH RECURSIVE {_GREEDY}, {_WORDS.replace("SELECT doc_id AS id, lang AS cluster, unnest", "SELECT doc_id AS id, m.cluster, unnest").replace("FROM documents)", "FROM documents LEFT JOIN members m ON m.id = doc_id)")}, {_RANKED}, {_FORMS},
+      tops AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS r FROM ranked WHERE cluster IS NOT NULL),
+      l AS (SELECT cluster, string_agg(display, ' ' ORDER BY r) AS l FROM tops JOIN forms USING (cluster, term) WHERE r <= 3 GROUP BY cluster),
+      k AS (SELECT cluster, 'theme:' || sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS source_key, count(*) AS n FROM members GROUP BY cluster)
+      SELECT id AS item_id, source_key, coalesce(upper(l[1]) || substring(l, 2), k.n || ' similar items') AS name, round(greatest(0, least(1, similarity)), 6) AS confidence FROM members JOIN k USING (cluster) LEFT JOIN l USING (cluster)""",
     "knn_cosine": f"SELECT id, round(score, 6) AS score FROM ({_KNN}) ORDER BY score DESC, id LIMIT 20",
     "knn_guarded_dim": f"SELECT id, round(score, 6) AS score FROM ({_KNN} WHERE e.label % 2 = 1 AND e.vec_id % 3 <> 0) ORDER BY score DESC, id LIMIT 15",
     "merge_exact_semantic": _bm25(["heat"]) + f""", ex AS (SELECT id, CAST(row_number() OVER (ORDER BY rank, capture_date DESC NULLS LAST, id DESC) AS INT) AS pos FROM found ORDER BY pos LIMIT 10),

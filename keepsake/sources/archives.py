@@ -9,12 +9,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions.dates import apple_date, epoch
 from keepsake.functions.media import classify
 from keepsake.functions.text import unescape_mbox
+from keepsake.sources.lines import running
 from keepsake.sources.records import dated, nonempty, records, skips
 
 #: Limits of an archive: bytes of an entry and of all, entries, times its packed size.
@@ -128,9 +129,8 @@ def photos(media: DataFrame, jsons: DataFrame) -> DataFrame:
 
 def mbox_messages(lines: DataFrame) -> DataFrame:
     """(file, index, raw) from lines (file, line_no, value): a line that begins 'From ' starts a message; '>From ' loses one mark."""
-    w = Window.partitionBy("file").orderBy("line_no")
     starts = F.col("value").startswith("From ")
-    numbered = lines.withColumn("index", F.sum(starts.cast("long")).over(w)).filter((F.col("index") > 0) & ~F.col("value").startswith("From "))
+    numbered = running(lines, {"index": starts}).filter((F.col("index") > 0) & ~starts)
     texts = F.transform(F.sort_array(F.collect_list(F.struct("line_no", unescape_mbox(F.col("value")).alias("v")))), lambda x: x["v"])
     return numbered.groupBy("file", "index").agg(F.array_join(texts, "\n").alias("raw"))
 

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.dates import chat_date, date_order, date_votes
 from keepsake.functions.media import classify
 from keepsake.functions.text import nfc
+from keepsake.operators.graph import cut
+from keepsake.sources.lines import read_lines, running
 from keepsake.sources.records import dated, records, skips
 
+__all__ = ["attachment", "chat_name", "header", "messages", "read", "read_lines"]
+
 #: Marks of direction and the byte order mark, which exports put around names and at the front of lines.
 MARKS = "".join(map(chr, (0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xFEFF)))
 _BLANKS = " \t\n\r\x0b\x0c\u00a0"
 #: What the exports write behind the name of an attached file, in parentheses.
 ATTACHED = ("file attached", "archivo adjunto", "arquivo anexado", "ficheiro anexado", "fichier joint", "datei angehängt", "file allegato", "bestand bijgevoegd")
-OMITTED = r"(?i)\bomitted\b|omitid|omitio|ocult"
+#: Notes that stand for a medium which an export left out: what it was, and that it is not there, by language.
+LEFT_OUT = {
+    ("media", "image", "photo", "video", "video note", "audio", "voice message", "sticker", "gif", "document", "contact card", "location"): ("omitted",),
+    ("multimedia", "archivo", "imagen", "foto", "video", "vídeo", "audio", "mensaje de voz", "sticker", "gif", "documento", "tarjeta de contacto", "ubicación"): ("omitido", "omitida", "oculto"),
+    ("mídia", "multimédia", "ficheiro", "arquivo", "arquivo de mídia", "imagem", "foto", "vídeo", "áudio", "mensagem de voz", "figurinha", "gif", "documento", "cartão do contato"): ("omitido", "omitida", "oculto", "oculta", "ocultado", "ocultada"),
+}
+OMITTED = tuple(sorted({f"{what} {gone}" for whats, gones in LEFT_OUT.items() for what in whats for gone in gones}))
 #: A header stands in so many characters at the front of a line; an author's name is no longer than the second.
 HEADER_CHARS, AUTHOR_CHARS = 160, 160
-#: Lines of a file that are numbered in one task; files are cut at these when messages are put together.
 LINE, FILE = "line_no", "file"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files; a file is one row while it is numbered, so that its order is kept."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(FILE), F.split("value", "\r?\n").alias("lines"))
-    return whole.select(FILE, F.posexplode("lines").alias(LINE, "value"))
-
-
 def header(line: Column) -> Column:
     """struct(date, time, ampm, bracket, length) of the header that begins a line without leading marks; null if none does.
 
@@ -70,16 +73,15 @@ def messages(lines: DataFrame) -> DataFrame:
     A line with a header begins a message, other lines go on with it. The order of day and month is voted by
     the headers up to the next one.
     """
-    by_line = Window.partitionBy(FILE).orderBy(LINE)
     rows = lines.select(FILE, LINE, F.regexp_replace("value", "\r$", "").alias("raw")).withColumn("line", F.ltrim("raw", F.lit(MARKS))).withColumn("head", header(F.col("line")))
-    rows = rows.withColumn("index", F.sum(F.col("head").isNotNull().cast("long")).over(by_line))
+    # Headers are read once, whatever is summed over them.
+    rows = running(cut(rows), {"index": F.col("head").isNotNull()}, FILE, LINE)
     texts = F.transform(F.sort_array(F.collect_list(F.struct(LINE, "raw"))), lambda x: x["raw"])
     put = rows.filter("index > 0").groupBy(FILE, "index").agg(F.max("head").alias("head"), F.max(F.when(F.col("head").isNotNull(), F.col("line"))).alias("line"), texts.alias("texts"))
     put = put.select(FILE, "index", "head.date", "head.time", "head.ampm", F.when(F.col("head.bracket"), "ios").otherwise("android").alias("platform"),
                      F.ltrim(F.substring("line", F.col("head.length") + 1, F.length("line")), F.lit(MARKS)).alias("first"), F.slice("texts", 2, 1 << 30).alias("more"))
-    votes = [v.alias(n) for v, n in zip(date_votes(F.col("date")), ("dmy", "mdy", "ymd"), strict=True)]
-    so_far = Window.partitionBy(FILE).orderBy("index").rowsBetween(Window.unboundedPreceding, 1)
-    counted = put.select("*", *votes).withColumn("order", date_order(*[F.sum(n).over(so_far) for n in ("dmy", "mdy", "ymd")]))
+    votes = dict(zip(("dmy", "mdy", "ymd"), date_votes(F.col("date")), strict=True))
+    counted = running(cut(put), votes, FILE, "index", ahead=True).withColumn("order", date_order(*[F.col(n) for n in votes]))
     author = _author(F.col("first"))
     body = F.when(author.isNotNull(), F.substring("first", F.length(author) + 3, F.length("first"))).otherwise(F.col("first"))
     whole = F.array_join(F.concat(F.array(F.ltrim(body, F.lit(MARKS))), "more"), "\n")
@@ -103,7 +105,14 @@ def attachment(body: Column) -> tuple[Column, Column]:
     rest = F.substring(clean, where + length, F.length(clean))
     file = F.when(angled, told).when(marked, name)
     caption = F.when(angled, F.substring(body, F.length(inner) + 3, F.length(body))).when(marked, rest).otherwise(body)
-    return nfc(F.trim(F.translate(file, MARKS, ""))), F.nullif(F.trim(caption, F.lit(_BLANKS)), F.lit(""))
+    named = F.trim(F.translate(file, MARKS, ""))
+    # Only names beyond ASCII need normalising.
+    return F.when(named.rlike(r"[^\x00-\x7F]"), nfc(named)).otherwise(named), F.nullif(F.trim(caption, F.lit(_BLANKS)), F.lit(""))
+
+
+def _left_out(body: Column) -> Column:
+    """Whether a message is nothing but a note that a medium was left out, in angle brackets or not."""
+    return F.lower(F.trim(F.translate(body, MARKS + "<>.", ""), F.lit(_BLANKS))).isin(*OMITTED)
 
 
 def chat_name(path: Column) -> Column:
@@ -124,7 +133,7 @@ def read(lines: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, D
     lost = m.filter(F.col("named").isNotNull() & ~F.coalesce("there", F.lit(False)))
     kind, mime = classify(F.col("named"), source="whatsapp")
     has = F.col("named").isNotNull() & F.coalesce("there", F.lit(False))
-    meta = F.struct(chat_name(F.col(FILE)).alias("chat"), "platform", F.when(F.col("body").rlike(OMITTED) & (F.length("body") < 80), True).alias("mediaOmitted"))
+    meta = F.struct(chat_name(F.col(FILE)).alias("chat"), "platform", F.when(_left_out(F.col("body")), True).alias("mediaOmitted"))
     when = chat_date(F.col("date"), F.col("time"), F.col("ampm"), F.col("order"))
     kept = records(m, sourceType=F.lit("whatsapp"), mediaType=F.when(has, kind).otherwise("message"), originalPath=F.when(has, F.col("named")), mimeType=F.when(has, mime), date=dated(when),
                    author=F.col("author"), body=F.when(F.col("named").isNotNull(), F.col("caption")).otherwise(F.nullif("body", F.lit(""))), sourceRef=ref, sourceMeta=meta)

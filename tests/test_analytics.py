@@ -1,9 +1,11 @@
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from keepsake.operators import places, speech, themes
+from keepsake.operators import greedy, places, speech, themes
 from keepsake.operators.graph import components
 
 
@@ -52,6 +54,31 @@ def test_dbscan_equals_the_naive_method(spark, centre):
     assert cluster(spark, points) == naive_dbscan(points)
 
 
+@pytest.mark.parametrize(("centre", "seed"), [((0.0, 0.0), 1), ((55.0, 179.99), 2), ((-89.99, 0.0), 3)])
+def test_dbscan_of_dense_cells_equals_the_naive_method(spark, centre, seed):
+    """Full cells whose nearest points are just in reach, or just out of it."""
+    rng = np.random.default_rng(seed)
+    points = {}
+    for blob in range(6):
+        east, north = blob % 3 * rng.uniform(1900, 2300), blob // 3 * rng.uniform(1900, 2300)
+        for _ in range(40):
+            lat = centre[0] + (north + rng.uniform(-350, 350)) * STEP * (-1 if centre[0] > 80 else 1)
+            lon = (centre[1] + (east + rng.uniform(-350, 350)) * STEP / max(1e-4, math.cos(math.radians(lat))) + 180) % 360 - 180
+            points[len(points)] = (lat, lon)
+    for _ in range(30):
+        points[len(points)] = (centre[0] + rng.uniform(0, 4500) * STEP, (centre[1] + rng.uniform(0, 6500) * STEP / max(1e-4, math.cos(math.radians(centre[0]))) + 180) % 360 - 180)
+    for least in (3, 8):
+        assert cluster(spark, points, min_points=least) == naive_dbscan(points, least=least)
+
+
+def test_a_million_points_in_one_city(spark):
+    u = lambda seed: F.rand(seed) * 6000 * STEP
+    points = spark.range(0, 1_000_000, 1, 8).select("id", (F.lit(48.0) + u(1)).alias("lat"), (F.lit(2.0) + u(2)).alias("lon")).unionByName(spark.createDataFrame([(2_000_000, 10.0, 10.0)], "id long, lat double, lon double"))
+    began = time.time()
+    got = {r["cluster"]: r["count"] for r in places.dbscan(points).groupBy("cluster").count().collect()}
+    assert got == {0: 1_000_000, None: 1} and time.time() - began < 120
+
+
 def test_dbscan_borders_and_options(spark):
     two = {i: (0.0 if i < 3 else 0.1, (i % 3) * 1e-4) for i in range(6)}
     assert cluster(spark, two) == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
@@ -108,34 +135,64 @@ def test_greedy_themes_equal_the_naive_method(spark):
     assert {(r.id, r.cluster) for r in themes.clusters(frame, None, 0.7).collect()} == {(i, c) for c, ids in groups.items() for i in ids}
     for ids, vectors in (([1, 1], np.ones((2, 2))), ([1], np.array([[np.nan]]))):
         with pytest.raises(ValueError, match="repeat|finite"):
-            themes.greedy_clusters(ids, vectors)
+            themes.greedy_clusters(ids, vectors, 0.8, 3)
 
 
-def test_themes_across_blocks(spark):
+@pytest.mark.parametrize(("block", "found", "in_hand"), [(7, 2, 0), (30, 1, 0), (30, 16, 1 << 20), (1000, 16, 1 << 20)])
+def test_themes_across_blocks_equal_the_naive_method(spark, block, found, in_hand):
+    """However small a block, and whether centroids are found beforehand or all in hand."""
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(6, 8))
-    x = np.concatenate((centres[rng.integers(0, 6, 60)] + rng.normal(size=(60, 8)) * 0.05, rng.normal(size=(10, 8))))[rng.permutation(70)].astype(np.float32)
-    frame = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
-    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
-    for block in (7, 30, 1000):
-        left, themes_ = list(range(70)), []
-        while left:
-            first, rest = left[:block], left[block:]
-            made = [{"ids": [first[i] for i in ids], "centre": x[[first[i] for i in ids]].astype(float).mean(0)} for ids in naive_themes(x[first], 0.9, 1)]
-            left = []
-            for i in rest:
-                best = max(made, key=lambda c: cos(c["centre"], x[i].astype(float)))
-                if cos(best["centre"], x[i].astype(float)) >= 0.9:
-                    best["ids"].append(i)
-                else:
-                    left.append(i)
-            themes_ += made
-        want = [sorted(c["ids"]) for c in themes_ if len(c["ids"]) >= 3]
-        rows = themes.clusters_by_rounds(frame, 0.9, 3, block).collect()
-        assert {(r.id // 3, r.cluster) for r in rows} == {(i, n) for n, ids in enumerate(want) for i in ids} and len(rows) == sum(map(len, want))
-    assert themes.clusters_by_rounds(frame.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="repeat"):
-        themes.clusters_by_rounds(frame.union(frame.limit(1)))
+    x = np.concatenate((centres[rng.integers(0, 6, 60)] + rng.normal(size=(60, 8)) * 0.5, rng.normal(size=(10, 8)), centres[:3], np.zeros((1, 8))))[rng.permutation(74)].astype(np.float32)
+    frame = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (7, None)], "id long, vector array<float>").repartition(5)
+    rows = themes.clusters_in_blocks(frame, 0.8, 3, block, found, in_hand).collect()
+    want = naive_themes(x, 0.8, 3)
+    assert {(r.id // 3, r.cluster) for r in rows} == {(i, n) for n, ids in enumerate(want) for i in ids} and len(rows) == sum(map(len, want))
+    one = themes.greedy_clusters(list(range(len(x))), x, 0.8, 3)
+    assert all(one[r.id // 3] == (r.cluster, r.similarity) for r in rows)
+
+
+def test_replay_over_many_blocks_equals_one_block():
+    """20,000 vectors in blocks of 500, centroids found beforehand."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(900, 24))
+    x = (centres[rng.integers(0, 900, 20_000)] + rng.normal(size=(20_000, 24)) * 0.35).astype(np.float32)
+    whole = greedy.InHand(24)
+    want = greedy.replay(x, whole, 0, 0.75)
+    state, founded, got, rounds = {}, 0, [], 0
+    while len(got) < len(x):
+        block = x[len(got):len(got) + 500]
+        lists, more = [[] for _ in block], np.zeros(len(block), bool)
+        if state:
+            numbers = np.array(sorted(state))
+            i, j, sims = greedy._reaching(block.astype(float), np.stack([greedy.centre_of(*state[n]) for n in numbers]), 0.75)
+            for k in np.lexsort((numbers[j], -sims, i)):
+                lists[i[k]].append((float(sims[k]), int(numbers[j[k]])))
+            more = np.array([len(found) > 16 for found in lists])
+            lists = [found[:16] for found in lists]
+        hand = greedy.InHand(24)
+        of = greedy.replay(block, hand, founded, 0.75, lists, more, state)
+        state |= {n: (hand.sums[k].copy(), hand.counts[k]) for n, k in hand.at.items()}
+        founded, rounds = len(state), rounds + 1
+        got += of
+    assert got == want and rounds < 80
+
+
+def test_prefix_bounds_lose_no_pair():
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(60, 200)), rng.normal(size=(40, 200))
+    b[:20] = a[:20] + rng.normal(size=(20, 200)) * 0.4
+    i, j, sims = greedy._reaching(a, b, 0.8)
+    every = a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(z.tolist() for z in np.nonzero(every >= 0.8)), strict=True)) and np.allclose(sims, every[i, j])
+
+
+def test_themes_of_bad_and_empty_tables(spark):
+    frame = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "id long, vector array<float>")
+    assert themes.clusters_in_blocks(frame.limit(0), 0.9, 3).count() == 0
+    for bad in (frame.union(frame.limit(1)), spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], frame.schema), spark.createDataFrame([(1, [float("nan")])], frame.schema)):
+        with pytest.raises(ValueError, match="repeat|finite"):
+            themes.clusters_in_blocks(bad, 0.9, 3)
 
 
 def test_theme_labels(spark):

@@ -1,15 +1,18 @@
 import io
 import json
-import os
 import shutil
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keepsake.catalog import Catalog
 from keepsake.functions import dates
 from keepsake.functions import text as X
+from keepsake.log import Conflict, Log
 from keepsake.sources import archives, chatlog, linkedin, social
+from keepsake.sources.lines import running
 from keepsake.streaming import ingest
 
 
@@ -188,9 +191,81 @@ def test_streaming_equals_batch_and_survives_replay(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, path, schema, f"{tmp_path}/out", f"{tmp_path}/ck", make).awaitTermination()
     once = ingest.latest(spark, f"{tmp_path}/out")
-    assert once.count() == docs.select("text").distinct().count() and len([v for v in os.listdir(f"{tmp_path}/out") if v.startswith("v=")]) == 3
+    assert once.count() == docs.select("text").distinct().count() and Log(spark, f"{tmp_path}/out/_log").last() == 3
     before = sorted(map(str, once.collect()))
-    shutil.rmtree(f"{tmp_path}/out/v=2")
+    # The last batch's entry was made, but the stream does not know: it is run again, and changes nothing.
     shutil.rmtree(f"{tmp_path}/ck/commits")
     ingest.ingest(spark, path, schema, f"{tmp_path}/out", f"{tmp_path}/ck", make).awaitTermination()
+    assert Log(spark, f"{tmp_path}/out/_log").last() == 3
     assert sorted(map(str, ingest.latest(spark, f"{tmp_path}/out").collect())) == before
+
+
+ITEM = "id string, media_type string, description string, search_meta string, capture_date string, content_hash string, seq long"
+
+
+def test_a_small_batch_touches_few_buckets(spark, tmp_path):
+    folder = f"{tmp_path}/items"
+    row = lambda i, text: (f"i{i}", "message", text, f"t{i}", None, f"h{i}", i)
+    run = ingest.merge_batch(folder, buckets=64)
+    run(spark.createDataFrame([row(i, f"text {i}") for i in range(2000)] + [("n1", "photo", None, None, None, None, 5000), ("n2", "photo", None, None, None, None, 5001)], ITEM), 0)
+    first = Log(spark, f"{folder}/_log").newest()[1]
+    run(spark.createDataFrame([("other", "message", "later", f"x{i}", "2020", f"h{i}", i) for i in range(9)] + [("n3", "photo", None, None, None, None, 1)], ITEM), 1)
+    second = Log(spark, f"{folder}/_log").newest()[1]
+    assert len(second["touched"]) <= 10 and sum(first["files"][b] != second["files"][b] for b in first["files"]) == len(second["touched"])
+    got = {r.id: r for r in ingest.latest(spark, folder).collect()}
+    assert len(got) == 2003 and {"n1", "n2", "n3"} <= got.keys()
+    assert (got["i3"].description, got["i3"].search_meta, got["i3"].capture_date) == ("text 3", "t3 x3", "2020")
+    run(spark.createDataFrame([row(1, "again")], ITEM), 1)  # a batch that is known by its number
+    assert Log(spark, f"{folder}/_log").last() == 2
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    log = Log(spark, f"{tmp_path}/log")
+    log.append(1, {"a": 1})
+    with pytest.raises(Conflict):
+        log.append(1, {"a": 2})
+    assert log.newest() == (1, {"a": 1})
+    one, other = Catalog.create(spark, f"{tmp_path}/c"), Catalog.open(spark, f"{tmp_path}/c")
+    rows = spark.createDataFrame([("i", "p")], "item_id string, text string")
+    at = one.version("transcripts")
+    whole = rows.selectExpr("item_id", "text", "null language", "null segments")
+    other.save("transcripts", whole, at)
+    with pytest.raises(Conflict):
+        one.save("transcripts", whole, at)
+    assert one.version("transcripts") == at + 1 and one.load("transcripts").count() == 1
+
+
+LONG_CHAT = "".join(f"[{d:02d}/{m:02d}/2021, 10:{d:02d}:00] Ana: line {d} {m}\r\nmore of {d}\r\n" if (d + m) % 3 else f"{d}\n" for m in range(1, 13) for d in range(1, 29))
+
+
+@pytest.mark.parametrize("size", [400, 4000, 1 << 20])
+def test_lines_and_messages_are_the_same_however_a_file_is_split(spark, tmp_path, size, monkeypatch):
+    (tmp_path / "chat.txt").write_bytes(LONG_CHAT.encode())
+    (tmp_path / "short.txt").write_bytes(b"one\n\ntwo")
+    monkeypatch.setattr("keepsake.sources.lines.PIECE_BITS", 4)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        read = chatlog.read_lines(spark, f"{tmp_path}/*.txt")
+        got = sorted((r.file.rsplit("/", 1)[-1], r.line_no, r.value) for r in read.collect())
+        kept = chatlog.messages(read).orderBy("index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [("chat.txt", i, v) for i, v in enumerate(LONG_CHAT.replace("\r", "").split("\n")[:-1])] + [("short.txt", i, v) for i, v in enumerate(("one", "", "two"))]
+    assert got == want
+    heads = [v for _, _, v in want if v.startswith("[")]
+    assert [r["index"] for r in kept] == list(range(1, len(heads) + 1)) and all(r.body.startswith("line") for r in kept) and sum(r.body.count("\n") + 1 for r in kept) == len(want) - 3
+
+
+def test_running_sums_equal_a_window_over_all(spark, monkeypatch):
+    monkeypatch.setattr("keepsake.sources.lines.PIECE_BITS", 2)
+    rows = spark.createDataFrame([("ab"[i % 2], i * 3 % 101, i % 5) for i in range(101)], "file string, line_no long, v long")
+    for ahead in (False, True):
+        got = {(r.file, r.line_no): r.s for r in running(rows, {"s": F.col("v")}, ahead=ahead).collect()}
+        plain = F.sum("v").over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, int(ahead)))
+        assert got == {(r.file, r.line_no): r.s for r in rows.withColumn("s", plain).collect()}
+
+
+@pytest.mark.parametrize(("body", "out"), [("<Media omitted>", True), ("\u200eimage omitted", True), ("imagen omitida", True), ("<Mídia oculta>", True), ("I omitted the image", False), ("omitted", False), ("oculto", False), ("", False), (None, None)])
+def test_notes_of_media_left_out(spark, body, out):
+    assert bool(spark.range(1).select(chatlog._left_out(F.lit(body).cast("string"))).first()[0]) == bool(out)

@@ -1,4 +1,5 @@
 import random
+import time
 
 from keepsake.operators import speech
 from keepsake.plans import imports
@@ -27,6 +28,23 @@ def test_align_against_the_whole_table():
         assert speech.align(a, b) == plain(a, b)
 
 
+def test_large_tables_keep_some_columns(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(speech, "TABLE_BYTES", 0)
+    for _ in range(150):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(40))] for _ in range(2))
+        assert speech.align(a, b) == plain(a, b)
+
+
+def test_long_texts_align_in_bounded_time():
+    rng = random.Random(6)
+    a = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    b = [w for w in a if rng.random() > 0.1]
+    began = time.time()
+    subs, dels, inserts = speech.align(a, b)
+    assert dels - inserts == len(a) - len(b) and subs + dels + inserts <= len(a) - len(b) and time.time() - began < 30
+
+
 def test_the_query_takes_whole_turns(spark, tmp_path):
     rng = random.Random(4)
     turns = [" ".join(rng.choice(["uno", "dos", "tres", "four", "five"]) for _ in range(n)) for n in (5, 200, 310, 90, 0, 40)]
