@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 def _bases(last: int) -> dict[str, str]:
@@ -74,6 +74,13 @@ def merge_tokens(*parts: Column) -> Column:
     return F.array_join(F.array_remove(F.array_distinct(F.concat(*words)), ""), " ")
 
 
+def register(spark: SparkSession) -> None:
+    """Makes merge_tokens(existing, incoming) a function of the session's SQL, with the expression of merge_tokens()."""
+    words = lambda c: f"split(coalesce({c}, ''), '\\\\s+')"
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION merge_tokens(existing STRING, incoming STRING) RETURNS STRING DETERMINISTIC "
+              f"RETURN array_join(array_remove(array_distinct(concat({words('existing')}, {words('incoming')})), ''), ' ')")
+
+
 def merge_token_lists(lists: Column) -> Column:
     """The same over an array of token strings."""
     words = F.flatten(F.transform(lists, lambda p: F.split(F.coalesce(p, F.lit("")), r"\s+")))

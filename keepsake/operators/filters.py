@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.schemas import DESCRIPTION_CHARS, TITLE_CHARS
+from keepsake.schemas import DESCRIPTION_CHARS, TABLES, TITLE_CHARS
 
 
 def by_type(items: DataFrame, types: list[str] | None) -> DataFrame:
@@ -81,3 +81,34 @@ def with_overrides(items: DataFrame, overrides: DataFrame) -> DataFrame:
     """Items whose favourite flag settled overrides (id, favourite) replace."""
     own = overrides.select("id", F.col("favourite").alias("_o"))
     return items.join(own, "id", "left").withColumn("is_favourite", F.coalesce("_o", "is_favourite")).drop("_o")
+
+
+#: Columns of an item as the catalog shows it, in their order.
+ITEM_COLUMNS = tuple(c.split()[0] for c in TABLES["items"].split(", "))
+
+
+def item_view(items: DataFrame) -> DataFrame:
+    """Items with all columns of ITEM_COLUMNS and no others; a column that is not there is null, a favourite is false unless said."""
+    kinds = dict(c.split() for c in TABLES["items"].split(", "))
+    found = items.select(*[(F.col(c) if c in items.columns else F.lit(None).cast(kinds[c])).alias(c) for c in ITEM_COLUMNS])
+    return found.withColumn("is_favourite", F.coalesce("is_favourite", F.lit(False)))
+
+
+def category_by_id(categories: DataFrame, category_id) -> DataFrame:
+    return categories.filter(F.col("id") == F.lit(category_id))
+
+
+def category_by_source_key(categories: DataFrame, key: str) -> DataFrame:
+    """The category of a source key; the smallest id should several have it."""
+    return categories.filter(F.col("source_key") == F.lit(key)).orderBy("id").limit(1)
+
+
+def ingestion_summary(occurrences: DataFrame, skips: DataFrame | None = None, by: str = "source_id") -> DataFrame:
+    """(by, records, items_touched, retained, in_place, skipped) of an import's occurrences (item_id, storage_mode) and skips, which carry `by`."""
+    mode = lambda m: F.count_if(F.col("storage_mode") == m)
+    made = occurrences.groupBy(by).agg(F.count("*").alias("records"), F.countDistinct("item_id").alias("items_touched"), mode("content_addressed").alias("retained"), mode("in_place").alias("in_place"))
+    if skips is None:
+        return made.withColumn("skipped", F.lit(0).cast("long"))
+    lost = skips.groupBy(by).agg(F.count("*").alias("skipped"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return made.join(lost, by, "full").select(by, *[zero(c) for c in ("records", "items_touched", "retained", "in_place", "skipped")])

@@ -25,16 +25,20 @@ def _last(name: str, order: str = "seq") -> Column:
 def upsert_items(delta: DataFrame, columns: tuple[str, ...] = FIRST_WINS, keep: tuple[str, ...] = ("id", "media_type")) -> DataFrame:
     """Items by content_hash: first non-null value a column, search_meta merged token by token, `keep` of the first row.
 
-    Rows without a hash stay apart. Current rows are part of delta with a smaller seq. One aggregation.
+    Rows without a hash stay apart. Current rows are part of delta with a smaller seq.
     """
     own = [c for c in columns if c in delta.columns]
     # A null hash is a key of its own row.
     key = F.coalesce(F.concat(F.lit("h"), "content_hash"), F.concat(F.lit("s"), F.col("seq").cast("string")))
     aggs = [F.min_by(c, "seq").alias(c) for c in keep] + [_first(c).alias(c) for c in own]
-    if "search_meta" in delta.columns:
-        lists = F.transform(F.sort_array(F.collect_list(F.struct("seq", "search_meta"))), lambda x: x["search_meta"])
-        aggs.append(F.nullif(merge_token_lists(lists), F.lit("")).alias("search_meta"))
-    return delta.groupBy(key.alias("_k"), "content_hash").agg(*aggs).drop("_k")
+    made = delta.groupBy(key.alias("_k"), "content_hash").agg(*aggs)
+    if "search_meta" not in delta.columns:
+        return made.drop("_k")
+    # Tokens are taken once a key before they meet, so that a hash of any number of rows gathers its distinct tokens alone.
+    each = delta.filter("search_meta is not null").select(key.alias("_k"), "seq", F.posexplode(F.split("search_meta", r"\s+")).alias("_at", "_token")).filter("_token <> ''")
+    first = each.groupBy("_k", "_token").agg(F.min(F.struct("seq", "_at")).alias("_first"))
+    merged = first.groupBy("_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_token"))), lambda x: x["_token"]), " ").alias("search_meta"))
+    return made.join(merged, "_k", "left").drop("_k")
 
 
 def insert_ignore(current: DataFrame, delta: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

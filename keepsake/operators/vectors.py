@@ -73,6 +73,8 @@ def input_line(text: Column, prefix: str = "passage: ") -> Column:
 
 
 Embedder = Callable[[list[str]], np.ndarray]
+#: How far from 1 the length of a unit vector may be.
+UNIT_SLACK = 1e-3
 
 
 def hashing_embedder(dim: int = 384) -> Embedder:
@@ -88,8 +90,24 @@ def hashing_embedder(dim: int = 384) -> Embedder:
     return embed
 
 
-def embed(items: DataFrame, embedder: Embedder, dim: int = 384, batch: int = 16) -> DataFrame:
-    """(id, vector, embed_status) for each pending item: done, skipped without text, error where its batch fails."""
+def aligned(made, count: int, dim: int, unit: bool = True) -> list[np.ndarray | None]:
+    """An embedder's vectors for `count` texts: None for one that is of another length, not finite or, if asked for, not of unit length.
+
+    Another number of vectors than of texts is an error of the whole batch, as none can be told to be whose.
+    """
+    made = list(made)
+    if len(made) != count:
+        raise ValueError("another number of vectors than of texts")
+    out: list[np.ndarray | None] = []
+    for v in made:
+        v = np.asarray(v, np.float32)
+        length = float(np.sqrt((v.astype(np.float64) ** 2).sum())) if v.ndim == 1 and len(v) == dim else float("nan")
+        out.append(v if np.isfinite(length) and (not unit or abs(length - 1) <= UNIT_SLACK) else None)
+    return out
+
+
+def embed(items: DataFrame, embedder: Embedder, dim: int = 384, batch: int = 16, unit: bool = True) -> DataFrame:
+    """(id, vector, embed_status) for each pending item: done, skipped without text, error where its batch or its own vector fails."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             vectors, status = [], []
@@ -97,17 +115,17 @@ def embed(items: DataFrame, embedder: Embedder, dim: int = 384, batch: int = 16)
                 texts = frame["text"].iloc[i:i + batch]
                 full = [t for t in texts if t is not None and t == t]
                 try:
-                    made = np.asarray(embedder(full), np.float32).reshape(len(full), dim) if full else np.empty((0, dim))
-                    if not np.isfinite(made).all():
-                        raise ValueError("not finite")
-                    rows = iter(made)
-                    for t in texts:
-                        none = t is None or t != t
-                        vectors.append(None if none else next(rows))
-                        status.append("skipped" if none else "done")
+                    made = aligned(embedder(full), len(full), dim, unit) if full else []
                 except Exception:  # one bad batch is reported row by row; the others go on
-                    vectors += [None] * len(texts)
-                    status += ["skipped" if t is None or t != t else "error" for t in texts]
+                    made = [None] * len(full)
+                rows = iter(made)
+                for t in texts:
+                    if t is None or t != t:
+                        vectors.append(None)
+                        status.append("skipped")
+                    else:
+                        vectors.append(v := next(rows))
+                        status.append("error" if v is None else "done")
             yield pd.DataFrame({"id": frame["id"], "vector": vectors, "embed_status": status})
 
     texts = items.filter("embed_status = 'pending'").select("id", input_line(passage_text(F.col("description"), F.col("search_meta"))).alias("text"))

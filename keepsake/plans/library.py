@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from keepsake.operators import curation, filters, merge, search, speech, timeline, vectors
+from keepsake.operators.graph import shared_folder
+from keepsake.operators.stored import StoredIndex
 from keepsake.plans import tables as t
 from keepsake.plans.analytics import _KNN, MERGED_HITS, _query, _vectors
 from keepsake.plans.catalog import _ORDER, _TOK, _bm25
@@ -112,6 +115,18 @@ def index_refresh(s, d):
     return index.groupBy("token").agg(F.count("*").alias("items"), F.sum("n").alias("n"))
 
 
+def stored_index_topk(s, d):
+    """A ranked search of a stored index: items as drafts, then a segment that rewrites a third and takes some out, then a merge."""
+    items = t.items(s, d)
+    index = StoredIndex(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
+    index.add(items.withColumn("description", F.when(F.col("id") % 3 == 0, "draft").otherwise(F.col("description"))))
+    index.add(items.filter("id % 3 = 0"), items.filter("id % 3 = 1 and id % 7 = 0"))
+    index.merge()
+    live = items.filter("not (id % 3 = 1 and id % 7 = 0)")
+    top = search.search(live, "the on", 30, index=index.postings(), sizes=index.sizes())
+    return top.select("id", F.round("rank", 6).alias("score"))
+
+
 def recognition_summary(s, d):
     q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
     rows = t.table(s, d, "lineitem").select(q.alias("words"), n.alias("substitutions"), (n % 3).alias("deletions"), (n % 2).alias("insertions"), F.col("l_discount").alias("rtf"), (n < 4).alias("detected"))
@@ -124,7 +139,7 @@ def run_tally(s, d):
 
 
 QUERIES = {f.__name__: f for f in (smart_search, timeline_next_page, hydrate_ids, pending_embeddings, transcribable_items, categorizable_items, transcript_views, favourite_changes, undo_occurrence, embedding_replace,
-                                   vector_round_trip, category_upsert, auto_assign, accept_and_merge, collection_rename, index_refresh, recognition_summary, run_tally)}
+                                   vector_round_trip, category_upsert, auto_assign, accept_and_merge, collection_rename, index_refresh, stored_index_topk, recognition_summary, run_tally)}
 
 _DOT = "round(list_dot_product({v}, {v}), 4)"
 
@@ -154,6 +169,8 @@ ORACLE_SQL = {
       AND item_id NOT IN (SELECT item_id FROM collection_items WHERE collection_id = 'c3') UNION ALL SELECT id, NULL FROM collections WHERE origin = 'dismissed' UNION ALL SELECT 'dismissed:29', NULL WHERE EXISTS (SELECT 1 FROM documents WHERE doc_id % 40 = 29)""",
     "collection_rename": f"WITH {t.COLLECTIONS} SELECT id, CASE WHEN id = 'c7' THEN 'Renamed' ELSE name END AS name FROM collections",
     "index_refresh": f"WITH {t.ITEMS}, {_TOK} SELECT t AS token, count(DISTINCT id) AS items, count(*) AS n FROM tok WHERE NOT (id % 3 = 1 AND id % 7 = 0) GROUP BY t",
+    "stored_index_topk": _bm25(["the", "on"]).replace(t.ITEMS, t.ITEMS + ", every AS (SELECT * FROM items), live AS (SELECT * FROM every WHERE NOT (id % 3 = 1 AND id % 7 = 0))", 1).replace("FROM items", "FROM live").replace("JOIN items", "JOIN live").replace(
+        "every AS (SELECT * FROM live)", "every AS (SELECT * FROM items)") + f", p AS (SELECT * FROM found ORDER BY rank, {_ORDER} LIMIT 30) SELECT id, round(rank, 6) AS score FROM p",
     "recognition_summary": """SELECT count(*) AS n, round(avg(e / nullif(w, 0)), 6) AS macro_wer, round(sum(e) / sum(w), 6) AS micro_wer, round(avg(l_discount), 6) AS mean_rtf, round(avg((l_linenumber < 4)::INT), 6) AS detection
       FROM (SELECT *, l_quantity::BIGINT AS w, l_linenumber + l_linenumber % 3 + l_linenumber % 2 AS e FROM lineitem)""",
     "run_tally": "SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY event_type",

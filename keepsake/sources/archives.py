@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +16,6 @@ from keepsake.functions.text import unescape_mbox
 from keepsake.sources.lines import running
 from keepsake.sources.records import dated, nonempty, records, skips
 
-#: Limits of an archive: bytes of an entry and of all, entries, times its packed size.
-ENTRY_BYTES, TOTAL_BYTES, ENTRIES, RATIO = 500_000_000, 2_000_000_000, 100_000, 100
 MESSAGE_CHARS = 4 * 1024 * 1024
 
 
@@ -41,51 +37,6 @@ def folder(files: DataFrame, root: str, exif: DataFrame | None = None) -> tuple[
     return kept, skips(files.limit(0), F.col("path"), "", "")
 
 
-def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows, total = [], 0
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    infos = z.infolist()
-                    if len(infos) > ENTRIES:
-                        raise ValueError("E_TOO_MANY_ENTRIES")
-                    for i in infos:
-                        name = i.filename.replace("\\", "/")
-                        if i.is_dir():
-                            continue
-                        if "\0" in i.orig_filename:
-                            code = "E_NUL_NAME"
-                        elif name.startswith("/") or name[1:3] == ":/" or ".." in name.split("/"):
-                            code = "E_ZIP_SLIP"
-                        elif (i.external_attr >> 16) & 0o170000 == 0o120000:
-                            code = "E_SYMLINK"
-                        elif i.file_size > ENTRY_BYTES or total + i.file_size > TOTAL_BYTES:
-                            code = "E_TOO_LARGE"
-                        elif i.file_size > RATIO * max(1, i.compress_size):
-                            code = "E_RATIO"
-                        else:
-                            code = None
-                        total += 0 if code else i.file_size
-                        rows.append((path, name, i.file_size, None if code else z.read(i), code))
-            except (zipfile.BadZipFile, ValueError) as e:
-                rows.append((path, None, None, None, str(e) if str(e).startswith("E_") else "E_BAD_ZIP"))
-            yield pd.DataFrame(rows, columns=["archive", "path", "size", "content", "code"]).astype({"size": "Int64"})
-
-
-def unzip(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries (archive, path, size, content), skips) of zip files; entries that leave the archive or its limits are skipped."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInPandas(_zip_rows, "archive string, path string, size long, content binary, code string")
-    return found.filter("code is null").drop("code"), found.filter("code is not null").select(F.concat_ws("!", "archive", "path").alias("ref"), F.lit("archive entry refused").alias("reason"), "code")
-
-
-def has_entry(path: str, markers: tuple[str, ...]) -> bool:
-    """Does a zip file that the driver can open name an entry with one of the markers?"""
-    with zipfile.ZipFile(path) as z:
-        return any(m in n for n in z.namelist() for m in markers)
-
-
 def sidecars(media: DataFrame, jsons: DataFrame) -> DataFrame:
     """(dir, name, sidecar) for media (dir, name) and JSON files (dir, json): name.json, else name(1).jpg with name.jpg(1).json,
     else the longest stem of at least four characters that begins the name.

@@ -1,4 +1,4 @@
-"""What files say of themselves: EXIF dates and places, lengths of WAV files."""
+"""What files say of themselves: EXIF dates and places, lengths and sizes of media."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.sources.containers import container, measure
 
 # Fixed values of EXIF: tags, and bytes of each type.
 _TAKEN, _CHANGED, _EXIF, _GPS, _ORIENTATION = 0x9003, 0x0132, 0x8769, 0x8825, 0x0112
@@ -67,28 +70,30 @@ def read_exif(content: bytes) -> dict | None:
 
 def wav_seconds(content: bytes) -> float | None:
     """Length of a RIFF WAVE file from its chunks; None for anything else."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        return None
-    at, rate = 12, None
-    while at + 8 <= len(content):
-        name, (size,) = content[at:at + 4], struct.unpack_from("<I", content, at + 4)
-        if name == b"fmt " and at + 20 <= len(content):
-            (rate,) = struct.unpack_from("<I", content, at + 16)
-        if name == b"data":
-            return min(size, len(content) - at - 8) / rate if rate else None
-        at += 8 + size + size % 2
-    return None
+    return measure(content)["seconds"] if container(content) == "wav" else None
+
+
+def real_time_factor(audio: DataFrame, took: DataFrame) -> DataFrame:
+    """(id, seconds, rtf): the time that recognition took (id, ms) over the length of the audio (id, seconds); null where that is unknown or none."""
+    joined = took.join(audio.select("id", "seconds"), "id", "left")
+    return joined.select("id", "seconds", (F.col("ms") / 1000.0 / F.nullif("seconds", F.lit(0.0))).alias("rtf"))
+
+
+#: Files are read whole by the task that probes them; larger ones are not probed.
+PROBE_BYTES = 1 << 30
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
-    """(path, taken, lat, lon, orientation, seconds) of the files below a folder; nulls where a file says nothing."""
+    """(path, taken, lat, lon, orientation, container, seconds, width, height) of the files below a folder; nulls where a file says nothing."""
+    columns = ["path", "taken", "lat", "lon", "orientation", "container", "seconds", "width", "height"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                e = read_exif(bytes(content)) or {}
-                rows.append((name, e.get("taken"), e.get("lat"), e.get("lon"), e.get("orientation"), wav_seconds(bytes(content))))
-            yield pd.DataFrame(rows, columns=["path", "taken", "lat", "lon", "orientation", "seconds"]).astype({"orientation": "Int32", "taken": "datetime64[us]"})
+                e, m = read_exif(bytes(content)) or {}, measure(bytes(content))
+                rows.append((name, e.get("taken"), e.get("lat"), e.get("lon"), e.get("orientation"), m["container"], m["seconds"], m["width"], m["height"]))
+            yield pd.DataFrame(rows, columns=columns).astype({"orientation": "Int32", "taken": "datetime64[us]", "seconds": "float64", "width": "Int32", "height": "Int32"})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, taken timestamp, lat double, lon double, orientation int, seconds double")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= PROBE_BYTES).select("path", "content")
+    return files.mapInPandas(run, "path string, taken timestamp, lat double, lon double, orientation int, container string, seconds double, width int, height int")

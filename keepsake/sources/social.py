@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from keepsake.functions.dates import epoch, telegram_date
 from keepsake.functions.media import classify, safe_media_path
 from keepsake.functions.text import bounded, repair_mojibake
+from keepsake.sources.guards import fits
 from keepsake.sources.records import dated, nonempty, records, skips
 
 _MEDIA = "struct<uri: string, creation_timestamp: string, description: string>"
@@ -21,8 +22,6 @@ _POST = f"struct<timestamp: string, title: string, data: array<struct<post: stri
 _MESSAGE = "struct<sender_name: string, timestamp_ms: string, content: string, sticker: " + _MEDIA + ", " + ", ".join(f"{f}: array<{_MEDIA}>" for f in _MEDIA_FIELDS) + ">"
 _THREAD = "struct<title: string, thread_path: string, participants: array<struct<name: string>>, messages: array<string>>"
 _ALBUM = "struct<name: string, photos: array<string>>"
-#: An entry nested deeper, or larger, than this is passed over.
-MAX_DEPTH, MAX_CHARS = 100, 1_000_000
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +84,7 @@ def threads(files: DataFrame, source: str = "facebook", entries: DataFrame | Non
     raw = head.filter(F.col("t.messages").isNotNull()).select("file", F.struct(repair_mojibake(F.col("t.title")).alias("threadTitle"), F.col("t.thread_path").alias("threadPath"),
         F.transform("t.participants", lambda p: repair_mojibake(p["name"])).alias("participants")).alias("meta"), F.posexplode("t.messages").alias("i", "raw"))
     ref = F.concat("file", F.lit("#"), F.col("i").cast("string"))
-    fit = F.ltrim("raw").startswith("{") & (F.length("raw") <= MAX_CHARS)
+    fit = F.ltrim("raw").startswith("{") & fits(F.col("raw"))
     m = raw.filter(fit).select(ref.alias("ref"), "meta", F.from_json("raw", _MESSAGE).alias("m"))
     tailed = lambda f: F.transform(F.coalesce(f"m.{f}", F.array()), lambda x, i: F.struct(F.concat(F.lit(f":{f}:"), i.cast("string")).alias("tail"), x.alias("medium")))
     lists = [tailed(f) for f in _MEDIA_FIELDS]
@@ -99,7 +98,7 @@ def threads(files: DataFrame, source: str = "facebook", entries: DataFrame | Non
     body = nonempty(repair_mojibake(F.col("m.content")))
     texts = m.join(there.select("ref").distinct().withColumn("_m", F.lit(True)), "ref", "left").filter(body.isNotNull() | F.col("_m").isNull())
     text_records = records(texts, **common(body, F.lit(":text"), mediaType=F.lit("message")))
-    skipped = skips(odd, F.col("file"), "message thread is not an object", "E_PARSE").union(skips(raw.filter(~fit), ref, "message is not an object or too large", "E_PARSE")).union(
+    skipped = skips(odd, F.col("file"), "message thread is not an object", "E_PARSE").union(skips(raw.filter(~fit), ref, "message is not an object, too large or too deep", "E_PARSE")).union(
         skips(each.filter("path is null"), F.concat("ref", "tail"), "media is missing", "E_MEDIA_MISSING"))
     return media_records.union(text_records), skipped
 

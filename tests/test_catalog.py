@@ -1,8 +1,11 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as X
+from keepsake.log import Conflict
 from keepsake.operators import curation, filters, merge, search, timeline, vectors
+from keepsake.operators.stored import StoredIndex
 
 
 def frame(spark, schema, rows):
@@ -132,3 +135,29 @@ def test_text_functions(spark):
     assert one(X.duration_label(lit(125.7))) == "2:05" and one(X.highlight(lit("Ab ab"), "AB")) == "[Ab] [ab]"
     assert one(X.safe_segment(lit("../a:b"))) == "_a_b" and one(X.safe_segment(lit(".."))) == "untitled"
     assert one(X.search_tokens(lit("x/y.jpg"), lit(None).cast("string"))) == "y.jpg"
+
+
+def test_a_stored_index_reads_the_row_groups_of_the_tokens_asked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("keepsake.operators.stored.ROW_GROUP", 1 << 12)
+    rows = [(i, f"word{i % 97} tail{i}", None, None, None) for i in range(3000)]
+    items = spark.createDataFrame(rows, "id long, title string, description string, search_meta string, capture_date string")
+    index = StoredIndex(spark, f"{tmp_path}/index")
+    assert index.postings().count() == 0 and index.terms("w").count() == 0
+    index.add(items)
+    index.add(items.filter("id < 10").withColumn("title", F.lit("word5 fresh")), items.filter("id = 20"))
+    want = {r.id for r in items.filter("id >= 10 and id <> 20 and id % 97 = 5").collect()} | set(range(10))
+    for _ in range(2):
+        hits = search.phrase_hits(index.postings(), ["word5"]).filter("f > 0")
+        found = search.matches(index.postings(), "word5-")
+        assert {r.id for r in found.collect()} >= want and {r.id for r in search.phrase_hits(index.postings(), ["word5", "t"]).collect()} == {i for i in want if i >= 10}
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "StringStartsWith(token,word5)" in plan
+        index.merge()
+    assert len(index.segments()) == 1 and {r.token: r["items"] for r in index.terms("fres").collect()} == {"fresh": 10}
+    groups = [pq.ParquetFile(f) for f in (tmp_path / "index").rglob("postings/*.parquet")]
+    assert sum(g.num_row_groups for g in groups) > 4
+    other = StoredIndex(spark, f"{tmp_path}/index")
+    number = other.log.last()
+    index.add(items.limit(1))
+    with pytest.raises(Conflict):
+        other.log.append(number + 1, {"segments": []})

@@ -11,7 +11,7 @@ from keepsake.catalog import Catalog
 from keepsake.functions import dates
 from keepsake.functions import text as X
 from keepsake.log import Conflict, Log
-from keepsake.sources import archives, chatlog, linkedin, social
+from keepsake.sources import archives, chatlog, linkedin, social, zips
 from keepsake.sources.lines import running
 from keepsake.streaming import ingest
 
@@ -165,9 +165,9 @@ def test_folders_zips_and_gazetteers(spark, tmp_path):
         z.writestr("bomb.txt", "0" * 1_000_000)
     (tmp_path / "a.zip").write_bytes(raw.getvalue())
     (tmp_path / "b.zip").write_bytes(b"not a zip")
-    entries, skipped = archives.unzip(spark, f"{tmp_path}/*.zip")
+    entries, skipped = zips.unzip(spark, f"{tmp_path}/*.zip")
     assert [(r.path, bytes(r.content)) for r in entries.collect()] == [("ok.txt", b"hello")] and sorted(r.code for r in skipped.collect()) == ["E_BAD_ZIP", "E_RATIO", "E_ZIP_SLIP"]
-    assert archives.has_entry(str(tmp_path / "a.zip"), ("ok",)) and archives.select_source(["x/result.json"]) == "telegram" and archives.select_source(["x.jpg"]) == "folder"
+    assert zips.has_entry(str(tmp_path / "a.zip"), ("ok",)) and archives.select_source(["x/result.json"]) == "telegram" and archives.select_source(["x.jpg"]) == "folder"
     (tmp_path / "g.ndjson").write_text('{"id": 1, "name": "A", "lat": 1.0, "lon": 2.0}\nbroken\n{"id": 2, "name": "B", "lat": 91.0, "lon": 2.0}\n')
     good, bad = archives.gazetteer(spark, str(tmp_path / "g.ndjson"))
     assert good.count() == 1 and bad.count() == 2
@@ -269,3 +269,39 @@ def test_running_sums_equal_a_window_over_all(spark, monkeypatch):
 @pytest.mark.parametrize(("body", "out"), [("<Media omitted>", True), ("\u200eimage omitted", True), ("imagen omitida", True), ("<Mídia oculta>", True), ("I omitted the image", False), ("omitted", False), ("oculto", False), ("", False), (None, None)])
 def test_notes_of_media_left_out(spark, body, out):
     assert bool(spark.range(1).select(chatlog._left_out(F.lit(body).cast("string"))).first()[0]) == bool(out)
+
+
+def test_zip_entries_are_refused_before_they_are_read(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(40):
+            z.writestr(f"d/f{i}.txt", f"text {i}" * 50)
+        z.writestr("empty.txt", "")
+        link = zipfile.ZipInfo("link")
+        link.external_attr = 0o120777 << 16
+        z.writestr(link, "/etc/passwd")
+        z.writestr("C:/abs.txt", "x")
+    with zipfile.ZipFile(tmp_path / "bomb.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("zeros", "w", force_zip64=True) as f:
+        for _ in range(300):
+            f.write(bytes(1 << 20))
+    data = bytearray((tmp_path / "many.zip").read_bytes())
+    at = data.index(b"text 7" * 2) if b"text 7" * 2 in data else data.index(b"d/f7.txt") + 12
+    data[at:at + 4] = b"\xff\xff\xff\xff"
+    (tmp_path / "spoilt.zip").write_bytes(data)
+    parts, skipped = zips.unzip(spark, f"{tmp_path}/*.zip")
+    got = {(r.archive.rsplit("/", 1)[-1], r.path): bytes(r.content) for r in parts.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "many.zip"} == {("many.zip", f"d/f{i}.txt"): f"text {i}".encode() * 50 for i in range(40)} | {("many.zip", "empty.txt"): b""}
+    assert ("spoilt.zip", "d/f7.txt") not in got and ("spoilt.zip", "d/f8.txt") in got
+    codes = sorted((r.ref.rsplit("/", 1)[-1], r.code) for r in skipped.collect())
+    assert ("bomb.zip!zeros", "E_RATIO") in codes and ("many.zip!link", "E_SYMLINK") in codes and ("abs.txt", "E_ZIP_SLIP") in codes and ("f7.txt", "E_BAD_ENTRY") in codes
+    assert {r.code for r in zips.unzip(spark, f"{tmp_path}/many.zip", entries=3)[1].collect()} == {"E_TOO_MANY_ENTRIES"}
+    assert "E_TOO_LARGE" in {r.code for r in zips.unzip(spark, f"{tmp_path}/many.zip", totalBytes=1000)[1].collect()}
+
+
+def test_parts_of_a_large_entry(spark, tmp_path):
+    body = bytes(range(256)) * 4096 * 20
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("big.bin", body)
+    parts = sorted((r.part, bytes(r.content)) for r in zips.unzip(spark, f"{tmp_path}/a.zip")[0].collect())
+    assert len(parts) == 2 and b"".join(p for _, p in parts) == body
+    before = zips._names.cache_info().hits
+    assert zips.has_entry(f"{tmp_path}/a.zip", ("big",)) and not zips.has_entry(f"{tmp_path}/a.zip", ("small",)) and zips._names.cache_info().hits > before
