@@ -100,7 +100,10 @@ def sample(ids: DataFrame, rows: int) -> DataFrame:
 
 def gather(docs: DataFrame, drawn: DataFrame, make: Callable[[str | None], tuple[np.ndarray, np.ndarray]],
            id_col: str, text_col: str) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(id, label, buckets, weights) of the drawn documents, made where their texts are. drawn is bounded, so it is broadcast."""
+    """(id, label, buckets, weights) of the drawn documents, made where their texts are. drawn is bounded, so it is broadcast.
+
+    An id and label count once, however many rows share the id: with the smallest of their texts.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [make(t) for t in batch["text"]]
@@ -108,7 +111,8 @@ def gather(docs: DataFrame, drawn: DataFrame, make: Callable[[str | None], tuple
                                 "bucket": [b.astype("<i4").tobytes() for b, _ in made], "weight": [w.astype("<f4").tobytes() for _, w in made]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = slim.join(F.broadcast(drawn), "id").mapInPandas(run, "id long, label int, bucket binary, weight binary").collect()
+    once = slim.join(F.broadcast(drawn.distinct()), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = once.mapInPandas(run, "id long, label int, bucket binary, weight binary").collect()
     return sorted(((r.id, r.label, np.frombuffer(r.bucket, "<i4"), np.frombuffer(r.weight, "<f4")) for r in rows), key=lambda r: (r[0], r[1], len(r[2])))
 
 

@@ -79,7 +79,13 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
 
 
 def op8_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted. A row without an id is never held out, and never learnt from."""
+    """doc_id, held_out, score, predicted: a row for each row of docs.
+
+    A row without an id is never held out, and never learnt from. Null and empty texts, and those without words,
+    get the intercept's score; very long ones are read whole; equal texts have equal scores. Rows that share an id
+    are scored each, and learnt from as one, with the smallest of their texts and label 1 if any of the id's labels
+    is. Other columns are not looked at; an empty table gives an empty result.
+    """
     weights = train(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0))
     return scored(docs, weights).select(F.col("id").alias("doc_id"), F.coalesce(remainder(F.col("id"), 5) == 0, F.lit(False)).alias("held_out"),
                                         "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from keepsake.llm import quality, toxicity
+from keepsake.llm import features, quality, toxicity
 from keepsake.llm.features import ngram_counts, stem_set
 
 
@@ -66,3 +66,14 @@ def test_non_negative_risk_separates_planted_words():
     w = toxicity.fit(toxic[:100], clean[:600] + toxic[100:160], 0.1, 13)
     score = lambda b: w[b].sum() + w[-1]
     assert np.mean([score(b) > -0.85 for b in toxic[160:]]) > 0.9 and np.mean([score(b) > -0.85 for b in clean[600:]]) < 0.05
+
+
+def test_rows_that_share_an_id_are_gathered_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (2, None), (3, None)], "doc_id long, text string")
+    drawn = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (3, 0)], "id long, label int")
+    rows = features.gather(docs, drawn, lambda t: features.ngram_counts(t, 10), "doc_id", "text")
+    assert [(r[0], r[1]) for r in rows] == [(1, 0), (1, 1), (2, 1), (3, 0)]
+    assert (rows[0][2] == features.ngram_counts("text 0", 10)[0]).all() and (rows[2][2] == features.ngram_counts("b", 10)[0]).all() and not len(rows[3][2])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    clash = docs.selectExpr("*", "'x' AS label", "1 AS id", "2 AS bucket")
+    assert quality.op8_quality(clash, labels).count() == toxicity.op9_toxicity(clash, labels).count() == 503
