@@ -89,7 +89,8 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
 
     Base spans: leftmost non-overlapping matches of each kind's pattern that pass its validator; a failing
     match is dropped and not retried. Added: IBANs whose mod-97 check holds, and phone numbers without a
-    country prefix which words near by speak for; neither may overlap a base span. Null and empty: none.
+    country prefix which words near by speak for; the latter may not overlap a base span, the former only
+    hold some. Null and empty: none.
     """
     if not text:
         return []
@@ -116,8 +117,11 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
                 continue
             if kind == "phone_local" and not 7 <= sum("0" <= c <= "9" for c in m[0]) <= 12:
                 continue
-            before = bisect_left(starts, e)
-            if before and furthest[before - 1] > s:
+            before, ahead = bisect_left(starts, e), bisect_left(starts, s)
+            if kind == "iban":  # its check is the stronger one: base spans within it may stay beside it
+                if before and furthest[before - 1] > e or ahead and furthest[ahead - 1] > s:
+                    continue
+            elif before and furthest[before - 1] > s:
                 continue  # a base span overlaps
             score = _score(kind, text, s, e)
             if score >= MIN_ADDED_SCORE:

@@ -76,3 +76,12 @@ def test_added_spans_do_not_overlap_base_spans():
     base = [x for x in found if x[0] in PATTERNS]
     assert [x[0] for x in found if x[0] == "phone_local"] == ["phone_local"]
     assert not any(a < e and s < b for k, s, e, _ in found if k not in PATTERNS for _, a, b, _ in base)
+
+
+def test_an_iban_whose_digits_are_a_card_number_too_is_both():
+    bban = next(b for b in range(539007547034, 539007547534) if pii.luhn(f"{98 - int(f'{b}111400') % 97:02d}{b}"))
+    iban = f"BE{98 - int(f'{bban}111400') % 97:02d}{bban}"
+    for text in (f"IBAN {iban} please", f"IBAN {' '.join(iban[i:i + 4] for i in range(0, 16, 4))} please"):
+        found = pii.find(text)
+        assert [x[0] for x in found] == ["iban", "card"] and found[0][1] == 5
+        assert [x[0] for x in found if x[0] == "card"] == [k for k, *_ in brute(text)]
