@@ -113,7 +113,7 @@ def summary(measured: DataFrame) -> DataFrame:
 
 def timeout_ms(seconds: Column, floor_ms: int = 120_000, per_second_ms: int = 10_000, cap_ms: int = 7_200_000) -> Column:
     """Time that a clip may take: in proportion to its length, between bounds; the upper bound where it is unknown."""
-    return F.coalesce(F.least(F.lit(cap_ms), F.greatest(F.lit(floor_ms), (seconds * per_second_ms).cast("long"))), F.lit(cap_ms)).cast("long")
+    return F.when(seconds.isNull(), cap_ms).otherwise(F.least(F.lit(cap_ms), F.greatest(F.lit(floor_ms), (seconds * per_second_ms).cast("long")))).cast("long")
 
 
 def drain(items: DataFrame, results: DataFrame) -> DataFrame:

@@ -144,7 +144,24 @@ _RULED = """n AS (SELECT 'd' || (p_partkey % 50) AS dir, p_partkey AS k, lpad(p_
   own AS (SELECT dir, 'img' || key || CASE WHEN k % 3 = 1 THEN '(2).jpg' ELSE '.jpg' END AS name FROM n),
   side AS (SELECT DISTINCT dir, CASE WHEN k % 3 = 0 THEN 'img' || key || '.jpg.json' WHEN k % 3 = 1 THEN 'img' || key || '.jpg(2).json' ELSE 'img' || substring(key, 1, 6) || '.json' END AS json FROM n WHERE k % 4 <> 0)"""
 
+#: The whole table of each alignment, a reference word a step; a run of insertions begins at the last cell that none reaches.
+_WER = r"""WITH RECURSIVE turns AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS heard FROM conversations),
+  w AS (SELECT row_number() OVER () AS id, conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s'']', ' ', 'g'), '\s+'), lambda x: x <> '') AS a,
+    list_filter(string_split_regex(regexp_replace(lower(heard), '[^\p{L}\p{N}\s'']', ' ', 'g'), '\s+'), lambda x: x <> '') AS b FROM turns WHERE heard IS NOT NULL),
+  cells AS (SELECT 0 AS i, id, j, j AS cost, 0::BIGINT AS subs, 0::BIGINT AS dels FROM (SELECT id, unnest(range(0, len(b) + 1)) AS j FROM w)
+    UNION ALL
+    SELECT i + 1, id, j, low + j, last_value(CASE WHEN base - j = low THEN bs END IGNORE NULLS) OVER o, last_value(CASE WHEN base - j = low THEN bd END IGNORE NULLS) OVER o FROM (
+      SELECT *, min(base - j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) AS low FROM (
+        SELECT i, id, j, CASE WHEN j = 0 OR cost + 1 < before + miss THEN cost + 1 ELSE before + miss END AS base,
+          CASE WHEN j = 0 OR cost + 1 < before + miss THEN subs ELSE subs_before + miss END AS bs, CASE WHEN j = 0 OR cost + 1 < before + miss THEN dels + 1 ELSE dels_before END AS bd FROM (
+          SELECT c.*, lag(cost) OVER p AS before, lag(subs) OVER p AS subs_before, lag(dels) OVER p AS dels_before, (w.a[c.i + 1] <> w.b[c.j])::BIGINT AS miss
+          FROM cells c JOIN w ON w.id = c.id WHERE c.i < len(w.a) WINDOW p AS (PARTITION BY c.id ORDER BY c.j))))
+      WINDOW o AS (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING))
+  SELECT conv_id, turn, len(a)::INT AS words, subs::INT AS substitutions, dels::INT AS deletions, (cost - subs - dels)::INT AS insertions, round(cost / nullif(len(a), 0)::DOUBLE, 6) AS wer
+  FROM w JOIN cells ON cells.id = w.id AND cells.i = len(a) AND cells.j = len(b)"""
+
 ORACLE_SQL = {
+    "wer": _WER,
     "line_message_assembly": r"""SELECT conv_id::VARCHAR AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, role AS author, md5(regexp_replace(replace(text, chr(13), ''), '\s+$', '')) AS body_md5, 'dmy' AS "order",
       strftime(make_timestamp(2021, turn % 12 + 1, conv_id % 28 + 1, 10, turn % 60, 0), '%Y-%m-%d %H:%M') AS sent FROM conversations""",
     "vote_date_order": """SELECT o_custkey, count(*) FILTER (day(o_orderdate) > 12) AS dmy, 0::BIGINT AS mdy, 0::BIGINT AS ymd, 'dmy' AS "order" FROM orders GROUP BY o_custkey""",
