@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,9 +58,30 @@ def clusters(vectors: DataFrame, shard: Column | None = None, threshold: float =
 
 
 def source_keys(members: DataFrame) -> DataFrame:
-    """(cluster, source_key): theme:<sha-256 of the sorted member ids, one a line>."""
-    ids = F.sort_array(F.collect_list(F.col("id").cast("string")))
-    return members.groupBy("cluster").agg(F.concat(F.lit("theme:"), F.sha2(F.array_join(ids, "\n"), 256)).alias("source_key"))
+    """(cluster, source_key): theme:<sha-256 of the sorted member ids, one a line>.
+
+    Ids come in order as a stream, of which a task holds the hash alone, so a cluster may have any number of members.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, made = None, None
+        for batch in batches:
+            out = []
+            for cluster, key in zip(batch["cluster"], batch["id"], strict=True):
+                if made is None or cluster != at:
+                    if made is not None:
+                        out.append((at, f"theme:{made.hexdigest()}"))
+                    at, made = cluster, hashlib.sha256()
+                else:
+                    made.update(b"\n")
+                made.update(key.encode())
+            yield pd.DataFrame(out, columns=["cluster", "source_key"])
+        if made is not None:
+            yield pd.DataFrame([(at, f"theme:{made.hexdigest()}")], columns=["cluster", "source_key"])
+
+    kind = members.schema["cluster"].dataType.simpleString()
+    ids = members.filter("id is not null").select(F.col("cluster").cast("string").alias("cluster"), F.col("id").cast("string").alias("id"))
+    keys = ids.repartition("cluster").sortWithinPartitions("cluster", "id").mapInPandas(run, "cluster string, source_key string")
+    return keys.select(F.col("cluster").cast(kind).alias("cluster"), "source_key")
 
 
 def terms(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keepsake.operators import places, search, themes, vectors
+from keepsake.operators import categorize, places, search, themes, vectors
 from keepsake.operators.graph import cut
 from keepsake.plans import tables as t
 from keepsake.plans.catalog import _bm25
@@ -109,6 +109,21 @@ def theme_plan(s, d):
     return themes.plan(members, themes.labels(words, members)).select("item_id", "source_key", "name", F.round("confidence", 6).alias("confidence"))
 
 
+def _to_categorise(s, d):
+    """Documents with coordinates (but for every seventh), vectors where there are some."""
+    v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    p = t.points(s, d)
+    return p.select("id", *[F.when(F.col("id") % 7 != 0, F.col(c)).alias(c) for c in ("lat", "lon")]).join(v, "id", "left")
+
+
+def categorise_items(s, d):
+    """A whole run: each item's categories, place and theme, and its status."""
+    texts = t.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    failed = t.table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    run = categorize.categorise(_to_categorise(s, d), texts, t.gazetteer(s, d), failed, threshold=0.3)
+    return run.statuses.join(run.assignments.withColumnRenamed("item_id", "id"), "id", "left").select("id", "status", "kind", "source_key", "name", F.round("confidence", 6).alias("confidence"))
+
+
 def category_status_settle(s, d):
     items = t.items(s, d).select("id", (F.col("id") % 3 != 0).alias("has_signal"))
     assigned = t.table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("item_id"))
@@ -117,7 +132,7 @@ def category_status_settle(s, d):
 
 
 QUERIES = {f.__name__: f for f in (knn_cosine, knn_guarded_dim, merge_exact_semantic, passage_texts, embed_drain, haversine_pairs, nearest_gazetteer, places_dbscan, places_centroids,
-                                   places_plan, theme_terms_tfdf, theme_surface_forms, theme_labels, theme_clusters, theme_source_key, theme_plan, category_status_settle)}
+                                   places_plan, theme_terms_tfdf, theme_surface_forms, theme_labels, theme_clusters, theme_source_key, theme_plan, categorise_items, category_status_settle)}
 
 _COSINE = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _KNN = f"SELECT e.vec_id AS id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -151,13 +166,24 @@ _GREEDY = """v AS (SELECT vec_id AS id, embedding::FLOAT[]::DOUBLE[] AS x, row_n
   held AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS cluster, list_transform(sums[k], lambda a: (a / counts[k])::FLOAT::DOUBLE) AS centre, counts[k] AS n FROM (SELECT sums, counts, unnest(range(1, len(counts) + 1)) AS k FROM last) WHERE counts[k] >= 3),
   members AS (SELECT v.id, cluster, list_cosine_similarity(centre, v.x) AS similarity, n FROM g JOIN v USING (i) JOIN held ON held.k = g.went)"""
 
-ORACLE_SQL = {
-    "theme_clusters": f"WITH RECURSIVE {_GREEDY} SELECT id, cluster, round(similarity, 6) AS similarity FROM members",
-    "theme_plan": f"""WITH RECURSIVE {_GREEDY}, {_WORDS.replace("SELECT doc_id AS id, lang AS cluster, unnest", "SELECT doc_id AS id, m.cluster, unnest").replace("FROM documents)", "FROM documents LEFT JOIN members m ON m.id = doc_id)")}, {_RANKED}, {_FORMS},
+#: Members of themes with the names of their clusters.
+_NAMED = f"""{_WORDS.replace("SELECT doc_id AS id, lang AS cluster, unnest", "SELECT doc_id AS id, m.cluster, unnest").replace("FROM documents)", "FROM documents LEFT JOIN members m ON m.id = doc_id)")}, {_RANKED}, {_FORMS},
       tops AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS r FROM ranked WHERE cluster IS NOT NULL),
       l AS (SELECT cluster, string_agg(display, ' ' ORDER BY r) AS l FROM tops JOIN forms USING (cluster, term) WHERE r <= 3 GROUP BY cluster),
-      k AS (SELECT cluster, 'theme:' || sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS source_key, count(*) AS n FROM members GROUP BY cluster)
-      SELECT id AS item_id, source_key, coalesce(upper(l[1]) || substring(l, 2), k.n || ' similar items') AS name, round(greatest(0, least(1, similarity)), 6) AS confidence FROM members JOIN k USING (cluster) LEFT JOIN l USING (cluster)""",
+      k AS (SELECT cluster, 'theme:' || sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS source_key, count(*) AS n FROM members GROUP BY cluster),
+      themed AS (SELECT id, source_key, coalesce(upper(l[1]) || substring(l, 2), k.n || ' similar items') AS name, round(greatest(0, least(1, similarity)), 6) AS confidence FROM members JOIN k USING (cluster) LEFT JOIN l USING (cluster))"""
+
+ORACLE_SQL = {
+    "theme_clusters": f"WITH RECURSIVE {_GREEDY} SELECT id, cluster, round(similarity, 6) AS similarity FROM members",
+    "theme_plan": f"""WITH RECURSIVE {_GREEDY}, {_NAMED}
+      SELECT id AS item_id, source_key, name, confidence FROM themed""",
+    "categorise_items": f"""WITH RECURSIVE {_DBSCAN.replace(t.POINTS, t.POINTS.replace("points AS (", "every AS (", 1) + ", points AS (SELECT * FROM every WHERE id % 7 <> 0)")}, {t.GAZETTEER}, {_GREEDY.replace("AS i FROM embeddings)", "AS i FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")}, {_NAMED},
+      c AS (SELECT cluster, avg(lat) AS lat, avg(lon) AS lon FROM db WHERE cluster IS NOT NULL GROUP BY cluster),
+      n AS (SELECT cluster, id, name, country, row_number() OVER (PARTITION BY cluster ORDER BY {t.HAVERSINE.format(a='c', b='g')}, id) AS r FROM c, gazetteer g),
+      assigned AS (SELECT db.id, 'place' AS kind, 'place:' || n.id AS source_key, n.name || ', ' || country AS name, 0.9::DOUBLE AS confidence FROM db JOIN n USING (cluster) WHERE r = 1
+        UNION ALL SELECT themed.id, 'theme', source_key, name, confidence FROM themed JOIN every USING (id))
+      SELECT e.id, CASE WHEN l.toxic = 1 THEN 'error' WHEN a.id IS NOT NULL OR (e.lat IS NOT NULL AND e.id % 7 <> 0) OR x.vec_id IS NOT NULL THEN 'done' ELSE 'skipped' END AS status, kind, source_key, name, confidence
+      FROM every e LEFT JOIN assigned a ON a.id = e.id LEFT JOIN labels l ON l.doc_id = e.id LEFT JOIN embeddings x ON x.vec_id = e.id""",
     "knn_cosine": f"SELECT id, round(score, 6) AS score FROM ({_KNN}) ORDER BY score DESC, id LIMIT 20",
     "knn_guarded_dim": f"SELECT id, round(score, 6) AS score FROM ({_KNN} WHERE e.label % 2 = 1 AND e.vec_id % 3 <> 0) ORDER BY score DESC, id LIMIT 15",
     "merge_exact_semantic": _bm25(["heat"]) + f""", ex AS (SELECT id, CAST(row_number() OVER (ORDER BY rank, capture_date DESC NULLS LAST, id DESC) AS INT) AS pos FROM found ORDER BY pos LIMIT 10),

@@ -37,6 +37,28 @@ def vote_date_order(s, d):
     return g.withColumn("order", dates.date_order(F.col("dmy"), F.col("mdy"), F.col("ymd")))
 
 
+def chat_header_forms(s, d):
+    """Conversations as chat logs of three forms by turns: brackets with day first, twelve hours with month first, a dash with year first."""
+    c = t.table(s, d, "conversations")
+    day, month, minute = (F.col("conv_id") % 15 + 13).cast("string"), (F.col("turn") % 12 + 1).cast("string"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0")
+    form = F.col("conv_id") % 3
+    head = (F.when(form == 0, F.concat(F.lit("["), day, F.lit("/"), month, F.lit("/2021, 10:"), minute, F.lit(":00] ")))
+            .when(form == 1, F.concat(month, F.lit("/"), day, F.lit("/21, 10:"), minute, F.lit(" p.m. - "))).otherwise(F.concat(F.lit("2021-"), F.lpad(month, 2, "0"), F.lit("-"), day, F.lit(", 22:"), minute, F.lit(" - "))))
+    lines = c.select(F.col("conv_id").cast("string").alias("file"), "turn", F.posexplode(F.split(F.concat(head, F.col("role"), F.lit(": "), F.regexp_replace("text", "\r", "")), "\n")).alias("n", "value"))
+    m = chatlog.messages(lines.select("file", (F.col("turn") * 100_000 + F.col("n")).alias("line_no"), "value"))
+    when = dates.chat_date(F.col("date"), F.col("time"), F.col("ampm"), F.col("order"))
+    return m.select("file", "index", "platform", "author", F.md5("body").alias("body_md5"), "order", F.date_format(when, "yyyy-MM-dd HH:mm").alias("sent"))
+
+
+def vote_all_orders(s, d):
+    """Votes over dates that customers write in three orders."""
+    part = [F.date_format("o_orderdate", f) for f in ("d/M/yyyy", "M.d.yyyy", "yyyy-M-d")]
+    o = t.table(s, d, "orders").select("o_custkey", F.element_at(F.array(*part), (F.col("o_custkey") % 3 + 1).cast("int")).alias("date"))
+    names = ("dmy", "mdy", "ymd")
+    g = o.groupBy("o_custkey").agg(*[F.sum(v).alias(n) for v, n in zip(dates.date_votes(F.col("date")), names, strict=True)])
+    return g.withColumn("order", dates.date_order(*map(F.col, names)))
+
+
 def linkedin_dates(s, d):
     """The four forms of dates, made from order dates and read back."""
     o = t.table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
@@ -136,7 +158,7 @@ def event_activity(s, d):
     return ingest.activity(t.table(s, d, "events"))
 
 
-QUERIES = {f.__name__: f for f in (line_message_assembly, vote_date_order, linkedin_dates, apple_dates, telegram_records, thread_records, sidecar_match, mailbox_messages, transcript_segments, wer, transcription_drain,
+QUERIES = {f.__name__: f for f in (line_message_assembly, chat_header_forms, vote_date_order, vote_all_orders, linkedin_dates, apple_dates, telegram_records, thread_records, sidecar_match, mailbox_messages, transcript_segments, wer, transcription_drain,
                                    media_kinds, safe_paths, scalar_labels, event_activity)}
 
 _EXT = "['.jpg', '.MP4', '.opus', '.pdf', '.xyz', ''][p_partkey % 6 + 1]"
@@ -164,6 +186,12 @@ ORACLE_SQL = {
     "wer": _WER,
     "line_message_assembly": r"""SELECT conv_id::VARCHAR AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, role AS author, md5(regexp_replace(replace(text, chr(13), ''), '\s+$', '')) AS body_md5, 'dmy' AS "order",
       strftime(make_timestamp(2021, turn % 12 + 1, conv_id % 28 + 1, 10, turn % 60, 0), '%Y-%m-%d %H:%M') AS sent FROM conversations""",
+    "chat_header_forms": r"""SELECT conv_id::VARCHAR AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, CASE WHEN conv_id % 3 = 0 THEN 'ios' ELSE 'android' END AS platform, role AS author,
+      md5(regexp_replace(replace(text, chr(13), ''), '\s+$', '')) AS body_md5, ['dmy', 'mdy', 'ymd'][(conv_id % 3 + 1)::INT] AS "order",
+      strftime(make_timestamp(2021, turn % 12 + 1, conv_id % 15 + 13, CASE WHEN conv_id % 3 = 0 THEN 10 ELSE 22 END, turn % 60, 0), '%Y-%m-%d %H:%M') AS sent FROM conversations""",
+    "vote_all_orders": """WITH v AS (SELECT o_custkey, o_custkey % 3 AS form, count(*) FILTER (day(o_orderdate) > 12) AS late, count(*) AS n FROM orders GROUP BY o_custkey),
+      c AS (SELECT o_custkey, CASE WHEN form = 0 THEN late ELSE 0 END AS dmy, CASE WHEN form = 1 THEN late ELSE 0 END AS mdy, CASE WHEN form = 2 THEN n ELSE 0 END AS ymd FROM v)
+      SELECT *, CASE WHEN ymd > dmy + mdy THEN 'ymd' WHEN mdy > dmy THEN 'mdy' ELSE 'dmy' END AS "order" FROM c""",
     "vote_date_order": """SELECT o_custkey, count(*) FILTER (day(o_orderdate) > 12) AS dmy, 0::BIGINT AS mdy, 0::BIGINT AS ymd, 'dmy' AS "order" FROM orders GROUP BY o_custkey""",
     "linkedin_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 5 = 4 THEN ' 10:20:30' ELSE ' 00:00:00' END AS read FROM orders",
     "apple_dates": "SELECT event_id, strftime(TIMESTAMP '2001-01-01' + to_seconds(100000 + event_id * 86400 % 90000000), '%Y-%m-%d %H:%M:%S') AS at FROM events",
