@@ -30,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as tasks run at once, where it comes from fewer files than that.
+
+    A file of one row group is read by one task, however it is split; work that costs more than a shuffle of what it works on
+    is better dealt out. A table of many files stays as it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if 0 < len(df.inputFiles()) < tasks else df
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root) for nodes (id) and edges (a, b): the smallest id that each node reaches.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import WRITTEN, query_terms, spellings, tokens
-from keepsake.operators.graph import cut
+from keepsake.operators.graph import cut, spread
 from keepsake.operators.timeline import order
 from keepsake.schemas import SNAPSHOT_IDS
 
@@ -23,6 +23,7 @@ COLUMN_GAP = 1 << 20
 
 def postings(items: DataFrame, columns: tuple[str, ...] = ("title", "description", "search_meta")) -> DataFrame:
     """(token, id, places, n): where each token stands in each item. Written sorted by token, a prefix reads a few row groups."""
+    items = spread(items.select("id", *columns))
     each = [items.select("id", F.posexplode(tokens(F.col(c))).alias("place", "token")).withColumn("place", F.col("place") + i * COLUMN_GAP)
             for i, c in enumerate(columns)]
     every = each[0]
@@ -39,7 +40,7 @@ def refreshed(index: DataFrame, changed: DataFrame, deleted: DataFrame | None =
 
 def lengths(items: DataFrame, columns: tuple[str, ...] = ("title", "description", "search_meta")) -> DataFrame:
     """(id, length): tokens of each item over all columns."""
-    return items.select("id", sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("length"))
+    return spread(items.select("id", *columns)).select("id", sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("length"))
 
 
 def phrase_hits(index: DataFrame, phrase: list[str]) -> DataFrame:
@@ -82,7 +83,7 @@ def _pattern(phrase: list[str]) -> str:
 
 def counted(items: DataFrame, terms: list[list[str]], columns: tuple[str, ...] = ("title", "description", "search_meta")) -> DataFrame:
     """(id, length, f0, f1, ...) of all items: their tokens, and how often they have each phrase; texts are not cut into words."""
-    low = items.select("id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
+    low = spread(items.select("id", *columns)).select("id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
     whole = lambda pattern: sum((F.regexp_count(F.col(f"t{i}"), F.lit(pattern)) for i in range(len(columns))), F.lit(0)).cast("long")
     return low.select("id", whole(WRITTEN).alias("length"), *[whole(_pattern(t)).alias(f"f{i}") for i, t in enumerate(terms)])
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as X
-from keepsake.operators import filters, merge, originals, vectors
+from keepsake.operators import filters, merge, originals, themes, vectors
 from keepsake.operators.drains import Drain, transcribable_work
+from keepsake.operators.graph import spread
 from keepsake.operators.snapshots import Snapshots
 from keepsake.sources import guards, social
 
@@ -157,3 +158,24 @@ def test_token_union_of_a_hot_hash(spark):
     rows = [("h", f"i{i}", "m", i, f"t{i % 3} common  t{(i + 1) % 3}") for i in range(500)] + [(None, "x", "m", 900, "a b a"), ("g", "y", "m", 901, None), ("k", "z", "m", 902, " ")]
     got = {r.content_hash or r.id: (r.id, r.search_meta) for r in merge.upsert_items(spark.createDataFrame(rows, "content_hash string, id string, media_type string, seq long, search_meta string")).collect()}
     assert got == {"h": ("i0", "t0 common t1 t2"), "x": ("x", "a b"), "g": ("y", None), "k": ("z", None)}
+
+
+def test_a_table_of_few_files_is_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    tasks = spark.sparkContext.defaultParallelism
+    parts = spread(one).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts == tasks and spread(one).count() == 100
+    spark.range(100).repartition(tasks).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(many) is many and spread(spark.range(5).limit(0)).count() == 0
+
+
+def test_theme_keys_are_those_of_sorted_ids(spark):
+    rows = [(i, i % 7 if i % 5 else None) for i in range(200)] + [(None, 1)]
+    got = {r.cluster: r.source_key for r in themes.source_keys(spark.createDataFrame(rows, "id long, cluster int").repartition(5)).collect()}
+    ids = {}
+    for i, c in rows:
+        if i is not None:
+            ids.setdefault(c, []).append(str(i))
+    assert got == {c: "theme:" + sha("\n".join(sorted(v)).encode()) for c, v in ids.items()}
