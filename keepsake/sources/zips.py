@@ -19,7 +19,7 @@ ENTRY_BYTES, TOTAL_BYTES, ENTRIES, RATIO = 500_000_000, 2_000_000_000, 100_000,
 #: A row holds so many bytes of an entry at most; small entries share a task up to as many.
 PART_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 #: Archives whose directories the driver remembers.
-REMEMBERED = 64
+REMEMBERED = 32
 SCHEMA = "archive string, path string, size long, part int, content binary, code string"
 
 
