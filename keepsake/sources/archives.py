@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.dates import apple_date, epoch
 from keepsake.functions.media import classify
 from keepsake.functions.text import unescape_mbox
+from keepsake.operators.graph import spread
 from keepsake.sources.lines import running
 from keepsake.sources.records import dated, nonempty, records, skips
 
@@ -42,17 +43,18 @@ def sidecars(media: DataFrame, jsons: DataFrame) -> DataFrame:
     else the longest stem of at least four characters that begins the name.
 
     The first two are equality joins. The third joins a name's own prefixes, so that a folder is never paired with itself.
+    Either side has a row a file, so that all joins are shuffled and sorted: small files on disk must not have a side broadcast.
     """
     dup = r"^(.*)\((\d+)\)(\.[^.]+)$"
     n = F.col("name")
-    own = media.select("dir", "name", F.explode(F.concat(
+    own = spread(media.select("dir", "name")).select("dir", "name", F.explode(F.concat(
         F.array(F.struct(F.lit(0).alias("rule"), F.concat(n, F.lit(".json")).alias("json"))),
         F.when(n.rlike(dup), F.array(F.struct(F.lit(1).alias("rule"), F.concat(F.regexp_extract(n, dup, 1), F.regexp_extract(n, dup, 3), F.lit("("), F.regexp_extract(n, dup, 2), F.lit(").json")).alias("json")))).otherwise(F.array()),
         F.when(F.length(n) >= 4, F.transform(F.sequence(F.lit(4), F.length(n)), lambda i: F.struct((F.lit(1_000_000) - i).alias("rule"), F.concat(F.left(n, i), F.lit(".json")).alias("json")))).otherwise(F.array()))).alias("t"))
     there = jsons.select("dir", F.col("json").alias("sidecar"), F.concat(F.regexp_replace("json", r"(?i)\.json$", ""), F.lit(".json")).alias("json"))
-    hits = own.select("dir", "name", "t.rule", "t.json").join(there, ["dir", "json"])
+    hits = own.select("dir", "name", "t.rule", "t.json").join(there.hint("merge"), ["dir", "json"])
     best = hits.groupBy("dir", "name").agg(F.min_by("sidecar", F.struct("rule", "sidecar")).alias("sidecar"))
-    return media.select("dir", "name").join(best, ["dir", "name"], "left")
+    return media.select("dir", "name").join(best.hint("merge"), ["dir", "name"], "left")
 
 
 _SIDECAR = ("struct<title: string, description: string, photoTakenTime: struct<timestamp: string>, creationTime: struct<timestamp: string>, "
@@ -70,7 +72,8 @@ def sidecar_fields(raw: Column) -> tuple[Column, Column, Column]:
 
 def photos(media: DataFrame, jsons: DataFrame) -> DataFrame:
     """Records of media (dir, name, modified) with their sidecars (dir, json, text)."""
-    paired = media.join(sidecars(media, jsons), ["dir", "name"], "left").join(jsons.select("dir", F.col("json").alias("sidecar"), "text"), ["dir", "sidecar"], "left")
+    told = jsons.select("dir", F.col("json").alias("sidecar"), "text")
+    paired = media.join(sidecars(media, jsons), ["dir", "name"], "left").join(told, ["dir", "sidecar"], "left")
     when, gps, told = sidecar_fields(F.col("text"))
     kind, mime = classify(F.col("name"))
     date = F.when(when.isNotNull(), dated(when, "sidecar")).otherwise(dated(F.col("modified"), "mtime"))
