@@ -73,7 +73,7 @@ def sidecar_fields(raw: Column) -> tuple[Column, Column, Column]:
 def photos(media: DataFrame, jsons: DataFrame) -> DataFrame:
     """Records of media (dir, name, modified) with their sidecars (dir, json, text)."""
     told = jsons.select("dir", F.col("json").alias("sidecar"), "text")
-    paired = media.join(sidecars(media, jsons), ["dir", "name"], "left").join(told, ["dir", "sidecar"], "left")
+    paired = media.join(sidecars(media, jsons).hint("merge"), ["dir", "name"], "left").join(told.hint("merge"), ["dir", "sidecar"], "left")
     when, gps, told = sidecar_fields(F.col("text"))
     kind, mime = classify(F.col("name"))
     date = F.when(when.isNotNull(), dated(when, "sidecar")).otherwise(dated(F.col("modified"), "mtime"))

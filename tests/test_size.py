@@ -17,3 +17,9 @@ def test_sidecars_are_matched_without_a_broadcast(spark):
     found = archives.sidecars(*pictures(spark))
     assert "Broadcast" not in plan(found)
     assert {(r.name, r.sidecar) for r in found.collect()} == {(f"img{i}.jpg", f"img{i}.jpg.json" if i % 4 else None) for i in range(60)}
+
+
+def test_photo_records_are_joined_without_a_broadcast(spark):
+    made = archives.photos(*pictures(spark))
+    assert "Broadcast" not in plan(made)
+    assert {(r.sourceRef, r.body) for r in made.collect()} == {(f"d{i % 2}/img{i}.jpg", f"t{i}" if i % 4 else None) for i in range(60)}
