@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import WRITTEN, fold, fold_text
-from keepsake.operators.graph import cut, spread
+from keepsake.operators.graph import cut
 from keepsake.operators.greedy import clusters_in_blocks, greedy_clusters
 
 THRESHOLD, MIN_SIZE = 0.82, 3
@@ -87,9 +87,10 @@ def source_keys(members: DataFrame) -> DataFrame:
 def terms(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """(id, term, surface, n): how often each item of texts (id, text) writes a word so; term is folded, stopwords (given folded) have no row.
 
-    Words are counted as written before they are folded, so that folding goes once over an item's spellings.
+    Words are counted as written before they are folded, so that folding goes once over an item's spellings. Texts are dealt
+    by their items, so that they are shuffled once and none of what is counted of an item is shuffled by it again.
     """
-    words = spread(texts.select("id", F.col(text_col).alias("text"))).select("id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WRITTEN), F.lit(0))).alias("surface"))
+    words = texts.select("id", F.col(text_col).alias("text")).repartition("id").select("id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WRITTEN), F.lit(0))).alias("surface"))
     counted = words.groupBy("id", "surface").agg(F.count("*").alias("n")).withColumn("term", fold(F.col("surface")))
     return counted.filter((F.length("term") > 1) & ~F.col("term").isin(*stopwords)).select("id", "term", "surface", "n")
 

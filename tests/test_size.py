@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from keepsake.operators import places
+from keepsake.operators import places, themes
 from keepsake.sources import archives
 
 
@@ -47,3 +47,10 @@ def test_points_at_one_place_are_one_search(spark, monkeypatch):
     points = spark.range(900).selectExpr("id", "cast(id % 3 as double) AS lat", "cast(id % 3 * 60 as double) AS lon").unionByName(spark.sql("SELECT 1000L AS id, cast(null as double) AS lat, 1D AS lon"))
     got = {r.id: r.place_id for r in places.nearest(points, globe(spark, 40)).collect()}
     assert all(min(pair) <= 3 for pair in sizes) and len(got) == 900 and len(set(got.values())) == 3
+
+
+def test_words_are_not_shuffled_by_what_is_counted_of_an_item(spark):
+    texts = spark.createDataFrame([(1, "Cat cat Dog"), (2, "cat"), (1, "cat")], "id long, text string")
+    words = themes.terms(texts)
+    assert plan(words).count("Exchange") == 1 and "REPARTITION_BY_COL" in plan(words)
+    assert sorted((r.id, r.term, r.surface, r.n) for r in words.collect()) == [(1, "cat", "Cat", 1), (1, "cat", "cat", 2), (1, "dog", "Dog", 1), (2, "cat", "cat", 1)]
