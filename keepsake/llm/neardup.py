@@ -2,11 +2,17 @@
 
 Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in some 15 % of the bits of a
 SimHash, too many for a few segments of 64 bits. So the fingerprint is wider, and is cut into SEGMENTS runs of
-SEGMENT_BITS bits. A segment of two such texts differs by at most one bit now and then, and a bit that differs is
+SEGMENT_BITS bits, of which the first TRIED are asked. A segment of two such texts differs by at most one bit now and then, and a bit that differs is
 nearly always an uncertain one, whose shingles are about evenly for and against it. A segment therefore gives
 deletion variants for its WILDCARDS least certain bits alone: the segment without that bit, under a class of the
 set's size, as sets of very different sizes cannot be similar. Texts that share a variant are candidates; they are
 thinned by the sizes of their sets and by all bits of their fingerprints, and the sets themselves are compared.
+
+That links most of what is to be linked at a low cost, but not all of it. The rest comes by an exact join: in any one
+order of all shingles, two sets of the wanted similarity share one of the first few (of 20 % and one) of each. Texts that
+share such a shingle and are not in one component yet are paired where few share it; where many do, the texts that
+these shingles join are a family, whose sets are compared with one another in tasks of two blocks each, and a task
+returns no more links than it has texts. Bounds on sizes, places and bitmaps only leave what cannot be similar.
 """
 
 from __future__ import annotations
@@ -27,8 +33,14 @@ WIDTH, SIMILARITY = 5, 0.8
 BITS, SEGMENTS, SEGMENT_BITS, WILDCARDS = 1408, 88, 22, 4
 #: A size class spans so many steps from one size to the least that can be similar to it; each segment shifts the classes.
 CLASS_STEPS = 4
-#: A variant's texts are paired with so many of them: all pairs of up to one more.
-STARS = 2
+#: Segments that are asked for candidates, and with how many of a variant's texts the others are paired; what they miss the exact join finds.
+TRIED, STARS = 16, 1
+#: Bits of the bitmap of a set, one a shingle: a bit that only one of two sets has is a shingle that only that one has.
+MAP_BITS = 2048
+#: Texts from which it is guessed which shingles are frequent, and how many such shingles are told to the workers. Any order of the shingles gives the same links.
+ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
+#: A shingle of up to so many texts gives pairs; texts of more are compared in blocks of so many texts and so many shingles.
+FEW, BLOCK, BLOCK_SHINGLES = 32, 256, 1 << 17
 #: A text is compared first with so many candidates, those of the most alike fingerprints; each round then takes so many times as
 #: many, of those in other components, until no candidate is left that joins two components.
 CLOSEST, WIDER = 12, 4
@@ -76,13 +88,14 @@ def _uncertain(score: np.ndarray) -> np.ndarray:
 
 
 def variants(bits: np.ndarray, least: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The deletion variants of fingerprints (rows of 0 and 1), given the places of their least certain bits and the sizes of their sets."""
-    value = (bits[:, _OF_SEGMENT] * _PLACE).sum(2)
+    """The deletion variants of fingerprints (rows of 0 and 1), given the places of the least certain bits of their first segments and the sizes of their sets."""
+    asked = least.shape[1]
+    value = (bits[:, _OF_SEGMENT[:asked]] * _PLACE).sum(2)
     place = least.astype(np.int64)
     left = value[:, :, None] & ~(np.int64(1) << place)
-    number = np.arange(SEGMENTS)[None, :, None] * SEGMENT_BITS + place
+    number = np.arange(asked)[None, :, None] * SEGMENT_BITS + place
     step = np.log(np.maximum(sizes, 1)) / -np.log(SIMILARITY)
-    shift = np.arange(SEGMENTS) * (CLASS_STEPS / SEGMENTS)
+    shift = np.arange(asked) * (CLASS_STEPS / asked)
     kind = ((step[:, None] + shift) / CLASS_STEPS).astype(np.int64)[:, :, None]
     return ((kind << 12 | number) << SEGMENT_BITS | left).reshape(len(bits), -1)
 
@@ -92,6 +105,22 @@ def _node(hashes: np.ndarray) -> int:
     return int(mix(mix(hashes).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes))).view(np.int64)[0])
 
 
+def first_shingles(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first of a set's shingles, of which a set of that similarity shares one at least; frequent (hashes ascending, counts) come last."""
+    order = np.arange(len(hashes))
+    if frequent is not None and len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], hashes), len(frequent[0]) - 1)
+        order = np.lexsort((hashes, np.where(frequent[0][at] == hashes, frequent[1][at], 0)))
+    return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]] if len(hashes) else hashes
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits, as 64-bit words; each shingle sets one."""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(hashes % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def _prints(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,8 +129,9 @@ def _prints(width: int):
                 for text in some["text"]:
                     hashes = shingles(text, width)
                     score = votes(hashes)
-                    rows.append((_node(hashes), len(hashes), np.packbits(score > 0).view(np.int64), _uncertain(score).tobytes() if len(hashes) else None))
-                out = pd.DataFrame(rows, columns=["node", "n", "bits", "least"])
+                    rows.append((_node(hashes), len(hashes), np.packbits(score > 0).view(np.int64), _uncertain(score)[:TRIED].tobytes() if len(hashes) else None,
+                                 bitmap(hashes).view(np.int64)))
+                out = pd.DataFrame(rows, columns=["node", "n", "bits", "least", "map"])
                 out.insert(0, "key", some["key"])
                 out.insert(0, "id", some["id"])
                 yield out
@@ -114,7 +144,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), ROWS_OUT):
             some = batch.iloc[at:at + ROWS_OUT]
             bits = np.unpackbits(np.stack(some["bits"].tolist()).astype(np.int64).view(np.uint8), axis=1)
-            least = np.frombuffer(b"".join(map(bytes, some["least"])), np.uint8).reshape(len(some), SEGMENTS, WILDCARDS)
+            least = np.frombuffer(b"".join(map(bytes, some["least"])), np.uint8).reshape(len(some), TRIED, WILDCARDS)
             sigs = variants(bits, least, some["n"].to_numpy(np.int64))
             yield pd.DataFrame({"sig": sigs.ravel(), "node": np.repeat(some["node"].to_numpy(np.int64), sigs.shape[1])})
 
@@ -155,24 +185,168 @@ def _closest(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("_rank", rank).filter(F.col("_rank") <= most).select("node", "star")
 
 
+def _texts_of(touched: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in touched."""
+    wanted = broadcast_up_to(cut(nodes.join(touched, "node", "left_semi").select("node", "key")), BROADCAST_ROWS)
+    return docs.join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (node, star), as (a, b), whose exact similarity is high enough; sets are made only of the nodes in pairs."""
-    touched = pairs.select(F.explode(F.array("node", "star")).alias("node")).distinct()
-    wanted = broadcast_up_to(cut(nodes.join(touched, "node", "left_semi").select("node", "key")), BROADCAST_ROWS)
-    texts = docs.join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
+    texts = _texts_of(pairs.select(F.explode(F.array("node", "star")).alias("node")).distinct(), nodes, docs)
     sets = cut(texts.mapInPandas(_sets(width), "node long, set array<long>"))
     both = pairs.select(F.col("node").alias("a"), F.col("star").alias("b")).join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-9)).select("a", "b")
 
 
+def _hashes(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"hash": shingles(text, width).view(np.int64)})
+    return run
+
+
+def _tokens(width: int, similarity: float, frequent):
+    """(token, node, n, place): the first shingles of each text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_OUT):
+                sets = [shingles(t, width) for t in batch["text"].iloc[at:at + ROWS_OUT]]
+                firsts, sizes = [first_shingles(x, similarity, frequent.value) for x in sets], np.array([len(x) for x in sets], np.int64)
+                some = np.array([len(f) for f in firsts], np.int64)
+                place = np.arange(some.sum()) - np.repeat(some.cumsum() - some, some)
+                yield pd.DataFrame({"token": np.concatenate(firsts).view(np.int64), "node": np.repeat(np.array([_node(x) for x in sets], np.int64), some), "n": np.repeat(sizes, some), "place": place})
+    return run
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that several of some ORDER_TEXTS texts have; what they leave out is taken as rare, whatever it is."""
+    every = max(1, docs.count() // ORDER_TEXTS)
+    some = docs.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(every)) == 0).dropDuplicates(["key"]).select("text")
+    counted = some.mapInPandas(_hashes(width), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    top = counted.orderBy(F.desc("n"), "hash").limit(ORDER_SHINGLES).toPandas()
+    hashes, counts = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def spanning_links(nodes: list, sets: list[np.ndarray], roots: list, sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join what all pairs of similar sets of two sides (or within one, if there is but one) join beyond the roots."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    maps, sizes, out = np.stack([bitmap(s) for s in sets]), np.array([len(s) for s in sets]), []
+    share, one_side = (similarity - 1e-9) / (1 + similarity), (sides == sides[0]).all()
+    for i in range(len(nodes) - 1):
+        rest = np.arange(i + 1, len(nodes))
+        rest = rest[(sizes[rest] + sizes[i]) * share <= np.minimum(sizes[rest], sizes[i])]
+        rest = rest if one_side else rest[sides[rest] != sides[i]]
+        own = sizes[i] - np.bitwise_count(maps[i] & ~maps[rest]).sum(1, dtype=np.int64)
+        other = sizes[rest] - np.bitwise_count(maps[rest] & ~maps[i]).sum(1, dtype=np.int64)
+        for j in rest[np.minimum(own, other) >= (sizes[rest] + sizes[i]) * share]:
+            a, b = top(roots[i]), top(roots[j])
+            if a != b:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= (sizes[i] + sizes[j] - common) * (similarity - 1e-9):
+                    up[a] = b
+                    out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _linked(width: int, similarity: float):
+    """(a, b) of rows (family, low, high, block, node, root, text) in the order of their two blocks, of which a task holds one pair at a time."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        done = lambda: pd.DataFrame(spanning_links([h[1] for h in held], [h[3] for h in held], [h[2] for h in held], np.array([h[0] for h in held]), similarity), columns=["a", "b"], dtype=np.int64)
+        for batch in batches:
+            for family, low, high, block, node, root, text in batch.itertuples(index=False):
+                if at != (family, low, high):
+                    if held and (at[1] == at[2] or len({h[0] for h in held}) > 1):
+                        yield done()
+                    at, held = (family, low, high), []
+                held.append((block, node, root, shingles(text, width)))
+        if held and (at[1] == at[2] or len({h[0] for h in held}) > 1):
+            yield done()
+    return run
+
+
+def _families(many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(family, node, n, root) of rows (token, k, node, n, root), and (node, whole) of those whose family is compared as a whole.
+
+    The texts that tokens join are one family where all its pairs are no more than the pairs of its tokens; else each token is one.
+    """
+    of = cut(components(many.select(F.col("node").alias("a"), F.col("token").alias("b"))).withColumnRenamed("root", "family"))
+    texts = cut(many.select("node", "n", "root").distinct().join(of, "node"))
+    tokens = many.select(F.col("token").alias("node"), "k").distinct().join(of, "node")
+    cost = tokens.groupBy("family").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("cost"))
+    whole = cut(texts.groupBy("family").agg(F.count("*").cast("double").alias("size")).join(cost, "family").filter("size * size <= cost").select("family"))
+    covered = cut(texts.join(whole, "family", "left_semi"))
+    apart = many.join(covered, "node", "left_anti").select(F.col("token").alias("family"), "node", "n", "root")
+    return covered.select("family", "node", "n", "root").unionByName(apart), covered.select("node", F.col("family").alias("whole"))
+
+
+def _rest(nodes: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what all pairs of similar sets join beyond the roots (node, root)."""
+    spark = nodes.sparkSession
+    frequent = spark.sparkContext.broadcast(_frequent(docs, width))
+    tokens = docs.select("text").mapInPandas(_tokens(width, similarity, frequent), "token long, node long, n long, place long")
+    once = tokens.select("token", "node").repartition(partitions(spark), "token").distinct()
+    groups = once.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("k > 1")
+    # Tokens of the same texts are one token.
+    told = cut(groups.groupBy("k", "low", "high", "all").agg(F.min("token").alias("token")).select("token", "k"))
+    met = tokens.join(broadcast_up_to(told, BROADCAST_ROWS), "token").groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("k", "n", "place")])
+    met = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = cut(met)
+    # Texts of one component have nothing to be compared for.
+    between = met.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("token")
+    met = cut(met.join(between, "token"))
+    many, every = met.filter(F.col("k") > FEW), None
+    few = met.filter(F.col("k") <= FEW).withColumn("whole", F.lit(None).cast("long"))
+    if _any(many):
+        every, covered = _families(many)
+        few = few.drop("whole").join(covered, "node", "left")
+    x, y = F.col("x.n"), F.col("y.n")
+    i, j = F.col("x.place"), F.col("y.place")
+    need = (x + y) * ((similarity - 1e-9) / (1 + similarity))
+    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.whole").isNull() | F.col("y.whole").isNull() | (F.col("x.whole") != F.col("y.whole")))
+    # Shared are at most what comes before the place of one in both sets, that shingle, and what comes after it in both.
+    fits = fits & (F.least(i, j) + F.least(x - i, y - j) >= need)
+    few = cut(few)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.node").alias("node"), F.col("y.node").alias("star")).distinct()
+    mapped = nodes.select("node", "n", "map")
+    left, right = (mapped.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")) for c in ("node", "star"))
+    own = lambda a, b: F.col(f"n_{a}") - sum(F.bit_count(F.col(f"map_{a}")[w].bitwiseAND(F.bitwise_not(F.col(f"map_{b}")[w]))) for w in range(MAP_BITS // 64))
+    close = pairs.join(left, "node").join(right, "star").filter(F.least(own("node", "star"), own("star", "node")) >= (F.col("n_node") + F.col("n_star")) * ((similarity - 1e-9) / (1 + similarity)))
+    # What the bounds leave is nearly all alike: its components are families too, so that a text is sent once and not with each pair.
+    joined = components(close.select(F.col("node").alias("a"), F.col("star").alias("b"))).withColumnRenamed("root", "family")
+    members = joined.join(met.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node").select("family", "node", "n", "root")
+    return _links(cut(members if every is None else members.unionByName(every)), nodes, docs, width, similarity)
+
+
+def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what all pairs of similar sets within families (family, node, n, root) join beyond the roots."""
+    blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "root")
+    texts = _texts_of(members.select("node").distinct(), nodes, docs)
+    rows = cells.join(texts, "node").select("family", "low", "high", "block", "node", "root", "text").repartition(partitions(docs.sparkSession), "family", "low", "high")
+    return rows.sortWithinPartitions("family", "low", "high").mapInPandas(_linked(width, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) for each row: component is the smallest id that the row reaches by links of at least `similarity`.
 
     Rows of equal shingle sets are one node. The nodes of a variant are paired with the first STARS of them, so
     that a large group costs rows in proportion to its size. Candidates are compared exactly, the closest of a
     node first; those whose nodes have meanwhile come into one component need no comparison, and the rounds end
-    only when every candidate was compared or lies within a component.
+    only when every candidate was compared or lies within a component. An exact join finds all links that are
+    missing between the components so far (`_rest`), so that no link is lost but by a clash of 64-bit hashes.
 
     Null, empty and white-space texts are one group; very long texts are read whole. A row without an id is
     kept; it takes its component's smallest id, or null if no row there has one. Repeated rows repeat; other
@@ -180,8 +354,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    prints = cut(slim.mapInPandas(_prints(width), "id long, key long, node long, n int, bits array<long>, least binary"))
-    nodes = prints.groupBy("node").agg(F.min("id").alias("lowest"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("least").alias("least"))
+    prints = cut(slim.mapInPandas(_prints(width), "id long, key long, node long, n int, bits array<long>, least binary, map array<long>"))
+    nodes = prints.groupBy("node").agg(F.min("id").alias("lowest"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "least", "map")])
     signed = nodes.filter("n > 0").select("node", "n", "bits", "least").mapInPandas(_signed, "sig long, node long").repartition(partitions(spark), "sig")
     met = cut(signed.join(signed.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1").select("sig"), "sig"))
     order = lambda skip: F.min_by("node", F.xxhash64("node", F.lit(skip)))
@@ -190,7 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = (met.join(stars, "sig").filter("node <> star").groupBy(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).agg(F.max("node").alias("node"))
              .select("node", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("star")))
     open_ = cut(_alike(tried, nodes, similarity))
-    known, most = None, CLOSEST
+    known, roots, most = None, None, CLOSEST
     while _any(open_):
         pairs = cut(_closest(open_, most))
         found = _verified(pairs, nodes, slim, width, similarity)
@@ -199,7 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = (open_.join(pairs, ["node", "star"], "left_anti").join(roots.select(F.col("node"), F.col("root").alias("own")), "node", "left")
                 .join(roots.select(F.col("node").alias("star"), F.col("root").alias("other")), "star", "left"))
         open_, most = cut(left.filter(F.coalesce("own", "node") != F.coalesce("other", "star")).select("node", "star", "differ")), most * WIDER
-    known = spark.createDataFrame([], "a long, b long") if known is None else known
+    more = _rest(nodes, roots, slim, width, similarity)
+    known = cut(more if known is None else known.union(more))
     named = nodes.select("node", "lowest").join(components(known), "node", "left").select("node", "lowest", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("lowest").alias("component"))
     return prints.select("id", "node").join(named.join(smallest, "root").select("node", "component"), "node").select("id", "component")

@@ -130,3 +130,39 @@ def test_rounds_end_when_no_candidate_joins_two_groups(spark, monkeypatch):
     monkeypatch.setattr(n, "CLOSEST", 1)
     monkeypatch.setattr(n, "WIDER", 2)
     assert {r.id: r.component for r in n.near_duplicates(frame(spark, rows)).collect()} == want
+
+
+def crowd(seed, size=160):
+    """Texts of one base too unlike each other to be linked, and a near copy of every fourth of them."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = [edited(base, 8, rng) for _ in range(size)]
+    texts += [edited(t.split(), 2, rng) for t in texts[::4]]
+    return list(enumerate(texts))
+
+
+def test_links_that_no_fingerprint_tells(spark, monkeypatch):
+    """Where no pair of a variant is a candidate, all links are found nevertheless, however a group is compared."""
+    rows = crowd(21)
+    want = brute(rows)
+    assert len(rows) > 2 * n.FEW and 100 < len(set(want.values())) < len(rows) - 20
+    monkeypatch.setattr(n, "_alike", lambda pairs, nodes, similarity: pairs.withColumn("differ", n.F.lit(0)).limit(0))
+    for few, block in ((n.FEW, 30), (1000, n.BLOCK)):
+        monkeypatch.setattr(n, "FEW", few)
+        monkeypatch.setattr(n, "BLOCK", block)
+        assert {r.id: r.component for r in n.near_duplicates(frame(spark, rows)).collect()} == want
+
+
+def test_first_shingles_meet_and_links_of_two_blocks():
+    rng = np.random.default_rng(2)
+    few = [np.unique(rng.integers(0, 1 << 62, size, np.uint64)) for size in (1, 4, 5, 9, 50, 400)]
+    for a in few:
+        b = np.unique(np.concatenate([a[: int(np.ceil(0.8 * len(a)))]]))
+        frequent = (a[::2].copy(), np.arange(2, 2 + len(a[::2])))
+        for order in (None, frequent):
+            assert set(n.first_shingles(a, 0.8, order).tolist()) & set(n.first_shingles(b, 0.8, order).tolist())
+    sets = [few[5], few[5][:330], few[5][:300], few[4]]
+    assert n.spanning_links([7, 8, 9, 10], sets, [7, 8, 9, 10], np.array([0, 0, 0, 0]), 0.8) == [(7, 8), (8, 9)]
+    assert n.spanning_links([7, 8, 9, 10], sets, [7, 8, 9, 10], np.array([0, 1, 0, 1]), 0.8) == [(7, 8), (8, 9)]
+    assert n.spanning_links([7, 8, 9, 10], sets, [7, 7, 9, 10], np.array([0, 0, 1, 1]), 0.8) == [(8, 9)]
+    assert n.spanning_links([7, 8, 9, 10], sets, [7, 7, 7, 10], np.array([0, 0, 0, 0]), 0.8) == []
