@@ -40,7 +40,7 @@ MAP_BITS = 2048
 #: Texts from which it is guessed which shingles are frequent, and how many such shingles are told to the workers. Any order of the shingles gives the same links.
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
 #: A shingle of up to so many texts gives pairs; texts of more are compared in blocks of so many texts and so many shingles.
-FEW, BLOCK, BLOCK_SHINGLES = 32, 256, 1 << 17
+FEW, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 19
 #: A text is compared first with so many candidates, those of the most alike fingerprints; each round then takes so many times as
 #: many, of those in other components, until no candidate is left that joins two components.
 CLOSEST, WIDER = 12, 4
@@ -331,10 +331,19 @@ def _rest(nodes: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int
 
 def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) that join what all pairs of similar sets within families (family, node, n, root) join beyond the roots."""
-    blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.select("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "root")
-    texts = _texts_of(members.select("node").distinct(), nodes, docs)
+    # Sets of sizes two classes apart cannot be similar, so that a text meets the blocks of its own class and of the next ones only.
+    classed = members.withColumn("kind", F.floor(F.log(F.greatest("n", F.lit(1))) / -float(np.log(similarity - 1e-6))))
+    blocks = classed.groupBy("family", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    near = blocks.withColumn("other", F.explode(F.array(*[F.col("kind") + step for step in (-1, 0, 1)])))
+    near = near.join(blocks.select("family", F.col("kind").alias("other"), F.col("blocks").alias("others")), ["family", "other"])
+    side = lambda kind, block: F.shiftleft(F.col(kind), 32) + F.col(block)
+    dealt = classed.join(near, ["family", "kind"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    dealt = dealt.withColumn("block", side("kind", "part")).withColumn("meets", side("other", "with"))
+    cells = cut(dealt.select("family", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "node", "root"))
+    # A text goes only to where it meets another, of another component and, where there are two blocks, of the other one.
+    both = (F.min("root") < F.max("root")) & ((F.col("low") == F.col("high")) | (F.min("block") < F.max("block")))
+    cells = cells.join(cells.groupBy("family", "low", "high").agg(both.alias("both")).filter("both").select("family", "low", "high"), ["family", "low", "high"])
+    texts = _texts_of(cells.select("node").distinct(), nodes, docs)
     rows = cells.join(texts, "node").select("family", "low", "high", "block", "node", "root", "text").repartition(partitions(docs.sparkSession), "family", "low", "high")
     return rows.sortWithinPartitions("family", "low", "high").mapInPandas(_linked(width, similarity), "a long, b long")
 

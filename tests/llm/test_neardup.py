@@ -1,5 +1,8 @@
 import random
+import tempfile
+import uuid
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 
@@ -166,3 +169,47 @@ def test_first_shingles_meet_and_links_of_two_blocks():
     assert n.spanning_links([7, 8, 9, 10], sets, [7, 8, 9, 10], np.array([0, 1, 0, 1]), 0.8) == [(7, 8), (8, 9)]
     assert n.spanning_links([7, 8, 9, 10], sets, [7, 7, 9, 10], np.array([0, 0, 1, 1]), 0.8) == [(8, 9)]
     assert n.spanning_links([7, 8, 9, 10], sets, [7, 7, 7, 10], np.array([0, 0, 0, 0]), 0.8) == []
+
+
+def test_texts_of_a_family_are_sent_to_sets_of_like_sizes(spark, monkeypatch):
+    """A text meets the blocks of sizes that can be similar to its own, and goes nowhere where it meets none."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(base[:40 + 24 * i])) for i in range(70)]
+    rows += [(100 + i, edited(rows[i][1].split(), 1, rng)) for i in range(0, 70, 9)]
+    docs = frame(spark, rows)
+    names = {n._node(n.shingles(t)): (i, len(n.shingles(t))) for i, t in rows}
+    members = spark.createDataFrame([(1, k, v[1], k) for k, v in names.items()], "family long, node long, n long, root long")
+    members = members.union(spark.createDataFrame([(2, next(iter(names)), 40, 0)], members.schema))
+    slim = docs.select("text", n.F.xxhash64("text").alias("key"))
+    nodes = spark.createDataFrame([(k, n.shingles(dict(rows)[v[0]]).view(np.int64).tolist()) for k, v in names.items()], "node long, s array<long>").select("node").join(
+        spark.createDataFrame([(k, dict(rows)[v[0]]) for k, v in names.items()], "node long, text string").select("node", n.F.xxhash64("text").alias("key")), "node")
+    monkeypatch.setattr(n, "BLOCK", 8)
+    sent, linked = [], n._linked
+
+    def counted(width, similarity):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    open(f"{folder}/{uuid.uuid4().hex}", "w").write(str(len(batch)))
+                    yield batch
+            yield from linked(width, similarity)(seen())
+        return run
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    monkeypatch.setattr(n, "_linked", counted)
+    got = n._links(n.cut(members), nodes, slim, n.WIDTH, 0.8).collect()
+    sent = sum(int(p.read_text()) for p in Path(folder).iterdir())
+    up = {k: k for k in names}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in got:
+        up[top(a)] = top(b)
+    groups = {i: min(names[k][0] for k in names if top(k) == top(node)) for node, (i, _) in names.items()}
+    assert groups == {i: c for i, c in brute(rows).items() if i in groups}
+    # All blocks of eight texts: ten times each text and the lone text of its own.
+    assert sent < 7 * len(names)
