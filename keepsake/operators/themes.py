@@ -91,7 +91,8 @@ def terms(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] =
     by their items, so that they are shuffled once and none of what is counted of an item is shuffled by it again.
     """
     words = texts.select("id", F.col(text_col).alias("text")).repartition("id").select("id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WRITTEN), F.lit(0))).alias("surface"))
-    counted = words.groupBy("id", "surface").agg(F.count("*").alias("n")).withColumn("term", fold(F.col("surface")))
+    # A term that is generated is folded once, whatever filters ask of it.
+    counted = words.groupBy("id", "surface").agg(F.count("*").alias("n")).select("*", F.explode(F.array(fold(F.col("surface")))).alias("term"))
     return counted.filter((F.length("term") > 1) & ~F.col("term").isin(*stopwords)).select("id", "term", "surface", "n")
 
 
@@ -100,15 +101,26 @@ def _spellings(words: DataFrame, members: DataFrame) -> DataFrame:
     return words.join(members.select("id", "cluster"), "id").groupBy("cluster", "term", "surface").agg(F.sum("n").alias("n"))
 
 
-def _frequencies(words: DataFrame) -> DataFrame:
-    """(term, df): the number of items that have a term, from terms()."""
-    return words.groupBy("id", "term").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("df"))
+def _counted(words: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cluster, term, surface, n) of the members, and (term, df), the number of items that have a term; from one pass over terms().
+
+    Of an item's spellings of a term the first tells the item. Rows stay where terms() dealt their items to, so that only sums
+    over many items are shuffled and kept.
+    """
+    first = F.row_number().over(Window.partitionBy("id", "term").orderBy("surface")) == 1
+    # An item of several clusters counts once.
+    lead = F.row_number().over(Window.partitionBy("id").orderBy("cluster")) == 1
+    told = words.withColumn("first", first).join(members.select("id", "cluster").withColumn("lead", lead), "id", "left")
+    items = F.sum((F.col("first") & F.coalesce("lead", F.lit(True))).cast("long"))
+    sums = cut(told.groupBy("cluster", F.col("lead").isNotNull().alias("held"), "term", "surface").agg(F.sum("n").alias("n"), items.alias("items")))
+    return sums.filter("held").select("cluster", "term", "surface", "n"), sums.groupBy("term").agg(F.sum("items").alias("df"))
 
 
 def ranked_terms(words: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, term, tf, df, score): how often a cluster has a term, over the number of items that have it anywhere."""
-    tf = _spellings(words, members).groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
-    return tf.join(_frequencies(words), "term").withColumn("score", F.col("tf") / F.col("df"))
+    spelt, frequencies = _counted(words, members)
+    tf = spelt.groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
+    return tf.join(frequencies, "term").withColumn("score", F.col("tf") / F.col("df"))
 
 
 def _display(spellings: DataFrame) -> DataFrame:
@@ -123,11 +135,10 @@ def surface_forms(words: DataFrame, members: DataFrame) -> DataFrame:
 
 def labels(words: DataFrame, members: DataFrame, n: int = LABEL_TERMS) -> DataFrame:
     """(cluster, label, confidence): the best terms by score, then term, with a capital at the front; '' and 0 without terms."""
-    words = cut(words)
-    spelt = cut(_spellings(words, members))
+    spelt, frequencies = _counted(words, members)
     tf = spelt.groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
     w = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "term")
-    top = cut(tf.join(_frequencies(words), "term").withColumn("score", F.col("tf") / F.col("df")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("cluster", "term", "place"))
+    top = cut(tf.join(frequencies, "term").withColumn("score", F.col("tf") / F.col("df")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("cluster", "term", "place"))
     shown = top.join(_display(spelt.join(top, ["cluster", "term"], "left_semi")), ["cluster", "term"])
     made = shown.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "display"))), lambda x: x["display"]), " ").alias("l"))
     all_ = members.select("cluster").distinct().join(made, "cluster", "left").withColumn("l", F.coalesce("l", F.lit("")))

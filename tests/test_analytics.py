@@ -213,3 +213,16 @@ def test_word_errors(spark):
     assert speech.align("a b c".split(), "a x c d".split()) == (1, 0, 1) and speech.align(["a"], []) == (0, 1, 0) and speech.align([], []) == (0, 0, 0)
     rows = speech.word_errors(spark.createDataFrame([("Hola, ¿qué tal?", "hola que tal"), ("", "x")], "reference string, heard string")).collect()
     assert [(r.words, r.substitutions, r.deletions, r.insertions) for r in rows] == [(3, 1, 0, 0), (0, 0, 0, 1)] and rows[1].wer is None
+
+
+def test_labels_keep_no_words_of_items(spark, monkeypatch):
+    """Only sums over items are kept; an item of two spellings or two clusters counts once among the items that have a term."""
+    kept = []
+    monkeypatch.setattr(themes, "cut", lambda df, cut=themes.cut: kept.append(df.columns) or cut(df))
+    texts = spark.createDataFrame([(1, "Mar mar MAR luna"), (2, "mar"), (2, "sol Luna"), (3, None), (4, "luna río")], "id long, text string")
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None)], "id long, cluster string")
+    words = themes.terms(texts)
+    got = {(r.cluster, r.term): (r.tf, r.df) for r in themes.ranked_terms(words, members).collect()}
+    assert got == {("a", "mar"): (4, 2), ("b", "mar"): (3, 2), ("a", "luna"): (2, 3), ("b", "luna"): (1, 3), ("a", "sol"): (1, 1)}
+    assert {r.cluster: r.label for r in themes.labels(words, members).collect()} == {"a": "Mar sol Luna", "b": "MAR luna", None: ""}
+    assert kept and not any("id" in columns for columns in kept)
