@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +22,57 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Tokens of different columns are this far apart, so that no phrase crosses columns.
 COLUMN_GAP = 1 << 20
+#: Items whose tokens are put in order at once.
+BATCH = 256
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, places, n) of rows (id, one list of tokens a column) in the order of their ids; rows of one id are one item."""
+    def grouped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = [rows[c].combine_chunks() for c in rows.column_names[1:]]
+        sizes = [np.diff(x.offsets.to_numpy()) for x in lists]
+        row = np.concatenate([np.repeat(np.arange(len(k)), k) for k in sizes])
+        place = np.concatenate([np.arange(k.sum()) - np.repeat(k.cumsum() - k, k) + i * COLUMN_GAP for i, k in enumerate(sizes)])
+        words = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+        ids, code = rows["id"].combine_chunks(), words.indices.to_numpy()
+        item = _numbered(ids)[row]
+        order = np.lexsort((place, code, item))
+        item, code, row, place = item[order], code[order], row[order], place[order]
+        first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (code[1:] != code[:-1])]) if len(item) else np.empty(0, np.int64)
+        ends = np.r_[first, len(item)].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), ids.take(pa.array(row[first])), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))), pa.array(np.diff(ends).astype(np.int64))],
+                                         names=["token", "id", "places", "n"])
+
+    held = None
+    for batch in batches:
+        for at in range(0, len(batch), BATCH):
+            some = pa.Table.from_batches([batch.slice(at, BATCH)])
+            held = some if held is None else pa.concat_tables([held, some])
+            number = _numbered(held["id"].combine_chunks())
+            # The last item may go on.
+            whole = int(np.searchsorted(number, number[-1]))
+            if whole:
+                yield from grouped(held.slice(0, whole))
+                held = held.slice(whole)
+    if held is not None:
+        yield from grouped(held)
+
+
+def _numbered(ids: pa.Array) -> np.ndarray:
+    """0 for the first of ids in order, and one more for each other id."""
+    code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.r_[0, np.cumsum(code[1:] != code[:-1])]
 
 
 def postings(items: DataFrame, columns: tuple[str, ...] = ("title", "description", "search_meta")) -> DataFrame:
-    """(token, id, places, n): where each token stands in each item. Written sorted by token, a prefix reads a few row groups."""
-    items = spread(items.select("id", *columns))
-    each = [items.select("id", F.posexplode(tokens(F.col(c))).alias("place", "token")).withColumn("place", F.col("place") + i * COLUMN_GAP)
-            for i, c in enumerate(columns)]
-    every = each[0]
-    for more in each[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("token", "id").agg(F.sort_array(F.collect_list("place")).alias("places"), F.count("*").alias("n"))
+    """(token, id, places, n): where each token stands in each item. Written sorted by token, a prefix reads a few row groups.
+
+    Texts are dealt by their items, so that they are shuffled once and their tokens are not.
+    """
+    kind = items.schema["id"].dataType.simpleString()
+    dealt = items.select("id", *columns).repartition("id").sortWithinPartitions("id")
+    cut_up = dealt.select("id", *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    return cut_up.mapInArrow(_places, f"token string, id {kind}, places array<int>, n long")
 
 
 def refreshed(index: DataFrame, changed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:

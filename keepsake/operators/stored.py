@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.log import Log
-from keepsake.operators.search import lengths, postings
+from keepsake.operators.graph import cut
+from keepsake.operators.search import postings
 
 #: Bytes of a row group: a search reads those whose range of tokens it asks for.
 ROW_GROUP = 1 << 20
@@ -48,7 +49,10 @@ class StoredIndex:
         """A new segment of `changed` items (new, or written anew), which hides their older rows and those of `deleted` ids."""
         number, state = self.log.newest()
         ids = changed.select("id") if deleted is None else changed.select("id").unionByName(deleted.select("id"))
-        made = self._write(postings(changed), lengths(changed), ids)
+        # Postings are made once, and sizes from them; the bounds of the files are found by a pass over them.
+        rows = cut(postings(changed))
+        sizes = changed.select("id").distinct().join(rows.groupBy("id").agg(F.sum("n").alias("length")), "id", "left")
+        made = self._write(rows, sizes.select("id", F.coalesce("length", F.lit(0)).alias("length")), ids)
         self.log.append(number + 1, {"segments": [*state.get("segments", []), made]})
 
     def _live(self, what: str) -> DataFrame:

@@ -161,3 +161,17 @@ def test_a_stored_index_reads_the_row_groups_of_the_tokens_asked_for(spark, tmp_
     index.add(items.limit(1))
     with pytest.raises(Conflict):
         other.log.append(number + 1, {"segments": []})
+
+
+def test_postings_shuffle_no_tokens(spark, monkeypatch):
+    """Texts are dealt once; rows of one id are one item, also over several batches, and nulls have no row."""
+    monkeypatch.setattr(search, "BATCH", 2)
+    rows = [(1, "a b a", None), (1, "b", "a"), (1, "a", "c"), (1, None, "b"), (None, "n", ""), (None, "n", "x"), (2, "", None), (3, "Ünï b", "b")]
+    items = spark.createDataFrame(rows, "id long, title string, description string")
+    found = search.postings(items, ("title", "description"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    gap = search.COLUMN_GAP
+    assert sorted(((r.id or 0, r.token, list(r.places), r.n) for r in found.collect())) == [
+        (0, "n", [0, 0], 2), (0, "x", [gap], 1), (1, "a", [0, 0, 2, gap], 4), (1, "b", [0, 1, gap], 3), (1, "c", [gap], 1), (3, "b", [1, gap], 2), (3, "uni", [0], 1)]
+    assert search.postings(items.limit(0), ("title", "description")).count() == 0
