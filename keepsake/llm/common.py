@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE_BASE = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
+_SPARK_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
 def encode(text: str | None) -> bytes:
@@ -114,6 +118,25 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: pa.Schema, rows: int = 256) -> DataFrame:
+    """df.mapInPandas(run), where run is given so many rows at a time.
+
+    An Arrow batch has up to 10,000 texts, which as strings and beside the next batch take several times its memory.
+    """
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows).to_pandas(integer_object_nulls=True)
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(slices(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+
+    return df.mapInArrow(arrow, ", ".join(f"{f.name} {_SPARK_TYPES[f.type]}" for f in schema))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

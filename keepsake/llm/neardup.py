@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import broadcast_up_to, cut, encode, fresh, mix, partitions, shingle_hashes, span_hashes, word_spans
+from keepsake.llm.common import broadcast_up_to, cut, encode, fresh, map_slices, mix, partitions, shingle_hashes, span_hashes, word_spans
 from keepsake.llm.components import components
 
 #: Words of a shingle, and the similarity from which two texts are linked.
@@ -48,6 +49,7 @@ CLOSEST, WIDER = 12, 4
 DEVIATIONS = 4.5
 #: Rows of an outgoing batch.
 ROWS_OUT = 256
+_LONG, _LONGS = pa.int64(), pa.list_(pa.int64())
 #: Names of texts that may be broadcast to find their texts (16 bytes each).
 BROADCAST_ROWS = 500_000
 _SEED = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
@@ -194,7 +196,7 @@ def _texts_of(touched: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (node, star), as (a, b), whose exact similarity is high enough; sets are made only of the nodes in pairs."""
     texts = _texts_of(pairs.select(F.explode(F.array("node", "star")).alias("node")).distinct(), nodes, docs)
-    sets = cut(texts.mapInPandas(_sets(width), "node long, set array<long>"))
+    sets = cut(map_slices(texts, _sets(width), pa.schema({"node": _LONG, "set": _LONGS})))
     both = pairs.select(F.col("node").alias("a"), F.col("star").alias("b")).join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= (F.size("x") + F.size("y") - common) * (similarity - 1e-9)).select("a", "b")
@@ -225,7 +227,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of shingles that several of some ORDER_TEXTS texts have; what they leave out is taken as rare, whatever it is."""
     every = max(1, docs.count() // ORDER_TEXTS)
     some = docs.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(every)) == 0).dropDuplicates(["key"]).select("text")
-    counted = some.mapInPandas(_hashes(width), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = map_slices(some, _hashes(width), pa.schema({"hash": _LONG})).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     top = counted.orderBy(F.desc("n"), "hash").limit(ORDER_SHINGLES).toPandas()
     hashes, counts = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
@@ -295,7 +297,7 @@ def _rest(nodes: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int
     """Links (a, b) that join what all pairs of similar sets join beyond the roots (node, root)."""
     spark = nodes.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
-    tokens = docs.select("text").mapInPandas(_tokens(width, similarity, frequent), "token long, node long, n long, place long")
+    tokens = map_slices(docs.select("text"), _tokens(width, similarity, frequent), pa.schema({"token": _LONG, "node": _LONG, "n": _LONG, "place": _LONG}))
     once = tokens.select("token", "node").repartition(partitions(spark), "token").distinct()
     groups = once.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("k > 1")
     # Tokens of the same texts are one token.
@@ -345,7 +347,7 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
     cells = cells.join(cells.groupBy("family", "low", "high").agg(both.alias("both")).filter("both").select("family", "low", "high"), ["family", "low", "high"])
     texts = _texts_of(cells.select("node").distinct(), nodes, docs)
     rows = cells.join(texts, "node").select("family", "low", "high", "block", "node", "root", "text").repartition(partitions(docs.sparkSession), "family", "low", "high")
-    return rows.sortWithinPartitions("family", "low", "high").mapInPandas(_linked(width, similarity), "a long, b long")
+    return map_slices(rows.sortWithinPartitions("family", "low", "high"), _linked(width, similarity), pa.schema({"a": _LONG, "b": _LONG}))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -363,7 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    prints = cut(slim.mapInPandas(_prints(width), "id long, key long, node long, n int, bits array<long>, least binary, map array<long>"))
+    prints = cut(map_slices(slim, _prints(width), pa.schema({"id": _LONG, "key": _LONG, "node": _LONG, "n": pa.int32(), "bits": _LONGS, "least": pa.binary(), "map": _LONGS})))
     nodes = prints.groupBy("node").agg(F.min("id").alias("lowest"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "least", "map")])
     signed = nodes.filter("n > 0").select("node", "n", "bits", "least").mapInPandas(_signed, "sig long, node long").repartition(partitions(spark), "sig")
     met = cut(signed.join(signed.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1").select("sig"), "sig"))

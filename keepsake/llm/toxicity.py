@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,11 +97,12 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The rows of docs that score below the threshold, columns unchanged; the score is made beside each row, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col).astype(np.float32))
 
-    def keep(texts):
+    # Texts become strings one at a time, not by the batch.
+    def keep(texts: pa.Array) -> pa.Array:
         w = shared.value
-        return texts.map(lambda t: bool(sigmoid(float(w[stem_set(t, BITS, w)].sum()) + float(w[-1])) < threshold))
+        return pa.array([bool(sigmoid(float(w[stem_set(t.as_py(), BITS, w)].sum()) + float(w[-1])) < threshold) for t in texts], pa.bool_())
 
-    return docs.filter(F.pandas_udf(keep, "boolean")(F.col(text_col)))
+    return docs.filter(F.arrow_udf(keep, "boolean")(F.col(text_col)))
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -213,3 +213,23 @@ def test_texts_of_a_family_are_sent_to_sets_of_like_sizes(spark, monkeypatch):
     assert groups == {i: c for i, c in brute(rows).items() if i in groups}
     # All blocks of eight texts: ten times each text and the lone text of its own.
     assert sent < 7 * len(names)
+
+
+def test_texts_become_strings_by_few_rows(spark, monkeypatch):
+    """Whatever an Arrow batch holds; ids beside a row without one stay exact."""
+    prints = n._prints
+
+    def watched(width):
+        run = prints(width)
+
+        def few(batches):
+            for batch in batches:
+                assert len(batch) <= 256
+                yield batch
+        return lambda batches: run(few(batches))
+
+    monkeypatch.setattr(n, "_prints", watched)
+    rows = [(2**60 + i, f"t{i % 600}") for i in range(700)] + [(None, "t1"), (5, None)]
+    got = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(i, 5 if t is None else 2**60 + int(t[1:])) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
