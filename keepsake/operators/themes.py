@@ -90,12 +90,49 @@ def terms(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] =
     Words are counted as written before they are folded, so that folding goes once over an item's spellings. Texts are dealt
     by their items, so that they are shuffled once and none of what is counted of an item is shuffled by it again.
     """
-    words = texts.select("id", F.col(text_col).alias("text")).repartition("id").select("id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WRITTEN), F.lit(0))).alias("surface"))
+    words = texts.select("id", F.col(text_col).alias("text")).repartition("id").select("id", F.explode(_words(F.col("text"))).alias("surface"))
     # A term that is generated is folded once, whatever filters ask of it.
     counted = words.groupBy("id", "surface").agg(F.count("*").alias("n")).select("*", F.explode(F.array(fold(F.col("surface")))).alias("term"))
     return counted.filter((F.length("term") > 1) & ~F.col("term").isin(*stopwords)).select("id", "term", "surface", "n")
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WRITTEN), F.lit(0))
+
+
+def _folded(sums: DataFrame) -> DataFrame:
+    """sums with the term of each surface; as terms(), but folding once a row of sums."""
+    return sums.withColumn("term", F.explode(F.array(fold(F.col("surface"))))).filter((F.length("term") > 1) & ~F.col("term").isin(*STOPWORDS))
+
+
+def spelt_in(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, term, surface, n) of texts (id, text), counted by clusters at once: nothing is counted, sorted or kept by item."""
+    words = texts.select("id", "text").join(members.select("id", "cluster"), "id").select("cluster", F.explode(_words(F.col("text"))).alias("surface"))
+    return _folded(words.groupBy("cluster", "surface").agg(F.count("*").alias("n"))).select("cluster", "term", "surface", "n")
+
+
+def counted_in(texts: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cluster, term, surface, n) of the members, and (term, df), the number of items that have a term, from one pass over texts (id, text).
+
+    A text's words go straight into the sums of its clusters, and each of its terms once into the number of items; terms are told
+    by item only where several rows share an id, which are one item. A row without an id is no item.
+    """
+    held = members.filter("id is not null").groupBy("id").agg(F.collect_list(F.struct("cluster")).alias("clusters"))
+    rows = F.count("*").over(Window.partitionBy("id"))
+    told = texts.filter("id is not null").select("id", "text").join(held, "id", "left").withColumn("item", F.when(rows > 1, F.col("id")))
+    words = _words(F.col("text"))
+    # A sigma's small form depends on what is around it: there, words are folded one by one.
+    terms_ = F.when(F.col("text").contains("Σ"), F.array_distinct(F.transform(F.array_distinct(words), fold))).otherwise(F.array_distinct(_words(fold(F.col("text")))))
+    none = F.lit(None).cast(members.schema["cluster"].dataType)
+    spelt = F.transform("clusters", lambda c: F.struct(F.lit(True).alias("held"), c["cluster"].alias("cluster"), words.alias("tokens")))
+    had = F.array(F.struct(F.lit(False).alias("held"), none.alias("cluster"), terms_.alias("tokens")))
+    both = told.select("item", F.inline(F.concat(F.coalesce(spelt, F.slice(had, 1, 0)), had)))
+    tokens = both.select("held", "cluster", F.when(~F.col("held"), F.col("item")).alias("item"), F.explode("tokens").alias("surface"))
+    sums = cut(tokens.groupBy("held", "cluster", "item", "surface").agg(F.count("*").alias("n")))
+    df = sums.filter("not held").groupBy(F.col("surface").alias("term")).agg(F.sum(F.when(F.col("item").isNull(), F.col("n")).otherwise(1)).alias("df"))
+    return _folded(sums.filter("held").select("cluster", "surface", "n")).select("cluster", "term", "surface", "n"), df
+
+
 def _spellings(words: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, term, surface, n) from terms()."""
     return words.join(members.select("id", "cluster"), "id").groupBy("cluster", "term", "surface").agg(F.sum("n").alias("n"))
@@ -118,7 +155,15 @@ def _counted(words: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame
 
 def ranked_terms(words: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, term, tf, df, score): how often a cluster has a term, over the number of items that have it anywhere."""
-    spelt, frequencies = _counted(words, members)
+    return _ranked(*_counted(words, members))
+
+
+def ranked_terms_in(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """ranked_terms() of texts (id, text) that are not counted by item."""
+    return _ranked(*counted_in(texts, members))
+
+
+def _ranked(spelt: DataFrame, frequencies: DataFrame) -> DataFrame:
     tf = spelt.groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
     return tf.join(frequencies, "term").withColumn("score", F.col("tf") / F.col("df"))
 
@@ -133,12 +178,24 @@ def surface_forms(words: DataFrame, members: DataFrame) -> DataFrame:
     return _display(_spellings(words, members))
 
 
+def surface_forms_in(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """surface_forms() of texts (id, text) that are not counted by item."""
+    return _display(spelt_in(texts, members))
+
+
 def labels(words: DataFrame, members: DataFrame, n: int = LABEL_TERMS) -> DataFrame:
     """(cluster, label, confidence): the best terms by score, then term, with a capital at the front; '' and 0 without terms."""
-    spelt, frequencies = _counted(words, members)
-    tf = spelt.groupBy("cluster", "term").agg(F.sum("n").alias("tf"))
+    return _labelled(*_counted(words, members), members, n)
+
+
+def labels_in(texts: DataFrame, members: DataFrame, n: int = LABEL_TERMS) -> DataFrame:
+    """labels() of texts (id, text) that are not counted by item."""
+    return _labelled(*counted_in(texts, members), members, n)
+
+
+def _labelled(spelt: DataFrame, frequencies: DataFrame, members: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "term")
-    top = cut(tf.join(frequencies, "term").withColumn("score", F.col("tf") / F.col("df")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("cluster", "term", "place"))
+    top = cut(_ranked(spelt, frequencies).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("cluster", "term", "place"))
     shown = top.join(_display(spelt.join(top, ["cluster", "term"], "left_semi")), ["cluster", "term"])
     made = shown.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "display"))), lambda x: x["display"]), " ").alias("l"))
     all_ = members.select("cluster").distinct().join(made, "cluster", "left").withColumn("l", F.coalesce("l", F.lit("")))

@@ -75,22 +75,22 @@ def places_plan(s, d):
 def _themed(s, d):
     """Documents as texts, their language as the cluster."""
     docs = t.table(s, d, "documents")
-    return themes.terms(docs.select(F.col("doc_id").alias("id"), "text")), docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("cluster"))
+    return docs.select(F.col("doc_id").alias("id"), "text"), docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("cluster"))
 
 
 def theme_terms_tfdf(s, d):
-    words, members = _themed(s, d)
-    return themes.ranked_terms(words, members).select("cluster", "term", "tf", "df", F.round("score", 6).alias("score"))
+    texts, members = _themed(s, d)
+    return themes.ranked_terms_in(texts, members).select("cluster", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
 def theme_surface_forms(s, d):
-    words, members = _themed(s, d)
-    return themes.surface_forms(words, members)
+    texts, members = _themed(s, d)
+    return themes.surface_forms_in(texts, members)
 
 
 def theme_labels(s, d):
-    words, members = _themed(s, d)
-    return themes.labels(words, members)
+    texts, members = _themed(s, d)
+    return themes.labels_in(texts, members)
 
 
 def theme_clusters(s, d):
@@ -105,8 +105,8 @@ def theme_source_key(s, d):
 def theme_plan(s, d):
     v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     members = cut(themes.clusters_in_blocks(v, 0.3, themes.MIN_SIZE))
-    words = themes.terms(t.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return themes.plan(members, themes.labels(words, members)).select("item_id", "source_key", "name", F.round("confidence", 6).alias("confidence"))
+    texts = t.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return themes.plan(members, themes.labels_in(texts, members)).select("item_id", "source_key", "name", F.round("confidence", 6).alias("confidence"))
 
 
 def _to_categorise(s, d):

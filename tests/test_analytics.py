@@ -226,3 +226,15 @@ def test_labels_keep_no_words_of_items(spark, monkeypatch):
     assert got == {("a", "mar"): (4, 2), ("b", "mar"): (3, 2), ("a", "luna"): (2, 3), ("b", "luna"): (1, 3), ("a", "sol"): (1, 1)}
     assert {r.cluster: r.label for r in themes.labels(words, members).collect()} == {"a": "Mar sol Luna", "b": "MAR luna", None: ""}
     assert kept and not any("id" in columns for columns in kept)
+
+
+def test_words_are_counted_from_texts_as_by_item(spark):
+    """Repeated ids, several clusters, several spellings and a sigma whose small form depends on what follows give what terms() gives."""
+    texts = spark.createDataFrame([(1, "Mar mar MAR luna ΟΔΟΣ.Α ΟΔΟΣ"), (2, "mar"), (2, "sol Luna MAR"), (3, None), (4, "luna río RÍO the"), (5, "οδοσ İx x̀y")], "id long, text string")
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None), (5, "b")], "id long, cluster string")
+    words = themes.terms(texts)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    ranked = ["cluster", "term", "tf", "df", "score"]
+    assert rows(themes.ranked_terms_in(texts, members).select(ranked)) == rows(themes.ranked_terms(words, members).select(ranked))
+    assert rows(themes.surface_forms_in(texts, members)) == rows(themes.surface_forms(words, members))
+    assert rows(themes.labels_in(texts, members)) == rows(themes.labels(words, members))
