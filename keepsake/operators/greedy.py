@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from keepsake.operators.graph import cut, shared_folder
 
 #: Vectors of a block, and the centroids that are found for each of them.
 BLOCK, FOUND = 4_000, 16
-#: Bytes of centroids up to which all of them are in hand, so that nothing need be found beforehand.
-IN_HAND = 4 << 20
+#: Bytes of centroids up to which all of them are in hand, so that nothing need be found beforehand, and blocks that are then read at once.
+IN_HAND, AHEAD = 4 << 20, 8
 #: Dimensions after which a bound tells whether a pair can still reach the threshold.
 PREFIX = 64
 #: Similarities closer than this are compared again, one pair at a time.
@@ -191,56 +192,65 @@ _STATE = "number long, total array<double>, count long"
 
 
 class Clusters:
-    """The clusters so far, as files of which the next block's state is written from the last; small ones are in hand."""
+    """The clusters so far: in hand from block to block while they are small, then as files of which the next block's state is written from the last."""
 
     def __init__(self, spark, folder: str, width: int):
         self.spark, self.folder, self.width, self.turn, self.founded = spark, folder, width, 0, 0
+        self.hand: InHand | None = InHand(width)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(_STATE).parquet(f"{self.folder}/state-{self.turn}")
 
     def assign(self, block: np.ndarray, threshold: float, found: int, in_hand: int) -> list[int]:
-        """The numbers of a block's first vectors, one at least; the clusters that they joined are written anew."""
-        hand, lists, more, resting = InHand(self.width), None, None, None
-        if self.founded and self.founded * self.width * 8 <= in_hand:
-            for r in self.table().orderBy("number").toLocalIterator():
-                hand.add(r["number"], np.array(r["total"]), r["count"])
-        elif self.founded:
-            sent = self.spark.sparkContext.broadcast(block.astype(np.float32))
-            near = self.table().mapInPandas(_finder(sent, threshold, found), "i int, similarity double, number long")
-            rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "number"))
-            top = cut(near.withColumn("rank", rank).filter(F.col("rank") <= found + 1))
-            lists, more = [[] for _ in range(len(block))], np.zeros(len(block), bool)
-            for r in top.orderBy("i", "rank").collect():
-                if r["rank"] > found:
-                    more[r["i"]] = True
-                else:
-                    lists[r["i"]].append((r["similarity"], r["number"]))
-            wanted = self.table().join(top.select("number").distinct(), "number", "left_semi")
-            resting = {r["number"]: (np.array(r["total"]), r["count"]) for r in wanted.collect()}
-            sent.destroy()
-        before = self.founded
-        of = replay(block, hand, before, threshold, lists, more, resting)
-        self.founded = max([before, *(n + 1 for n in of)])
+        """The numbers of a block's first vectors, one at least; unless all clusters are in hand, those that they joined are written anew."""
+        if self.hand is not None:
+            of = replay(block, self.hand, self.founded, threshold)
+            self.founded = len(self.hand.number)
+            if self.founded * self.width * 8 > in_hand:
+                self.put_down()
+            return of
+        hand, lists, more = InHand(self.width), [[] for _ in range(len(block))], np.zeros(len(block), bool)
+        sent = self.spark.sparkContext.broadcast(block.astype(np.float32))
+        near = self.table().mapInPandas(_finder(sent, threshold, found), "i int, similarity double, number long")
+        rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "number"))
+        top = cut(near.withColumn("rank", rank).filter(F.col("rank") <= found + 1))
+        for r in top.orderBy("i", "rank").collect():
+            if r["rank"] > found:
+                more[r["i"]] = True
+            else:
+                lists[r["i"]].append((r["similarity"], r["number"]))
+        wanted = self.table().join(top.select("number").distinct(), "number", "left_semi")
+        resting = {r["number"]: (np.array(r["total"]), r["count"]) for r in wanted.collect()}
+        sent.destroy()
+        of = replay(block, hand, self.founded, threshold, lists, more, resting)
+        self.founded = max([self.founded, *(n + 1 for n in of)])
         touched = sorted(set(of))
-        fresh = self.spark.createDataFrame([(n, hand.sums[hand.at[n]].tolist(), hand.counts[hand.at[n]]) for n in touched], _STATE)
-        now = fresh
-        if before:
-            # A block joins a bounded number of clusters.
-            gone = F.broadcast(self.spark.createDataFrame([(n,) for n in touched], "number long"))
-            now = self.table().join(gone, "number", "left_anti").unionByName(fresh)
-        now.write.parquet(f"{self.folder}/state-{self.turn + 1}")
-        self.turn += 1
+        # A block joins a bounded number of clusters.
+        gone = F.broadcast(self.spark.createDataFrame([(n,) for n in touched], "number long"))
+        self._write(self.table().join(gone, "number", "left_anti").unionByName(self._rows(hand, touched)))
         return of
 
+    def put_down(self) -> None:
+        """Writes the clusters that are in hand; from then on they are files."""
+        if self.hand is not None:
+            self._write(self._rows(self.hand, self.hand.number))
+            self.hand = None
+
+    def _rows(self, hand: InHand, numbers: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(n, hand.sums[hand.at[n]].tolist(), hand.counts[hand.at[n]]) for n in numbers], _STATE)
+
+    def _write(self, state: DataFrame) -> None:
+        state.write.parquet(f"{self.folder}/state-{self.turn + 1}")
+        self.turn += 1
+
 
 def clusters_in_blocks(vectors: DataFrame, threshold: float, min_size: int, block: int = BLOCK, found: int = FOUND, in_hand: int = IN_HAND) -> DataFrame:
     """(id, cluster, similarity) of vectors (id, vector) in the order of their ids; items in too small clusters have no row.
 
     The result is that of greedy_clusters over the whole table, whatever the size of a block. A block of vectors
-    at a time is in the driver's hand, with the centroids found for it; centroids and members are files. A round
-    reads all centroids once; rounds grow with the number of vectors over the block, as every vector may move a
-    centroid for those after it. Clusters are numbered by their founding, small ones left out. Rows without an id
+    at a time is in the driver's hand, with the centroids found for it; members are files, and so are centroids of more than
+    in_hand bytes. Up to those, AHEAD blocks are read in a round that needs nothing else; beyond, a round is of one block and
+    reads all centroids once. Rounds grow with the number of vectors, as every vector may move a centroid for those after it. Clusters are numbered by their founding, small ones left out. Rows without an id
     or a vector have no row; ids that repeat and vectors that are empty, not finite or of several lengths are errors.
     """
     _check_options(threshold, min_size)
@@ -262,15 +272,20 @@ def clusters_in_blocks(vectors: DataFrame, threshold: float, min_size: int, bloc
     parts = sorted(numbered.groupBy(F.shiftright("mark", 33).alias("part")).agg(F.count("*").alias("n")).collect())
     starts = spark.createDataFrame([(p["part"], sum(q["n"] for q in parts[:k])) for k, p in enumerate(parts)], "part long, start long")
     numbered.withColumn("part", F.shiftright("mark", 33)).join(F.broadcast(starts), "part").select("id", "vector", (F.col("start") + F.col("mark").bitwiseAND((1 << 33) - 1)).alias("place")).write.parquet(f"{folder}/rows")
-    rows, state, at = spark.read.parquet(f"{folder}/rows"), Clusters(spark, folder, seen["low"]), 0
+    rows, state, at, rounds = spark.read.parquet(f"{folder}/rows"), Clusters(spark, folder, seen["low"]), 0, 0
     while at < seen["n"]:
-        # Files and row groups are in the order of places, so this reads those of the block.
-        part = rows.filter((F.col("place") >= at) & (F.col("place") < at + block)).select("place", "vector").toPandas().sort_values("place")
-        of = state.assign(np.stack(part["vector"].tolist()), threshold, found, in_hand)
-        made = pd.DataFrame({"place": np.arange(at, at + len(of)), "number": np.array(of, np.int64)})
-        spark.createDataFrame(made, "place long, number long").write.parquet(f"{folder}/members/{state.turn}")
+        # Files and row groups are in the order of places, so this reads those of the blocks.
+        most = block if state.hand is None else block * AHEAD
+        part = rows.filter((F.col("place") >= at) & (F.col("place") < at + most)).select("place", "vector").toArrow()
+        x = part["vector"].combine_chunks().flatten().to_numpy().reshape(len(part), -1)[np.argsort(part["place"].to_numpy())]
+        of = state.assign(x[:block], threshold, found, in_hand)
+        while state.hand is not None and len(of) < len(x):
+            of += state.assign(x[len(of):len(of) + block], threshold, found, in_hand)
+        rounds += 1
+        spark.createDataFrame(pa.table({"place": np.arange(at, at + len(of)), "number": np.array(of, np.int64)})).write.parquet(f"{folder}/members/{rounds}")
         at += len(of)
-    members = spark.read.schema("place long, number long").parquet(*[f"{folder}/members/{i + 1}" for i in range(state.turn)])
+    state.put_down()
+    members = spark.read.schema("place long, number long").parquet(*[f"{folder}/members/{i + 1}" for i in range(rounds)])
     kept = state.table().filter(F.col("count") >= min_size)
     # One row a cluster is numbered.
     clusters = kept.select("number", "total", "count", (F.row_number().over(Window.orderBy("number")) - 1).alias("cluster"))

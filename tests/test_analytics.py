@@ -228,6 +228,22 @@ def test_labels_keep_no_words_of_items(spark, monkeypatch):
     assert kept and not any("id" in columns for columns in kept)
 
 
+def test_clusters_stay_in_hand_between_blocks(spark, monkeypatch):
+    """Small clusters are written once, at the end, whatever the number of blocks; those that grow too large are put down between blocks."""
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(9, 8))
+    x = (centres[rng.integers(0, 9, 90)] + rng.normal(size=(90, 8)) * 0.4).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(4)
+    one = themes.greedy_clusters(list(range(90)), x, 0.8, 3)
+    turns, write = [], greedy.Clusters._write
+    monkeypatch.setattr(greedy.Clusters, "_write", lambda self, state: turns.append(self.founded) or write(self, state))
+    for in_hand, few in ((1 << 20, True), (8 * 8 * 4, False)):
+        turns.clear()
+        rows = themes.clusters_in_blocks(frame, 0.8, 3, 4, 2, in_hand).collect()
+        assert {(r.id, r.cluster, r.similarity) for r in rows} == {(i, *c) for i, c in enumerate(one) if c[0] >= 0}
+        assert (len(turns) == 1) == few
+
+
 def test_words_are_counted_from_texts_as_by_item(spark):
     """Repeated ids, several clusters, several spellings and a sigma whose small form depends on what follows give what terms() gives."""
     texts = spark.createDataFrame([(1, "Mar mar MAR luna ΟΔΟΣ.Α ΟΔΟΣ"), (2, "mar"), (2, "sol Luna MAR"), (3, None), (4, "luna río RÍO the"), (5, "οδοσ İx x̀y")], "id long, text string")
