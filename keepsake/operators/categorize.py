@@ -31,7 +31,7 @@ def categorise(items: DataFrame, texts: DataFrame, gazetteer: DataFrame | None,
     there = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     place = places.plan(items.filter(there).select("id", "lat", "lon"), gazetteer, metres, min_points)
     members = cut(themes.clusters_in_blocks(items.filter("vector is not null").select("id", "vector"), threshold, min_size))
-    theme = themes.plan(members, themes.labels(themes.terms(texts.select("id", "text")), members))
+    theme = themes.plan(members, themes.labels_in(texts, members))
     columns = ["item_id", "kind", "source_key", "name", "confidence", "explanation"]
     found = cut(place.withColumn("kind", F.lit("place")).select(*columns).unionByName(theme.withColumn("kind", F.lit("theme")).select(*columns)))
     none = found.select(F.col("item_id").alias("id")).limit(0) if failed is None else failed.select("id")
