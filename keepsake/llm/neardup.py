@@ -41,7 +41,7 @@ MAP_BITS = 2048
 #: Texts from which it is guessed which shingles are frequent, and how many such shingles are told to the workers. Any order of the shingles gives the same links.
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
 #: A shingle of up to so many texts gives pairs; texts of more are compared in blocks of so many texts and so many shingles.
-FEW, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 19
+FEW, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 21
 #: A text is compared first with so many candidates, those of the most alike fingerprints; each round then takes so many times as
 #: many, of those in other components, until no candidate is left that joins two components.
 CLOSEST, WIDER = 12, 4
@@ -116,10 +116,15 @@ def first_shingles(hashes: np.ndarray, similarity: float, frequent: tuple[np.nda
     return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]] if len(hashes) else hashes
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """MAP_BITS bits, as 64-bit words; each shingle sets one."""
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[(hashes % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+def wide_bits(n: int) -> int:
+    """Bits of a bitmap that n shingles leave in part unset: MAP_BITS, doubled up to n; a bitmap that is full bounds nothing."""
+    return MAP_BITS << max(0, (max(n, 1) - 1) // MAP_BITS).bit_length()
+
+
+def bitmap(hashes: np.ndarray, size: int = MAP_BITS) -> np.ndarray:
+    """So many bits, as 64-bit words; each shingle sets one. One of half the size is its two halves, one over the other."""
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -132,8 +137,8 @@ def _prints(width: int):
                     hashes = shingles(text, width)
                     score = votes(hashes)
                     rows.append((_node(hashes), len(hashes), np.packbits(score > 0).view(np.int64), _uncertain(score)[:TRIED].tobytes() if len(hashes) else None,
-                                 bitmap(hashes).view(np.int64)))
-                out = pd.DataFrame(rows, columns=["node", "n", "bits", "least", "map"])
+                                 bitmap(hashes).view(np.int64), bitmap(hashes, wide_bits(len(hashes))).view(np.int64) if len(hashes) > MAP_BITS else None))
+                out = pd.DataFrame(rows, columns=["node", "n", "bits", "least", "map", "wide"])
                 out.insert(0, "key", some["key"])
                 out.insert(0, "id", some["id"])
                 yield out
@@ -243,7 +248,8 @@ def spanning_links(nodes: list, sets: list[np.ndarray], roots: list, sides: np.n
             up[x] = x = up[up[x]]
         return x
 
-    maps, sizes, out = np.stack([bitmap(s) for s in sets]), np.array([len(s) for s in sets]), []
+    sizes, out = np.array([len(s) for s in sets]), []
+    maps = np.stack([bitmap(s, wide_bits(int(sizes.max()))) for s in sets])
     share, one_side = (similarity - 1e-9) / (1 + similarity), (sides == sides[0]).all()
     for i in range(len(nodes) - 1):
         rest = np.arange(i + 1, len(nodes))
@@ -293,6 +299,15 @@ def _families(many: DataFrame) -> tuple[DataFrame, DataFrame]:
     return covered.select("family", "node", "n", "root").unionByName(apart), covered.select("node", F.col("family").alias("whole"))
 
 
+def _own_wide(a: str, b: str):
+    """The most shingles of a that b can share, by their wide bitmaps; the longer is folded to the shorter, as similar sets are at most one doubling apart."""
+    x, y = (F.coalesce(f"wide_{c}", f"map_{c}") for c in (a, b))
+    words = F.least(F.size(x), F.size(y))
+    at = lambda m, w: F.when(F.size(m) > words, m[w].bitwiseOR(m[w + words])).otherwise(m[w])
+    lone = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda found, w: found + F.bit_count(at(x, w).bitwiseAND(F.bitwise_not(at(y, w)))))
+    return F.col(f"n_{a}") - lone
+
+
 def _rest(nodes: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) that join what all pairs of similar sets join beyond the roots (node, root)."""
     spark = nodes.sparkSession
@@ -321,10 +336,11 @@ def _rest(nodes: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int
     fits = fits & (F.least(i, j) + F.least(x - i, y - j) >= need)
     few = cut(few)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.node").alias("node"), F.col("y.node").alias("star")).distinct()
-    mapped = nodes.select("node", "n", "map")
-    left, right = (mapped.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")) for c in ("node", "star"))
+    left, right = (nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "map", "wide")]) for c in ("node", "star"))
     own = lambda a, b: F.col(f"n_{a}") - sum(F.bit_count(F.col(f"map_{a}")[w].bitwiseAND(F.bitwise_not(F.col(f"map_{b}")[w]))) for w in range(MAP_BITS // 64))
-    close = pairs.join(left, "node").join(right, "star").filter(F.least(own("node", "star"), own("star", "node")) >= (F.col("n_node") + F.col("n_star")) * ((similarity - 1e-9) / (1 + similarity)))
+    enough = (F.col("n_node") + F.col("n_star")) * ((similarity - 1e-9) / (1 + similarity))
+    close = pairs.join(left, "node").join(right, "star").filter(F.least(own("node", "star"), own("star", "node")) >= enough)
+    close = close.filter(F.col("wide_node").isNull() & F.col("wide_star").isNull() | (F.least(_own_wide("node", "star"), _own_wide("star", "node")) >= enough))
     # What the bounds leave is nearly all alike: its components are families too, so that a text is sent once and not with each pair.
     joined = components(close.select(F.col("node").alias("a"), F.col("star").alias("b"))).withColumnRenamed("root", "family")
     members = joined.join(met.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node").select("family", "node", "n", "root")
@@ -365,8 +381,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    prints = cut(map_slices(slim, _prints(width), pa.schema({"id": _LONG, "key": _LONG, "node": _LONG, "n": pa.int32(), "bits": _LONGS, "least": pa.binary(), "map": _LONGS})))
-    nodes = prints.groupBy("node").agg(F.min("id").alias("lowest"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "least", "map")])
+    prints = cut(map_slices(slim, _prints(width), pa.schema({"id": _LONG, "key": _LONG, "node": _LONG, "n": pa.int32(), "bits": _LONGS, "least": pa.binary(), "map": _LONGS, "wide": _LONGS})))
+    nodes = prints.groupBy("node").agg(F.min("id").alias("lowest"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "least", "map", "wide")])
     signed = nodes.filter("n > 0").select("node", "n", "bits", "least").mapInPandas(_signed, "sig long, node long").repartition(partitions(spark), "sig")
     met = cut(signed.join(signed.groupBy("sig").agg(F.count("*").alias("count")).filter("count > 1").select("sig"), "sig"))
     order = lambda skip: F.min_by("node", F.xxhash64("node", F.lit(skip)))

@@ -233,3 +233,20 @@ def test_texts_become_strings_by_few_rows(spark, monkeypatch):
     got = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     want = [(i, 5 if t is None else 2**60 + int(t[1:])) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_wide_bitmaps_tell_long_texts_apart(spark):
+    """MAP_BITS are full of a long text's shingles and bound nothing; a wide bitmap rules unlike sets out and loses no like ones, also of two lengths."""
+    rng = np.random.default_rng(3)
+    a, other, more = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (4000, 4000, 500))
+    sets = {"a": a, "like": np.concatenate((a[200:], more[:200])), "longer": np.concatenate((a, more)), "other": other, "short": a[:1500]}
+    rows = [(k, len(x), n.bitmap(x).view(np.int64).tolist(), n.bitmap(x, n.wide_bits(len(x))).view(np.int64).tolist() if len(x) > n.MAP_BITS else None) for k, x in sets.items()]
+    nodes = spark.createDataFrame(rows, "node string, n long, map array<long>, wide array<long>")
+    left, right = (nodes.toDF(*[f"{c}_{side}" for c in nodes.columns]) for side in ("node", "star"))
+    got = {(r.node_node, r.node_star): r.most for r in left.crossJoin(right).select("node_node", "node_star", n._own_wide("node", "star").alias("most")).collect()}
+    shared = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in sets for j in sets}
+    assert all(got[i, j] >= shared[i, j] for i, j in got if "short" not in (i, j))
+    need = lambda i, j: (len(sets[i]) + len(sets[j])) * n.SIMILARITY / (1 + n.SIMILARITY)
+    full = 4000 - int(np.bitwise_count(n.bitmap(a) & ~n.bitmap(other)).sum())
+    assert got["a", "other"] < need("a", "other") <= full and min(got["a", "like"], got["a", "longer"]) >= need("a", "like")
+    assert len(rows[0][3]) == 64 and len(rows[2][3]) == 128
