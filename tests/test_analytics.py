@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepsake.operators import greedy, places, speech, themes
+from keepsake.operators import categorize, greedy, places, speech, themes
 from keepsake.operators.graph import components
 
 
@@ -124,6 +124,15 @@ def test_places_are_named_where_means_waver(spark, monkeypatch):
     assert {(r.item_id, r.source_key, r.name) for r in places.plan(points, town).collect()} == {(i, f"place:{i % 3}", f"T{i % 3}, N") for i in range(12)}
 
 
+def test_items_keep_their_places_where_means_waver(spark, monkeypatch):
+    made = places.centroids
+    monkeypatch.setattr(places, "centroids", lambda points, clusters: wavering(made(points, clusters), "lat", "lon"))
+    items = spark.range(12).selectExpr("id", "id % 3 * 10D + id * 0.0001D AS lat", "id % 3 * 20 + 1D AS lon", "IF(id % 3 = 0, array(1f, 0f), null) AS vector")
+    town = spark.range(3).selectExpr("id", "'T' || id AS name", "id * 10D AS lat", "id * 20D AS lon", "'' AS admin1", "'N' AS country")
+    run = categorize.categorise(items, items.selectExpr("id", "'sea' AS text"), town)
+    assert {(r.item_id, r.kind, r.name) for r in run.assignments.collect()} == {(i, "place", f"T{i % 3}, N") for i in range(12)} | {(i, "theme", "Sea") for i in range(0, 12, 3)}
+
+
 def naive_themes(vectors, threshold, least):
     clusters = []
     for i, v in enumerate(vectors.astype(np.float32).astype(float)):
