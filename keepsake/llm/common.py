@@ -114,8 +114,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most so many (narrow) rows; df should be cut, as this counts them."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if it has at most so many (narrow) rows, else for a join by shuffle, as Spark may take it for smaller than it is; df should be cut, as this counts them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: pa.Schema, rows: int = 256) -> DataFrame:

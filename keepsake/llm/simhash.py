@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import cut, encode, fresh, partitions
+from keepsake.llm.common import broadcast_up_to, cut, encode, fresh, partitions
 from keepsake.llm.components import components
 
 MAX_BITS = 4
@@ -20,6 +20,8 @@ MAX_BITS = 4
 SCHEMES = ((1 << 22, 3, 1), (1 << 25, 5, 2), (None, 6, 3))
 #: Signature buckets with more distinct fingerprints than this are linked through shared neighbours.
 BUCKET_PAIRS = 512
+#: Crowded signatures that may be broadcast (8 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -121,15 +123,16 @@ def links(prints: DataFrame, bucket_pairs: int = BUCKET_PAIRS, scheme: tuple[int
     heavy = signed.groupBy("sig").count().filter(F.col("count") > bucket_pairs).select("sig")
     # As a rule no bucket is heavy; this is a look at one row, and spares the light path a join.
     if heavy.limit(1).count():
-        heavy = cut(heavy)
+        heavy = broadcast_up_to(cut(heavy), BROADCAST_ROWS)
         crowded = signed.join(heavy, "sig", "left_semi").select("fp").distinct()
         near = cut(crowded.select("fp", F.explode(_ball(F.col("fp"))).alias("near")))
         least = near.groupBy("near").agg(F.min("fp").alias("first"))
-        extra = near.join(least, "near").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
+        extra = near.hint("merge").join(least, "near").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
         signed = signed.join(heavy, "sig", "left_anti")
     else:
         extra = None
-    left, right = signed.select("sig", F.col("fp").alias("a")), signed.select("sig", F.col("fp").alias("b"))
+    # Spark takes exploded rows for as few as they come from and would broadcast the signatures of some 0.6 GB of texts; they are joined by shuffle.
+    left, right = signed.select("sig", F.col("fp").alias("a")), signed.select("sig", F.col("fp").alias("b")).hint("merge")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     close = (left.join(right, "sig").filter("a < b").filter(F.bit_count(differ) <= MAX_BITS)
              .filter(_first_shared(F.col("a"), differ, keys) == F.col("sig")).select("a", "b"))

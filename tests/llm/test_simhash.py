@@ -119,3 +119,14 @@ def test_the_signatures_are_made_in_as_many_tasks_as_asked_for(spark):
     frame = spark.range(1000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp")
     plan = links(frame)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_signatures_are_joined_by_shuffle(spark):
+    """Exploded rows look few to Spark, which would send all of them to the driver."""
+    prints = spark.range(400).selectExpr("xxhash64(id DIV 2) ^ shiftleft(1L, cast(id % 2 * 3 as int)) AS fp")
+    for most in (512, 1):
+        found = links(prints, bucket_pairs=most)
+        assert len({frozenset(r) for r in found.collect()}) >= 200
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert "SortMergeJoin" in plan and all("LeftAnti" in j or "LeftSemi" in j for j in joins), joins
