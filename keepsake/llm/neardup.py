@@ -11,8 +11,9 @@ thinned by the sizes of their sets and by all bits of their fingerprints, and th
 That links most of what is to be linked at a low cost, but not all of it. The rest comes by an exact join: in any one
 order of all shingles, two sets of the wanted similarity share one of the first few (of 20 % and one) of each. Texts that
 share such a shingle and are not in one component yet are paired where few share it; where many do, the texts that
-these shingles join are a family, whose sets are compared with one another in tasks of two blocks each, and a task
-returns no more links than it has texts. Bounds on sizes, places and bitmaps only leave what cannot be similar.
+these shingles join are a family, whose bitmaps are compared with one another. What that leaves as possible joins texts
+into families anew, and only of these the texts are sent and the sets compared. Both are done in tasks of two blocks each,
+and a task returns no more links than it has texts. Bounds on sizes, places and bitmaps only leave what cannot be similar.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MAP_BITS = 2048
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
 #: A shingle of up to so many texts gives pairs; texts of more are compared in blocks of so many texts and so many shingles.
 FEW, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 21
+#: Bitmaps are compared in blocks of so many, and of so many shingles (two bits or fewer a shingle where there are many).
+MAPS, MAPS_SHINGLES = 4096, 1 << 23
 #: A text is compared first with so many candidates, those of the most alike fingerprints; each round then takes so many times as
 #: many, of those in other components, until no candidate is left that joins two components.
 CLOSEST, WIDER = 12, 4
@@ -267,23 +270,65 @@ def spanning_links(nodes: list, sets: list[np.ndarray], roots: list, sides: np.n
     return out
 
 
-def _linked(width: int, similarity: float):
-    """(a, b) of rows (family, low, high, block, node, root, text) in the order of their two blocks, of which a task holds one pair at a time."""
+def possible_links(nodes: list, sizes: np.ndarray, maps: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that join what all pairs of two sides (or within one, if there is but one) join whose bitmaps allow the similarity and whose roots differ.
+
+    A bitmap is as wide as its set asks for (wide_bits); of two, the wider is folded to the other, as sets of more than one doubling cannot be similar.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, roots, sides, words = sizes[order], roots[order], sides[order], np.array([len(maps[k]) for k in order])
+    share, one_side, label, out = (similarity - 1e-9) / (1 + similarity), (sides == sides[0]).all(), np.arange(len(order)), []
+    for width in np.unique(words):
+        held = np.flatnonzero((words == width) | (words == 2 * width))
+        table = np.stack([maps[order[k]] if words[k] == width else maps[order[k]][:width] | maps[order[k]][width:] for k in held])
+        ones, size = np.bitwise_count(table).sum(1, dtype=np.int64), sizes[held]
+        stops = np.searchsorted(size, size * ((1 - share) / share) + 1e-6, side="right")
+        for at in np.flatnonzero(words[held] == width):
+            i, rest = held[at], np.arange(at + 1, stops[at])
+            apart = (roots[held[rest]] != roots[i]) & (label[held[rest]] != label[i])
+            rest = rest[apart if one_side else apart & (sides[held[rest]] != sides[i])]
+            common = np.bitwise_count(table[rest] & table[at]).sum(1, dtype=np.int64)
+            most = np.minimum(size[at] - ones[at], size[rest] - ones[rest]) + common
+            near = held[rest[most >= (size[rest] + size[at]) * share]]
+            while len(near):
+                out.append((nodes[order[i]], nodes[order[near[0]]]))
+                label[label == label[near[0]]] = label[i]
+                near = near[label[near] != label[i]]
+    return out
+
+
+def _by_cell(read, found):
+    """(a, b) of rows (family, low, high, ...) in the order of their two blocks, of which a task holds one pair at a time: found() of what read() makes of (block, ...)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
-        done = lambda: pd.DataFrame(spanning_links([h[1] for h in held], [h[3] for h in held], [h[2] for h in held], np.array([h[0] for h in held]), similarity), columns=["a", "b"], dtype=np.int64)
         for batch in batches:
-            for family, low, high, block, node, root, text in batch.itertuples(index=False):
+            for family, low, high, *row in batch.itertuples(index=False):
                 if at != (family, low, high):
                     if held and (at[1] == at[2] or len({h[0] for h in held}) > 1):
-                        yield done()
+                        yield pd.DataFrame(found(held), columns=["a", "b"], dtype=np.int64)
                     at, held = (family, low, high), []
-                held.append((block, node, root, shingles(text, width)))
+                held.append(read(*row))
         if held and (at[1] == at[2] or len({h[0] for h in held}) > 1):
-            yield done()
+            yield pd.DataFrame(found(held), columns=["a", "b"], dtype=np.int64)
     return run
 
 
+def _possible(similarity: float):
+    """(a, b) of rows (family, low, high, block, node, root, n, map)."""
+    def found(held: list) -> list[tuple[int, int]]:
+        block, node, root, n, maps = zip(*held, strict=True)
+        return possible_links(node, np.array(n, np.int64), maps, np.array(root, np.int64), np.array(block, np.int64), similarity)
+    return _by_cell(lambda block, node, root, n, bits: (block, node, root, n, np.asarray(bits, np.int64).view(np.uint64)), found)
+
+
+def _linked(width: int, similarity: float):
+    """(a, b) of rows (family, low, high, block, node, root, text)."""
+    def found(held: list) -> list[tuple[int, int]]:
+        block, node, root, sets = zip(*held, strict=True)
+        return spanning_links(node, sets, root, np.array(block), similarity)
+    return _by_cell(lambda block, node, root, text: (block, node, root, shingles(text, width)), found)
+
+
 def _families(many: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(family, node, n, root) of rows (token, k, node, n, root), and (node, whole) of those whose family is compared as a whole.
 
@@ -341,17 +386,21 @@ def _rest(nodes: DataFrame, roots: DataFrame | None, docs: DataFrame, width: int
     enough = (F.col("n_node") + F.col("n_star")) * ((similarity - 1e-9) / (1 + similarity))
     close = pairs.join(left, "node").join(right, "star").filter(F.least(own("node", "star"), own("star", "node")) >= enough)
     close = close.filter(F.col("wide_node").isNull() & F.col("wide_star").isNull() | (F.least(_own_wide("node", "star"), _own_wide("star", "node")) >= enough))
-    # What the bounds leave is nearly all alike: its components are families too, so that a text is sent once and not with each pair.
-    joined = components(close.select(F.col("node").alias("a"), F.col("star").alias("b"))).withColumnRenamed("root", "family")
+    close = close.select(F.col("node").alias("a"), F.col("star").alias("b"))
+    # What the bounds leave is nearly all alike: its components are the families whose texts are sent, once each and not with each pair.
+    joined = components(close if every is None else close.union(_possible_links(every, nodes, similarity))).withColumnRenamed("root", "family")
     members = joined.join(met.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node").select("family", "node", "n", "root")
-    return _links(cut(members if every is None else members.unionByName(every)), nodes, docs, width, similarity)
+    return _links(cut(members), nodes, docs, width, similarity)
 
 
-def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join what all pairs of similar sets within families (family, node, n, root) join beyond the roots."""
-    # Sets of sizes two classes apart cannot be similar, so that a text meets the blocks of its own class and of the next ones only.
-    classed = members.withColumn("kind", F.floor(F.log(F.greatest("n", F.lit(1))) / -float(np.log(similarity - 1e-6))))
-    blocks = classed.groupBy("family", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+def _cells(members: DataFrame, block: int, block_shingles: int, similarity: float) -> DataFrame:
+    """(family, low, high, block, node, root): the texts of families (family, node, n, root), dealt to blocks, at each two blocks that are to be compared."""
+    blocks_of = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_shingles)).alias("blocks")
+    # Sets of sizes two classes apart cannot be similar, so that a text meets the blocks of its own class and of the next ones only; a family of one block is one class.
+    whole = members.groupBy("family").agg(blocks_of).select("family", (F.col("blocks") <= 1).alias("whole"))
+    kind = F.floor(F.log(F.greatest("n", F.lit(1))) / -float(np.log(similarity - 1e-6)))
+    classed = members.join(whole, "family").withColumn("kind", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(kind)).drop("whole")
+    blocks = classed.groupBy("family", "kind").agg(blocks_of)
     near = blocks.withColumn("other", F.explode(F.array(*[F.col("kind") + step for step in (-1, 0, 1)])))
     near = near.join(blocks.select("family", F.col("kind").alias("other"), F.col("blocks").alias("others")), ["family", "other"])
     side = lambda kind, block: F.shiftleft(F.col(kind), 32) + F.col(block)
@@ -360,7 +409,20 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
     cells = cut(dealt.select("family", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "node", "root"))
     # A text goes only to where it meets another, of another component and, where there are two blocks, of the other one.
     both = (F.min("root") < F.max("root")) & ((F.col("low") == F.col("high")) | (F.min("block") < F.max("block")))
-    cells = cells.join(cells.groupBy("family", "low", "high").agg(both.alias("both")).filter("both").select("family", "low", "high"), ["family", "low", "high"])
+    return cells.join(cells.groupBy("family", "low", "high").agg(both.alias("both")).filter("both").select("family", "low", "high"), ["family", "low", "high"])
+
+
+def _possible_links(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that join all pairs of one family (family, node, n, root) whose bitmaps allow the similarity and whose roots differ."""
+    cells = _cells(members, MAPS, MAPS_SHINGLES, similarity)
+    maps = nodes.select("node", F.col("n").cast("long").alias("n"), F.coalesce("wide", "map").alias("map"))
+    rows = cells.join(maps, "node").select("family", "low", "high", "block", "node", "root", "n", "map").repartition(partitions(nodes.sparkSession), "family", "low", "high")
+    return map_slices(rows.sortWithinPartitions("family", "low", "high"), _possible(similarity), pa.schema({"a": _LONG, "b": _LONG}))
+
+
+def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what all pairs of similar sets within families (family, node, n, root) join beyond the roots."""
+    cells = _cells(members, BLOCK, BLOCK_SHINGLES, similarity)
     texts = _texts_of(cells.select("node").distinct(), nodes, docs)
     rows = cells.join(texts, "node").select("family", "low", "high", "block", "node", "root", "text").repartition(partitions(docs.sparkSession), "family", "low", "high")
     return map_slices(rows.sortWithinPartitions("family", "low", "high"), _linked(width, similarity), pa.schema({"a": _LONG, "b": _LONG}))

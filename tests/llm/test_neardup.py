@@ -250,3 +250,38 @@ def test_wide_bitmaps_tell_long_texts_apart(spark):
     full = 4000 - int(np.bitwise_count(n.bitmap(a) & ~n.bitmap(other)).sum())
     assert got["a", "other"] < need("a", "other") <= full and min(got["a", "like"], got["a", "longer"]) >= need("a", "like")
     assert len(rows[0][3]) == 64 and len(rows[2][3]) == 128
+
+
+def test_possible_links_join_all_pairs_that_bitmaps_allow():
+    """Sets of many sizes and bitmaps of several widths, within one block and between two: no similar pair is left apart, and unlike ones are."""
+    rng = np.random.default_rng(8)
+    sets, base = [], rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    for size in (40, 300, 1900, 2040, 2100, 4090, 5000):
+        sets += [np.unique(np.concatenate((base[:size], rng.integers(0, 1 << 63, extra).astype(np.uint64)))) for extra in (0, size // 9, size // 6, size // 2)]
+        sets += [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(3)]
+    sizes, maps = np.array([len(x) for x in sets]), [n.bitmap(x, n.wide_bits(len(x))) for x in sets]
+    assert len({len(m) for m in maps}) == 3
+    alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    roots = np.array([0 if i in (0, 1) else i for i in range(len(sets))])
+    for sides in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        found = n.possible_links(list(range(len(sets))), sizes, maps, roots, sides, 0.8)
+        up = list(range(len(sets)))
+        for i, j in found:
+            assert roots[i] != roots[j] and (not sides.any() or sides[i] != sides[j])
+            up = [up[i] if x == up[j] else x for x in up]
+        wanted = [(i, j) for i, j in alike if roots[i] != roots[j] and (not sides.any() or sides[i] != sides[j])]
+        assert len(wanted) > 5 and all(up[i] == up[j] for i, j in wanted) and len(set(up)) > 20 and len(found) < len(sets)
+
+
+def test_texts_that_bitmaps_tell_apart_are_not_sent(spark, monkeypatch):
+    """Texts that share many passages, none with another most of its own, are a family of which two near copies are sent."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(10)) for k in range(24)]
+    rows = [(i, " ".join(passages[k] for k in rng.sample(range(24), 12))) for i in range(80)]
+    rows.append((80, edited(rows[3][1].split(), 1, rng)))
+    want, sent, verified = brute(rows), n._texts_of, []
+    assert len(set(want.values())) == 80 and want[80] == 3
+    monkeypatch.setattr(n, "_alike", lambda pairs, nodes, similarity: pairs.withColumn("differ", n.F.lit(0)).limit(0))
+    monkeypatch.setattr(n, "_texts_of", lambda touched, nodes, docs: verified.append(touched.count()) or sent(touched, nodes, docs))
+    assert {r.id: r.component for r in n.near_duplicates(frame(spark, rows)).collect()} == want
+    assert sum(verified) < 20
