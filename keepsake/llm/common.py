@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE_BASE = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
-_SPARK_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+_SPARK_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
 def encode(text: str | None) -> bytes:
@@ -118,6 +119,14 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that lives on would keep; only glibc needs to be told."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: pa.Schema, rows: int = 256) -> DataFrame:
     """df.mapInPandas(run), where run is given so many rows at a time.
 
@@ -128,7 +137,7 @@ def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows).to_pandas(integer_object_nulls=True)
             del batch
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in run(slices(batches)):

@@ -9,18 +9,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.coder import BLOCK_IDS, pack, unpack
-from keepsake.llm.common import char_hashes, partitions, shared_folder
+from keepsake.llm.common import char_hashes, map_slices, partitions, shared_folder
 
 END_ID = 2
 #: Pieces whose ids a worker remembers before it starts anew, and the slots of the table that finds them.
 REMEMBERED, SLOT_BITS = 1_500_000, 22
 #: Characters looked up together; pieces that share a call of the library; a longer piece is found by its text.
 TOGETHER, JOINED, LONG = 150_000, 1000, 64
+#: Texts of an Arrow batch that become strings at once.
+TEXTS = 1024
 #: Letters, numbers and spaces among the characters that _UNSURE lets through. Fixed values of Unicode.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\x09-\x0d\x20\xa0"
 #: Texts with other characters, or with what may start a special token, go through the tokenizer whole.
@@ -259,7 +262,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = slim.repartitionByRange(partitions(docs.sparkSession), "id", F.substring("text", 1, 32)).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    dealt.mapInPandas(_blocks(tokenizer, end_id, block_ids), "part int, block int, begun int, more boolean, n_tokens long, data binary").write.option(
+    kinds = {"part": pa.int32(), "block": pa.int32(), "begun": pa.int32(), "more": pa.bool_(), "n_tokens": pa.int64(), "data": pa.binary()}
+    map_slices(dealt, _blocks(tokenizer, end_id, block_ids), pa.schema(kinds), TEXTS).write.option(
         "compression", "uncompressed").parquet(path)
 
 

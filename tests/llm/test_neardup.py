@@ -276,7 +276,7 @@ def test_possible_links_join_all_pairs_that_bitmaps_allow():
 def test_texts_that_bitmaps_tell_apart_are_not_sent(spark, monkeypatch):
     """Texts that share many passages, none with another most of its own, are a family of which two near copies are sent."""
     rng = random.Random(4)
-    passages = [" ".join(f"p{k}w{i}" for i in range(10)) for k in range(24)]
+    passages = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(24)]
     rows = [(i, " ".join(passages[k] for k in rng.sample(range(24), 12))) for i in range(80)]
     rows.append((80, edited(rows[3][1].split(), 1, rng)))
     want, sent, verified = brute(rows), n._texts_of, []

@@ -113,3 +113,22 @@ def test_many_rows_of_one_id_are_dealt_to_several_parts(spark, tmp_path):
     docs = spark.range(4000).selectExpr("if(id < 3990, 7, id) AS doc_id", "concat('text ', id % 997) AS text")
     check(spark, docs, tmp_path, 4096)
     assert spark.read.parquet(f"file://{tmp_path}/t4096").select("part").distinct().count() > 1
+
+
+def test_texts_become_strings_by_few_rows(spark, monkeypatch):
+    """Whatever an Arrow batch holds; the files are the same, and ids beside a row without one stay exact."""
+    blocks = tokens._blocks
+
+    def watched(*options):
+        run = blocks(*options)
+
+        def few(batches):
+            for batch in batches:
+                assert len(batch) <= 1024
+                yield batch
+        return lambda batches: run(few(batches))
+
+    monkeypatch.setattr(tokens, "_blocks", watched)
+    rows = [(None, "none")] + [(2**60 + i, f"text {i}") for i in range(3000)]
+    got = tokens.op2_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.doc_id, r.ids_crc32) for r in sorted(got, key=lambda r: r.start)] == [(k, zlib.crc32(np.array([*ids, tokens.END_ID], "<u4").tobytes())) for (k, _), ids in zip(rows, library([t for _, t in rows]), strict=True)]
