@@ -275,13 +275,12 @@ def compress(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
         return 0, b""
     lanes = _lanes(n)
     starts, steps = _grid(n, lanes)
-    ids = ids.astype(np.int64)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 63, _U)
     # A step narrows a range by at most 2**28, so that it sends at most one digit.
     digits, used = np.zeros((steps + 2, lanes), _U), np.zeros(lanes, np.int64)
     model = _Model(alphabet, lanes)
     for t, live in _steps(n, lanes, model):
-        start, width = model.interval(ids[starts[:live] + t])
+        start, width = model.interval(ids[starts[:live] + t].astype(np.int64))
         unit = span[:live] >> _U(_RANGE_BITS)
         a, b = low[:live], span[:live]
         a += start * unit
@@ -338,7 +337,7 @@ def expand(payload: bytes, n: int, lanes: int, alphabet: int) -> np.ndarray:
 
 def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """One block of (id or None, token ids): header, index of documents and of the ids in use, payload."""
-    ids = np.concatenate([d for _, d in docs]).astype("<u4") if docs else np.empty(0, "<u4")
+    ids = np.concatenate([d for _, d in docs]).astype("<u4", copy=False) if docs else np.empty(0, "<u4")
     letters, coded = _renumbered(ids)
     lanes, payload = compress(coded, len(letters))
     keys = np.array([0 if k is None else k for k, _ in docs], "<i8")
@@ -346,7 +345,7 @@ def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     steps = np.diff(letters, prepend=0).astype("<u4")
     index = zlib.compress(keys.tobytes() + nulls.tobytes() + np.array([len(d) for _, d in docs], "<u4").tobytes() + steps.tobytes(), 6)
     body = index + payload
-    return _HEAD.pack(MAGIC, len(ids), len(docs), lanes, len(letters), len(index), len(payload), zlib.crc32(body), zlib.crc32(ids.tobytes())) + body
+    return _HEAD.pack(MAGIC, len(ids), len(docs), lanes, len(letters), len(index), len(payload), zlib.crc32(body), zlib.crc32(ids)) + body
 
 
 def _renumbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +353,7 @@ def _renumbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids) or ids.max() >= 1 << 22:
         return np.unique(ids, return_inverse=True)
     letters = np.flatnonzero(np.bincount(ids))
-    number = np.zeros(int(letters[-1]) + 1, np.int64)
+    number = np.zeros(int(letters[-1]) + 1, np.int32)
     number[letters] = np.arange(len(letters))
     return letters, number[ids]
 

@@ -18,8 +18,8 @@ from keepsake.llm.coder import BLOCK_IDS, pack, unpack
 from keepsake.llm.common import char_hashes, map_slices, partitions, shared_folder
 
 END_ID = 2
-#: Pieces whose ids a worker remembers before it starts anew, and the slots of the table that finds them.
-REMEMBERED, SLOT_BITS = 1_500_000, 22
+#: Pieces whose ids a worker remembers before it starts anew, and the slots of the table that finds them, at first and at most.
+REMEMBERED, FIRST_BITS, SLOT_BITS = 1_500_000, 16, 22
 #: Characters looked up together; pieces that share a call of the library; a longer piece is found by its text.
 TOGETHER, JOINED, LONG = 150_000, 1000, 64
 #: Texts of an Arrow batch that become strings at once.
@@ -97,12 +97,30 @@ class Encoder:
         return cls._made[path]
 
     def forget(self) -> None:
-        self.hash = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.entry = np.full(1 << SLOT_BITS, -1, np.int32)
+        self._clear(FIRST_BITS)
         self.chars, self.at, self.size = (np.zeros(1024, np.int64) for _ in range(3))
         self.pool, self.pooled, self.entries = np.zeros(4096, np.uint32), 0, 0
         self.long: dict[str, int] = {}
 
+    def _clear(self, bits: int) -> None:
+        self.bits, self.filled = bits, 0
+        self.hash, self.entry = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _put(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        """Entries of distinct hashes that the table lacks; it is made larger where a third of it would be filled."""
+        if 3 * (self.filled + len(hashes)) > 1 << self.bits and self.bits < SLOT_BITS:
+            held = np.flatnonzero(self.entry >= 0)
+            known, numbers = self.hash[held], self.entry[held]
+            self._clear(min(SLOT_BITS, max(self.bits, int(3 * (len(known) + len(hashes))).bit_length()) + 1))
+            self._put(known, numbers)
+        self.filled += len(hashes)
+        while len(hashes):  # of those that meet in an empty slot one gets it, the others look on
+            _, slot = self._find(hashes)
+            self.entry[slot], self.hash[slot] = number, hashes
+            lost = self.hash[slot] != hashes
+            self.entry[slot[~lost]] = number[~lost]
+            hashes, number = hashes[lost], number[lost]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -141,11 +159,11 @@ class Encoder:
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each hash, or -1; and the slot at which it is or would go."""
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         entry = self.entry[slot]
         left = np.flatnonzero((entry >= 0) & (self.hash[slot] != hashes))
         while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
             entry[left] = self.entry[slot[left]]
             left = left[(entry[left] >= 0) & (self.hash[slot[left]] != hashes[left])]
         return entry, slot
@@ -166,12 +184,7 @@ class Encoder:
             at = new[first]
             number = self._keep([text[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             entry[new] = number[back]
-            while len(at):  # of those that meet in an empty slot one gets it, the others look on
-                _, slot = self._find(hashes[at])
-                self.entry[slot], self.hash[slot] = number, hashes[at]
-                lost = self.hash[slot] != hashes[at]
-                self.entry[slot[~lost]] = number[~lost]
-                at, number = at[lost], number[lost]
+            self._put(hashes[at], number)
         return entry
 
     def _looked_up(self, texts: list[str]) -> list[bytes]:
